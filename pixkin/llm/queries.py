@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding
+from . import mixing, packing, quality, secrets, sharding, warc
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_shard_tree": sharding.op5_shard_tree,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op8_warc_archive": warc.op8_warc_archive,
 }
 
 SQL = {
+    "op1_quality_rules": quality.OP1_SQL,
+    "op3_secret_scan": secrets.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
+    "op8_warc_archive": warc.OP8_SQL,
 }
