@@ -42,22 +42,26 @@ BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
 def _window_at(words: Column, i: Column, seed: int) -> Column:
-    """Hash of the three words from i on in the high bits, i in the low ones."""
-    mask = (1 << POSITION_BITS) - 1
-    mixed = F.xxhash64(F.lit(seed), F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    return mixed.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))
+    """Hash of the three words from i on."""
+    return F.xxhash64(F.lit(seed), F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+
+
+def _packed(window: Column, i: Column) -> Column:
+    """The window's hash in the high bits, its position in the low ones."""
+    return window.bitwiseAND(F.lit(~((1 << POSITION_BITS) - 1))).bitwiseOR(i.cast("long"))
 
 
 def _shared(packed: str) -> Column:
     """Of sorted packed windows, those whose hash another one has."""
-    high = lambda x: F.shiftright(x, POSITION_BITS)
     c = F.col(packed)
-    return F.filter(c, lambda x, i: (high(x) == high(F.get(c, i - 1))) | (high(x) == high(F.get(c, i + 1))))
+    same = lambda x, y: F.shiftright(x.bitwiseXOR(y), POSITION_BITS) == 0
+    return F.filter(c, lambda x, i: same(x, F.get(c, i - 1)) | same(x, F.get(c, i + 1)))
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """Adds the counts that the rules look at.  Repeated windows are found inside the row: windows
-    are hashed, sorted and compared with their neighbours, twice with independent hashes (72 bits)."""
+    """Adds the counts that the rules look at.  Repeated windows are found inside the row: if their
+    hashes aren't all distinct, they are packed with their positions, sorted and compared with their
+    neighbours, twice with independent hashes (72 bits)."""
     none = F.array().cast("array<long>")
     text = F.col("_text")
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
@@ -66,63 +70,64 @@ def text_counts(docs: DataFrame) -> DataFrame:
         docs.withColumn("_text", F.coalesce("text", F.lit("")))
         .withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
         .withColumn("_lines", F.filter(F.split(text, "\n"), has_word))
+        .withColumn("_marks", F.regexp_replace(text, r"[^#*$%&|<>A-Z!.?]+", ""))
         .withColumn("n_words", F.size("_words").cast("long"))
     )
-    steps = steps.withColumn("_first", F.sort_array(F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: _window_at(F.col("_words"), i, 1))).otherwise(none)))
+    starts = F.sequence(F.lit(0), F.size("_words") - 3)
+    steps = steps.withColumn("_windows", F.when(F.col("n_words") >= 3, F.transform(starts, lambda i: _window_at(F.col("_words"), i, 1))).otherwise(none))
+    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    steps = steps.withColumn("_first", F.when(repeats, F.sort_array(F.transform("_windows", _packed))).otherwise(none))
     steps = steps.withColumn("_first", _shared("_first"))
-    steps = steps.withColumn("_second", F.when(F.size("_first") > 0, F.sort_array(F.transform("_first", lambda x: _window_at(F.col("_words"), low(x).cast("int"), 2)))).otherwise(none))
+    again = lambda x: _packed(_window_at(F.col("_words"), low(x).cast("int"), 2), low(x))
+    steps = steps.withColumn("_second", F.sort_array(F.transform("_first", again)))
     steps = steps.withColumn("_second", _shared("_second"))
     steps = steps.withColumn("_starts", F.sort_array(F.transform("_second", low)))
     reach = F.transform("_starts", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(F.col("_starts"), i + 1) - p, F.lit(3).cast("long"))))
     return steps.select(
         *docs.columns,
         "n_words",
-        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        _count("#*$%&|<>").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        F.regexp_count(text, F.lit("!!")).cast("long").alias("n_shouts"),
-        F.regexp_count(text, F.lit("[.!?]")).cast("long").alias("n_stops"),
+        _count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+        _count("!").alias("n_shouts"),
+        _count(".!?").alias("n_stops"),
     )
 
 
+def _count(characters: str) -> Column:
+    return (F.length("_marks") - F.length(F.translate("_marks", characters, ""))).cast("long")
+
+
 def with_votes(counts: DataFrame) -> DataFrame:
-    votes = {f"v_{name}": F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for name, (bad, good) in RULES.items()}
-    return counts.withColumns(votes)
+    """Adds votes: an array of -1, 0 or 1 in the order of RULES."""
+    return counts.withColumn("votes", F.array(*[F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for bad, good in RULES.values()]))
 
 
-def _posterior(names: list[str], prior: float, table: dict[str, dict[int, tuple[float, float]]]) -> Column:
+def _posterior(prior: float, table: list[list[tuple[float, float]]]) -> Column:
     """table: per rule and vote, its probability on good and on bad documents."""
-    # one array of constants, looked up by vote: every iteration has the same compiled code
-    evidence = F.array(F.lit(math.log(prior / (1 - prior))), *[F.lit(math.log(table[c][v][0] / table[c][v][1])) for c in names for v in VOTES])
-    logit = F.get(evidence, F.lit(0))
-    for i, c in enumerate(names):
-        logit = logit + F.get(evidence, F.col(c) + (len(VOTES) * i + 2))
-    return 1 / (1 + F.exp(-logit))
+    evidence = F.array(*[F.lit(math.log(good / bad)) for rule in table for good, bad in rule])
+    each = F.transform("votes", lambda v, i: F.get(evidence, i * len(VOTES) + v + 1))
+    return 1 / (1 + F.exp(-F.aggregate(each, F.lit(math.log(prior / (1 - prior))), lambda a, x: a + x)))
 
 
-def fit_rules(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float, dict]:
+def fit_rules(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float, list]:
     """patterns: a small table of votes and their number n.  The share of good documents and the
-    vote probabilities, by expectation-maximisation."""
-    names = [c for c in patterns.columns if c.startswith("v_")]
-    any_bad = F.least(*[F.col(c) for c in names]) == -1
-    guess = F.when(any_bad, F.lit(FIRST_GUESS[1])).otherwise(F.lit(FIRST_GUESS[0]))
-    prior, table = 0.5, {}
+    vote probabilities, by expectation-maximisation.  An iteration returns a row a rule and vote."""
+    guess = F.when(F.array_min("votes") == -1, F.lit(FIRST_GUESS[1])).otherwise(F.lit(FIRST_GUESS[0]))
+    prior, table = 0.5, [[(1 / 3, 1 / 3)] * len(VOTES)] * len(RULES)
     for _ in range(iterations):
-        sums = [F.sum(F.col("n") * guess).alias("good"), F.sum("n").alias("all")]
-        for c in names:
-            for v in VOTES:
-                here = F.when(F.col(c) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(here * guess).alias(f"{c}|{v}|g"), F.sum(here * (1 - guess)).alias(f"{c}|{v}|b")]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
-            return prior, {c: {v: (1 / 3, 1 / 3) for v in VOTES} for c in names}
-        good, bad = row["good"], row["all"] - row["good"]
-        prior = (good + SMOOTHING) / (row["all"] + 2 * SMOOTHING)
-        table = {c: {v: ((row[f"{c}|{v}|g"] + SMOOTHING) / (good + 3 * SMOOTHING), (row[f"{c}|{v}|b"] + SMOOTHING) / (bad + 3 * SMOOTHING)) for v in VOTES} for c in names}
-        guess = _posterior(names, prior, table)
+        rows = patterns.select("n", (F.col("n") * guess).alias("good"), F.posexplode("votes").alias("rule", "vote"))
+        sums = {(r["rule"], r["vote"]): (r["good"], r["n"] - r["good"]) for r in rows.groupBy("rule", "vote").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()}
+        if not sums:
+            break
+        good, bad = (sum(sums.get((0, v), (0, 0))[k] for v in VOTES) for k in (0, 1))
+        prior = (good + SMOOTHING) / (good + bad + 2 * SMOOTHING)
+        parts = [[sums.get((i, v), (0, 0)) for v in VOTES] for i in range(len(RULES))]
+        table = [[((g + SMOOTHING) / (good + 3 * SMOOTHING), (b + SMOOTHING) / (bad + 3 * SMOOTHING)) for g, b in rule] for rule in parts]
+        guess = _posterior(prior, table)
     return prior, table
 
 
@@ -130,15 +135,13 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs: any columns, among them text.  Adds the counts, votes, base_failed, quality and kept to
     the columns named in keep (None: to all).  What is kept is written once with the votes."""
     votes = with_votes(text_counts(docs))
-    votes = votes.drop(*[c for c in docs.columns if keep is not None and c not in keep])
-    names = [c for c in votes.columns if c.startswith("v_")]
-    votes = written(votes, "quality-votes")
+    votes = written(votes.drop(*[c for c in docs.columns if keep is not None and c not in keep]), "quality-votes")
     failed = F.expr(BASE_FAILED)
-    patterns = written(votes.filter(~failed).groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "quality-patterns")
-    prior, table = fit_rules(patterns)
+    patterns = votes.filter(~failed).groupBy("votes").agg(F.count("*").alias("n")).coalesce(1)
+    prior, table = fit_rules(written(patterns, "quality-patterns"))
     return (
         votes.withColumn("base_failed", failed)
-        .withColumn("quality", _posterior(names, prior, table))
+        .withColumn("quality", _posterior(prior, table))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
     )
 
@@ -181,7 +184,7 @@ c AS (SELECT t.r, doc_id, len(w)::BIGINT AS n_words,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words, len(l)::BIGINT AS n_lines,
-         len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_upper, len(regexp_extract_all(text, '!!'))::BIGINT AS n_shouts,
+         len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_upper, len(regexp_extract_all(text, '!'))::BIGINT AS n_shouts,
          len(regexp_extract_all(text, '[.!?]'))::BIGINT AS n_stops
       FROM t LEFT JOIN cover USING (r)),
 v AS MATERIALIZED (SELECT *, {vote} FROM c),
