@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, sharding, warc
+from . import mixing, packing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_shard_tree": sharding.op5_shard_tree,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_warc_archive": warc.op8_warc_archive,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 SQL = {
@@ -18,4 +19,5 @@ SQL = {
     "op3_secret_scan": secrets.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op8_warc_archive": warc.OP8_SQL,
+    "op10_substring_dedup": substrings.OP10_SQL,
 }
