@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets, sharding, substrings, warc
+from . import jaccard, licences, mixing, packing, quality, secrets, sharding, substrings, vectors, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_licence_scan": licences.op2_licence_scan,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_shard_tree": sharding.op5_shard_tree,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_near_vectors": vectors.op7_near_vectors,
     "op8_warc_archive": warc.op8_warc_archive,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
@@ -18,6 +21,9 @@ SQL = {
     "op1_quality_rules": quality.OP1_SQL,
     "op3_secret_scan": secrets.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
+    "op7_near_vectors": vectors.OP7_SQL,
     "op8_warc_archive": warc.OP8_SQL,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
+    "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_substring_dedup": substrings.OP10_SQL,
 }
