@@ -1,0 +1 @@
+"""A near-duplicate engine for images on Spark, and operators for training-data pipelines."""

@@ -1,4 +1,422 @@
-"""The registered queries of the near-duplicate engine and their SQL."""
+"""The registered queries of the near-duplicate engine and their SQL.
+
+Vectors of `embeddings` stand for images (label: level), and other tables for the songs' metadata
+and the change feed.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixkin.config import VECTOR, ScoringConfig
+from pixkin.functions import ids, imaging
+from pixkin.functions import scores as S
+from pixkin.operators import features as image_features
+from pixkin.operators import knn, pairs
+from pixkin.operators.vector_proxy import vector_features
+from pixkin.plans import duplicates
+from pixkin.service import ERRORS
+from pixkin.sources.store import SnapshotStore
+from pixkin.streaming.feed import follow, latest_changes
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_features(table(spark, sf_dir, "embeddings"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("cls"))
+
+
+def places(df: DataFrame, *columns: str, n: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c in columns})
+
+
+V = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings)"
+KNN = f"""{V}, n AS (SELECT a.id AS id_a, b.id AS id_b, list_inner_product(a.x, b.x) AS coarse,
+  row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.x, b.x) DESC, b.id) AS rank
+  FROM v a JOIN v b ON a.id <> b.id QUALIFY rank <= 20)"""
+PAIRS = f"""{KNN}, c AS (SELECT least(id_a, id_b) AS id_a, greatest(id_a, id_b) AS id_b, max(coarse) AS coarse FROM n WHERE coarse >= 0.30 GROUP BY ALL)"""
+FEATURES = """m AS (SELECT *, list_median(x) AS med, list_avg(x) AS mean,
+    list_transform(range(16), lambda i: list_avg(x[i * 4 + 1 : i * 4 + 4])) AS means,
+    list_transform(range(16), lambda i: x[i * 4 + 1 : i * 4 + 4]) AS blocks,
+    [list_inner_product(x[1:16], x[1:16]), list_inner_product(x[17:32], x[17:32]), list_inner_product(x[33:64], x[33:64])] AS e FROM v),
+  f AS (SELECT id, x, list_transform(x, lambda y: (y > med)::INT) AS phash, list_transform(x, lambda y: (y > mean)::INT) AS ahash,
+    list_transform(range(64), lambda i: (x[(i + 1) % 64 + 1] > x[i + 1])::INT) AS dhash,
+    list_transform(range(64), lambda i: (means[i // 4 + 1] > list_median(means))::INT) AS whash,
+    list_transform(e, lambda y: y / (list_sum(e) + 1e-9)) AS bands,
+    list_transform(blocks, lambda b: list_transform(b, lambda y: y / sqrt(list_inner_product(b, b)))) AS patches FROM m)"""
+
+
+def _bits(h: str) -> str:
+    return f"(1 - list_sum(list_transform(range(64), lambda i: (a.{h}[i + 1] <> b.{h}[i + 1])::INT)) / 64.0)"
+
+
+STAGES = f"""s0 AS (SELECT c.*, 0.35 * {_bits("phash")} + 0.35 * {_bits("dhash")} + 0.15 * {_bits("ahash")} + 0.15 * {_bits("whash")} AS hash_ensemble,
+    greatest(0, least(1, list_inner_product(a.bands, b.bands) / (sqrt(list_inner_product(a.bands, a.bands)) * sqrt(list_inner_product(b.bands, b.bands)) + 1e-9))) AS dct_spectrum,
+    list_transform(range(16), lambda i: 1 - ((a.phash[i*4+1] <> b.phash[i*4+1])::INT + (a.phash[i*4+2] <> b.phash[i*4+2])::INT + (a.phash[i*4+3] <> b.phash[i*4+3])::INT + (a.phash[i*4+4] <> b.phash[i*4+4])::INT) / 4.0::DOUBLE) AS cells,
+    greatest(0, least(1, list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))))) AS global_semantic,
+    greatest(0, least(1, list_avg(list_transform(range(16), lambda i: list_max(list_transform(range(16), lambda j:
+      list_inner_product(a.patches[i + 1], b.patches[j + 1]) * exp(-((i // 4 - j // 4) * (i // 4 - j // 4) + (i % 4 - j % 4) * (i % 4 - j % 4)) / (2 * (4.0 / 3) * (4.0 / 3))))))))) AS patch_spatial
+    FROM c JOIN f a ON a.id = c.id_a JOIN f b ON b.id = c.id_b),
+  s1 AS (SELECT *, list_avg(cells) AS sector_grid, list_min(cells) AS grid_min_cell, list_position(cells, list_min(cells)) - 1 AS coldest_cell, list_var_pop(cells) AS grid_variance FROM s0),
+  s AS (SELECT *, 0.25 * hash_ensemble + 0.30 * sector_grid + 0.05 * dct_spectrum + 0.20 * global_semantic AS cheap,
+     greatest(0, least(1, 0.25 * hash_ensemble + 0.30 * sector_grid + 0.05 * dct_spectrum + 0.20 * global_semantic + 0.20 * patch_spatial - 1.2 * grid_variance)) AS batch FROM s1)"""
+SCORED = f"WITH {PAIRS}, {FEATURES}, {STAGES}"
+VERDICT = "CASE WHEN {0} >= 0.97 THEN 'EXACT' WHEN {0} >= 0.88 THEN 'MICRO_VARIANT' WHEN {0} >= 0.70 THEN 'MODIFIED_VARIANT' WHEN {0} >= 0.50 THEN 'DISTANT' ELSE 'DISTINCT' END"
+
+
+@query("""WITH k AS (SELECT doc_id, sha256(text) AS key FROM documents WHERE text IS NOT NULL), f AS (SELECT key, min(doc_id) AS id_a FROM k GROUP BY key)
+SELECT id_a, doc_id AS id_b FROM k JOIN f USING (key) WHERE doc_id > id_a""")
+def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-equal items: every copy with the first of its kind (a link a copy, not all pairs)."""
+    keyed = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("id_a"))
+    return keyed.join(first, "key").filter("doc_id > id_a").select("id_a", F.col("doc_id").alias("id_b"))
+
+
+@query("SELECT doc_id, (('0x' || substr(sha256(doc_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id FROM documents")
+def stable_vec_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ids.stable_vec_id(F.col("doc_id")).alias("vec_id"))
+
+
+@query("SELECT page_id, url FROM pages WHERE url IS NOT NULL AND url <> '' AND regexp_matches(url, '^https?://')")
+def eligible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").filter(ids.eligible(F.col("url")) & ids.valid_url(F.col("url"))).select("page_id", "url")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def pending_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def indexed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE list_has_any([label], [0, 1, 2]) AND vec_id <> 7")
+def level_filter_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return rows.filter(ids.any_level(F.array("label"), [0, 1, 2]) & (F.col("vec_id") != 7))
+
+
+@query(f"WITH {KNN} SELECT id_a, id_b, round(coarse, 9) AS coarse, rank FROM n")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(knn.knn_self(vectors(spark, sf_dir), 20), "coarse")
+
+
+_ALLOWED = "label IN (0, 1, 2) AND vec_id <> 0"
+
+
+def _restricted(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    allowed = rows.filter("label IN (0, 1, 2) AND id <> 0").select("id")
+    return places(knn.restricted(rows.filter("id = 0"), rows, allowed, 20, mode), "coarse").select("id_b", "coarse", "rank")
+
+
+@query(f"""WITH {V}, q AS (SELECT x FROM v WHERE id = 0), r AS (SELECT id, label, list_inner_product(v.x, q.x) AS c FROM v, q),
+w AS (SELECT * FROM r ORDER BY c DESC, id LIMIT (SELECT greatest(count(*), 80) FROM embeddings WHERE {_ALLOWED}))
+SELECT id AS id_b, round(c, 9) AS coarse, row_number() OVER (ORDER BY c DESC, id) AS rank FROM w WHERE label IN (0, 1, 2) AND id <> 0 ORDER BY c DESC, id LIMIT 20""")
+def knn_restricted_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restricted(spark, sf_dir, "postfilter")
+
+
+@query(f"""WITH {V}, q AS (SELECT x FROM v WHERE id = 0), r AS (SELECT id, label, list_inner_product(v.x, q.x) AS c FROM v, q)
+SELECT id AS id_b, round(c, 9) AS coarse, row_number() OVER (ORDER BY c DESC, id) AS rank FROM r WHERE label IN (0, 1, 2) AND id <> 0 ORDER BY c DESC, id LIMIT 20""")
+def knn_restricted_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restricted(spark, sf_dir, "prefilter")
+
+
+@query(f"WITH {PAIRS} SELECT id_a, id_b, round(coarse, 9) AS coarse FROM c")
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(knn.candidate_pairs(knn.knn_self(vectors(spark, sf_dir), 20), VECTOR.coarse), "coarse")
+
+
+@query(f"WITH {V} SELECT a.id AS id_a, b.id AS id_b, round(list_inner_product(a.x, b.x), 9) AS coarse FROM v a JOIN v b ON a.id < b.id WHERE list_inner_product(a.x, b.x) >= 0.30")
+def all_pairs_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(knn.pairs_above(vectors(spark, sf_dir), 0.30), "coarse")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.candidate_pairs(knn.knn_self(vectors(spark, sf_dir), VECTOR.neighbours), VECTOR.coarse)
+
+
+def _cheap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.cheap_scores(_pairs(spark, sf_dir), features(spark, sf_dir), VECTOR)
+
+
+def _scored(spark: SparkSession, sf_dir: str, profile: str = "batch") -> DataFrame:
+    return pairs.score_pairs(_pairs(spark, sf_dir), features(spark, sf_dir), VECTOR, profile)
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round(hash_ensemble, 9) AS hash_ensemble FROM s")
+def hash_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(_cheap(spark, sf_dir).select("id_a", "id_b", "hash_ensemble"), "hash_ensemble")
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round(dct_spectrum, 9) AS dct_spectrum FROM s")
+def dct_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(_cheap(spark, sf_dir).select("id_a", "id_b", "dct_spectrum"), "dct_spectrum")
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round(sector_grid, 9) AS sector_grid, round(grid_min_cell, 9) AS grid_min_cell, round(grid_variance, 9) AS grid_variance, coldest_cell FROM s")
+def sector_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _cheap(spark, sf_dir).select("id_a", "id_b", "sector_grid", "grid_min_cell", "grid_variance", "coldest_cell")
+    return places(df, "sector_grid", "grid_min_cell", "grid_variance")
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round(patch_spatial, 9) AS patch_spatial FROM s")
+def patch_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(_scored(spark, sf_dir).select("id_a", "id_b", "patch_spatial"), "patch_spatial")
+
+
+_OUT = ("id_a", "id_b", "composite", "verdict")
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round(batch, 9) AS composite, {VERDICT.format('batch')} AS verdict FROM s")
+def composite_verdict_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(_scored(spark, sf_dir).select(*_OUT), "composite")
+
+
+_VETO = "CASE WHEN sector_grid < 0.65 THEN least(batch, 1.1 * sector_grid) ELSE batch END"
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round({_VETO}, 9) AS composite, {VERDICT.format(_VETO)} AS verdict FROM s")
+def composite_verdict_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(_scored(spark, sf_dir, "query").select(*_OUT), "composite")
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round(batch, 9) AS composite, {VERDICT.format('batch')} AS verdict, round(coarse, 9) AS coarse FROM s WHERE batch >= 0.5")
+def find_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(duplicates.find_duplicates(features(spark, sf_dir)).select(*_OUT, "coarse"), "composite", "coarse")
+
+
+@query(f"{SCORED} SELECT id_a, id_b, round(cheap + 0.20 - 1.2 * grid_variance, 9) AS bound FROM s WHERE cheap + 0.20 - 1.2 * grid_variance >= 0.55")
+def prune_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {"hash": F.col("hash_ensemble"), "grid": F.col("sector_grid"), "dct": F.col("dct_spectrum"), "global": F.col("global_semantic")}
+    bound = S.upper_bound(named, F.col("grid_variance"), VECTOR)
+    return places(_cheap(spark, sf_dir).withColumn("bound", bound).filter("bound >= 0.55").select("id_a", "id_b", "bound"), "bound")
+
+
+@query(f"""{SCORED} SELECT id_a, id_b, round(batch, 9) AS composite FROM s WHERE batch >= 0.5
+QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY batch DESC, coarse DESC, id_b) = 1""")
+def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(duplicates.best_match(duplicates.find_duplicates(features(spark, sf_dir))).select("id_a", "id_b", "composite"), "composite")
+
+
+@query(f"""{SCORED} SELECT id_a, id_b, coalesce(nullif(a.source, ''), nullif(a.lang, ''), id_a::VARCHAR) AS label_a,
+coalesce(nullif(b.source, ''), nullif(b.lang, ''), id_b::VARCHAR) AS label_b, round(batch, 9) AS composite
+FROM s LEFT JOIN documents a ON a.doc_id = id_a LEFT JOIN documents b ON b.doc_id = id_b WHERE batch >= 0.5""")
+def match_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    songs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), F.col("source").alias("song_name"), F.col("lang").alias("name"))
+    out = duplicates.with_metadata(duplicates.find_duplicates(features(spark, sf_dir)), songs)
+    return places(out.select("id_a", "id_b", "label_a", "label_b", "composite"), "composite")
+
+
+_ASCII = r"^[\x00-\x7f]*$"
+_TEXTS = f"""WITH b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS next FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*')),
+t AS (SELECT item_id, trim(text) AS a, trim(next) AS b FROM b WHERE next IS NOT NULL),
+r AS (SELECT item_id, CASE WHEN length(a) = 0 AND length(b) = 0 THEN 1.0::DOUBLE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS ratio FROM t)"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(_ASCII))
+    rows = rows.withColumn("next", F.lead("text").over(Window.partitionBy(F.lit(0)).orderBy("item_id"))).filter("next IS NOT NULL")
+    return rows.select("item_id", S.text_similarity(F.col("text"), F.col("next")).alias("ratio"))
+
+
+@query(f"{_TEXTS} SELECT item_id, round(ratio, 9) AS ratio FROM r")
+def levenshtein_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(_texts(spark, sf_dir), "ratio")
+
+
+@query(f"{_TEXTS} SELECT item_id, round(CASE WHEN 1 - ratio > 0.3 THEN greatest(0, 0.9 - 0.15 * (1 - ratio)) ELSE 0.9 END, 9) AS composite FROM r")
+def ocr_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _texts(spark, sf_dir).select("item_id", S.ocr_penalised(F.lit(0.9), F.col("ratio"), VECTOR).alias("composite"))
+    return places(df, "composite")
+
+
+@query(f"""{SCORED}, k AS (SELECT id_a, id_b, hash_ensemble FROM s UNION ALL SELECT id, id, 1.0 FROM f)
+SELECT id_a, id_b, CASE WHEN hash_ensemble >= 0.99 THEN 'high' WHEN hash_ensemble <= 0.05 THEN 'low' ELSE 'full' END AS branch FROM k""")
+def short_circuit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stages a pair still needs, with every row against itself too."""
+    own = features(spark, sf_dir)
+    pair = _pairs(spark, sf_dir).select("id_a", "id_b").unionByName(own.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")))
+    h = F.col("hash_ensemble")
+    branch = F.when(h >= VECTOR.short_high - 1e-12, "high").when(h <= VECTOR.short_low, "low").otherwise("full")
+    return pairs.cheap_scores(pair, own, VECTOR).select("id_a", "id_b", branch.alias("branch"))
+
+
+_H = """h AS (SELECT vec_id, 1 + 3 * embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, 2 * embedding[3]::DOUBLE AS c, 1 + 3 * embedding[4]::DOUBLE AS d FROM embeddings),
+p AS (SELECT vec_id, (sqrt(a * a + c * c) + sqrt(b * b + d * d)) / 2 AS scale, degrees(atan2(c, a)) AS rotation FROM h)"""
+
+
+@query(f"""WITH {_H} SELECT vec_id, round(scale, 9) AS scale, round(rotation, 9) AS rotation,
+CASE WHEN scale < 0.4 OR scale > 2.5 THEN 'scale' WHEN abs(rotation) > 30 THEN 'rotation' ELSE 'applied' END AS reason,
+CASE WHEN scale > 1.005 THEN 'zoomed in' WHEN scale < 0.995 THEN 'zoomed out' ELSE 'identical' END AS zoom FROM p""")
+def homography_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"))
+    scale, rotation = S.homography_parts(1 + 3 * F.get("e", F.lit(0)), F.get("e", F.lit(1)), 2 * F.get("e", F.lit(2)), 1 + 3 * F.get("e", F.lit(3)))
+    rows = rows.withColumn("scale", scale).withColumn("rotation", rotation)
+    reason = S.alignment_reason(F.lit(99), F.col("scale"), F.col("rotation"), VECTOR)
+    return places(rows.select("vec_id", "scale", "rotation", reason.alias("reason"), S.zoom_label(F.col("scale")).alias("zoom")), "scale", "rotation")
+
+
+@query(f"""WITH {V}, {FEATURES}, d AS (SELECT a.id AS id_a, b.id AS id_b, list_sum(list_transform(range(64), lambda i: (a.phash[i + 1] <> b.phash[i + 1])::INT)) AS d FROM f a JOIN f b ON a.id <> b.id),
+w AS (SELECT id_a, id_b, d AS d1, lead(d) OVER (PARTITION BY id_a ORDER BY d, id_b) AS d2, row_number() OVER (PARTITION BY id_a ORDER BY d, id_b) AS n FROM d)
+SELECT id_a, id_b, d1::BIGINT AS d1, d2::BIGINT AS d2, d1 < 0.75 * d2 AS good FROM w WHERE n = 1""")
+def ratio_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each descriptor's two nearest others by differing bits.  As vectors of 1 and -1, fewer
+    differing bits are a larger inner product, so this is a nearest-neighbour search for two."""
+    rows = features(spark, sf_dir).select("id", F.transform("phash", lambda b: (2 * b - 1).cast("double")).alias("cls"))
+    near = knn.knn_self(rows, 2).withColumn("d", ((64 - F.col("coarse")) / 2).cast("long"))
+    return near.groupBy("id_a").agg(F.min_by("id_b", "rank").alias("id_b"), F.min_by("d", "rank").alias("d1"), F.max_by("d", "rank").alias("d2")).withColumn("good", F.col("d1") < VECTOR.ratio * F.col("d2"))
+
+
+@query(f"{SCORED} SELECT row_number() OVER (ORDER BY batch DESC, id_a, id_b) AS place, id_a, id_b, round(batch, 9) AS composite FROM s WHERE batch >= 0.5 ORDER BY place LIMIT 20")
+def report_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 of the report, which is what it shows."""
+    found = duplicates.find_duplicates(features(spark, sf_dir)).orderBy(F.desc("composite"), "id_a", "id_b").limit(20)
+    return places(duplicates.ranked(found).select("place", "id_a", "id_b", "composite"), "composite")
+
+
+def _case(c: str, steps: tuple, rest) -> str:
+    show = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return "CASE " + " ".join(f"WHEN {c} >= {cut} THEN {show(v)}" for cut, v in steps) + f" ELSE {show(rest)} END"
+
+
+@query(f"""WITH {V}, y AS (SELECT id, abs(x[1]) * 4 AS score FROM v), z AS (SELECT *, greatest(0, least(1, (score - 0.80) / 0.20)) AS t FROM y)
+SELECT id, {_case('score', S.HEAT, S.COLDEST)} AS heat, {_case('score', S.SHADES, S.LIGHTEST)} AS shade, {VERDICT.format('score')} AS verdict,
+'rgb(' || floor(255 * (1 - t))::INT || ',' || floor(200 * t + 55)::INT || ',60)' AS colour,
+CASE {VERDICT.format('score')} WHEN 'EXACT' THEN '#ff4444' WHEN 'MICRO_VARIANT' THEN '#ff8800' WHEN 'MODIFIED_VARIANT' THEN '#ffcc00' WHEN 'DISTANT' THEN '#88aaff' ELSE '#888888' END AS badge FROM z""")
+def heat_and_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.abs(F.get("cls", F.lit(0))) * 4
+    rows = vectors(spark, sf_dir).select("id", score.alias("score"))
+    x = F.col("score")
+    return rows.select("id", S.bucket(x, S.HEAT, S.COLDEST).alias("heat"), S.bucket(x, S.SHADES, S.LIGHTEST).alias("shade"), S.verdict(x).alias("verdict"), S.score_colour(x).alias("colour"), S.badge_colour(S.verdict(x)).alias("badge"))
+
+
+_OPS = "CASE WHEN event_type IN ('purchase', 'signup') THEN 'add' WHEN event_type IN ('click', 'view') THEN 'edit' ELSE 'delete' END"
+_LATEST = f"WITH l AS (SELECT user_id, event_id, {_OPS} AS op FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
+
+
+@query(f"{_LATEST} SELECT user_id, event_id, op FROM l WHERE op <> 'delete'")
+def index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.expr(_OPS).alias("op"))
+    return latest_changes(events, "user_id", ["ts", "event_id"]).filter("op <> 'delete'").select("user_id", "event_id", "op")
+
+
+@query("SELECT count(*) FILTER (vec_id IN (SELECT vec_id FROM embeddings)) AS removed, count(*) FILTER (vec_id NOT IN (SELECT vec_id FROM embeddings)) AS unknown FROM (SELECT doc_id AS vec_id FROM labels)")
+def bulk_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
+    known = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(True).alias("known"))
+    return wanted.join(known, "vec_id", "left").agg(F.count_if("known").alias("removed"), F.count_if(F.col("known").isNull()).alias("unknown"))
+
+
+@query("SELECT 'vectors' AS part, count(*) AS n FROM embeddings UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'processed', count(*) FROM labels")
+def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, t in (("vectors", "embeddings"), ("documents", "documents"), ("processed", "labels"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{code}', {status}, '{message}')" for code, (status, message) in ERRORS.items()) + ") AS e(code, status, message)")
+def error_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(code, status, message) for code, (status, message) in ERRORS.items()], "code string, status int, message string")
+
+
+@query(f"""WITH {V}, q AS (SELECT id, x FROM v WHERE id = 0), r AS (SELECT v.id, label, list_inner_product(v.x, q.x) AS coarse FROM v, q),
+w AS (SELECT * FROM r ORDER BY coarse DESC, id LIMIT (SELECT greatest(count(*), 80) FROM embeddings WHERE {_ALLOWED})),
+c AS (SELECT 0::BIGINT AS id_a, id AS id_b, coarse FROM w WHERE label IN (0, 1, 2) AND id <> 0 ORDER BY coarse DESC, id LIMIT 20), {FEATURES}, {STAGES},
+z AS (SELECT *, {_VETO} AS composite FROM s)
+SELECT id_a, id_b, {VERDICT.format('composite')} AS verdict, round(composite, 4) AS composite, round(hash_ensemble, 4) AS hash_ensemble, round(dct_spectrum, 4) AS dct_spectrum,
+round(sector_grid, 4) AS sector_grid, round(global_semantic, 4) AS global_semantic, round(patch_spatial, 4) AS patch_spatial, round(grid_min_cell, 4) AS grid_min_cell, round(grid_variance, 4) AS grid_variance
+FROM z WHERE composite >= 0.45 ORDER BY z.composite DESC, coarse DESC, id_b LIMIT 1""")
+def check_duplicate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicate check for vector 0 among the levels 0 to 2, as the columns of the response."""
+    own = features(spark, sf_dir)
+    allowed = own.filter("label IN (0, 1, 2) AND id <> 0").select("id")
+    return duplicates.check_duplicate(own.filter("id = 0"), own, allowed, ScoringConfig(**{**VECTOR.__dict__, "threshold": 0.45}))
+
+
+@query(f"WITH {PAIRS} SELECT id_a AS id FROM c UNION SELECT id_b FROM c")
+def path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = _pairs(spark, sf_dir)
+    return pair.select(F.col("id_a").alias("id")).union(pair.select(F.col("id_b").alias("id"))).distinct()
+
+
+@query(f"{_LATEST} SELECT user_id::VARCHAR AS song_id, (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id FROM l WHERE op <> 'delete'")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a change feed into a new store."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    song = F.col("user_id").cast("string")
+    changes = stream.select(song.alias("song_id"), F.expr(_OPS).alias("op"), F.struct("ts", "event_id").alias("number"), ids.stable_vec_id(song).alias("vec_id"), F.sha2(song, 256).alias("emb_key"), F.array(F.lit(0.0)).alias("cls"))
+    store = SnapshotStore(spark, path)
+    follow(changes, store, f"{path}-progress").awaitTermination()
+    return store.entries().select("song_id", "vec_id")
+
+
+def _rasters(rows: DataFrame, turn: float = 0.0) -> DataFrame:
+    """An image from each vector: smooth shades between its components, BGR."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                small = np.asarray(row.embedding, float).reshape(8, -1)
+                grey = imaging.resized((small - small.min()) / np.ptp(small) * 255, 160, 120)
+                if turn:
+                    c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+                    grey = imaging.warped(grey, np.array([[c, -s, 20], [s, c, -10], [0, 0, 1]]), 160, 120)
+                data = np.repeat(grey.round().astype(np.uint8)[:, :, None], 3, 2).tobytes()
+                out.append((str(row.vec_id), data, 160, 120, 3))
+            yield pd.DataFrame(out, columns=["id", "data", "width", "height", "nChannels"])
+
+    return rows.select("vec_id", "embedding").mapInPandas(draw, "id string, data binary, width int, height int, nChannels int")
+
+
+@query()
+def image_features_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows of an image drawn from each vector."""
+    return image_features.extract_features(_rasters(table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)))
+
+
+@query()
+def warp_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each drawn image against itself turned by 8 degrees."""
+    rows = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
+    image: Column = F.struct("data", "width", "height", "nChannels")
+    one, two = _rasters(rows).select("id", image.alias("a")), _rasters(rows, 8.0).select("id", image.alias("b"))
+    return image_features.align_pairs(one.join(two, "id").select(F.col("id").alias("pair_id"), "a", "b"))
