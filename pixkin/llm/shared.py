@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +55,31 @@ def running_sum(
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = df.join(sums, by).withColumn(name, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     return out.drop("_base")
+
+
+#: Bits of a bitmap of ids, which has this size whatever the number of ids.
+ID_BITS = 26
+
+
+def id_cell(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS)) + 1
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """docs: (doc_id, ...); ids: (id).  The rows of docs whose doc_id may be among ids (keep), or surely
+    isn't.  ids become a bitmap of a fixed size, so docs aren't shuffled; with more ids than it suits
+    more rows count as possible, and a join afterwards has to tell them apart."""
+    cells = ids.select(id_cell("id").alias("c"))
+    parts = cells.groupBy(F.bitmap_bucket_number("c").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+    bitmap = np.zeros((1 << ID_BITS) // 8, np.uint8)
+    for r in parts.collect():  # 2 ** ID_BITS bits in all
+        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    wanted, names = docs.sparkSession.sparkContext.broadcast(bitmap), docs.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column("_cell").fill_null(1).to_numpy() - 1
+            hit = ((wanted.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            yield batch.take(pa.array(np.flatnonzero(hit == keep))).select(names)
+
+    return docs.withColumn("_cell", id_cell("doc_id")).mapInArrow(pick, docs.schema)

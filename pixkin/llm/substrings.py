@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import rows_of, written
 from .wordhash import mix, row_chunks, run_hashes, word_hashes
 
 WIDTH = 13
@@ -121,8 +121,8 @@ def repeated_cells(docs: DataFrame, width: int = WIDTH, grain: int = GRAIN, dept
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, grain: int = GRAIN, depth: int = DEPTH, log2_width: int = LOG2_WIDTH) -> DataFrame:
-    """docs: (doc_id, text).  Per window that also starts in a document with a smaller doc_id: the
-    document, its text's checksum and the number of the window's first word."""
+    """docs: (doc_id, text, text_crc32).  Per window that also starts in a document with a smaller
+    doc_id: the document, its text's checksum and the number of the window's first word."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, width, grain, depth, log2_width))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,21 +140,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, grain: int = GRAIN, de
                     yield pa.RecordBatch.from_arrays([pa.array(full[keep].view(np.int64)), batch.column("doc_id").take(take), batch.column("text_crc32").take(take), pa.array(at[keep].astype(np.int32))], names=["window", "doc_id", "text_crc32", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
-    found = written(rows.mapInArrow(emit, f"window long, doc_id {kind}, text_crc32 long, at int"), "windows")
+    found = written(docs.filter("doc_id IS NOT NULL").mapInArrow(emit, f"window long, doc_id {kind}, text_crc32 long, at int"), "windows")
+    shared.unpersist()
     firsts = found.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
     return found.join(firsts.drop("last_id"), "window").filter("doc_id > first_id").select("doc_id", "text_crc32", "at")
 
 
-def deduped(docs: DataFrame, width: int = WIDTH, texts: bool = True, log2_width: int = LOG2_WIDTH) -> DataFrame:
-    """docs: (doc_id, text).  Per document: doc_id, n_words, n_removed and the kept words joined by
-    one space, or without texts their SHA-256."""
-    docs = docs.select("doc_id", "text")
-    gone = repeated_windows(docs, width, log2_width=log2_width).groupBy("doc_id", "text_crc32").agg(F.collect_list("at").alias("starts"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc32"), "starts")
-    same = (F.col("doc_id") == F.col("_id")) & (F.crc32(F.encode("text", "UTF-8")) == F.col("_crc32"))
-    rows = docs.join(gone, same, "left").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "starts")
-    last, arrow = ("kept_text string", pa.string()) if texts else ("kept_sha256 string", pa.string())
+def _cut(width: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of doc_id, text in UTF-8 and starts: null (nothing goes), or the first words of the windows
+    to remove, -1 alone standing for all."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +158,10 @@ def deduped(docs: DataFrame, width: int = WIDTH, texts: bool = True, log2_width:
                 words = text.as_py().split()  # bytes: at space and 9 to 13
                 n, at = len(words), starts[i]
                 if at.is_valid and len(at):
-                    cover = np.zeros(n + 1, np.int64)
                     at = at.values.to_numpy()
+                    if at[0] < 0:
+                        at = np.arange(max(0, n - width + 1))
+                    cover = np.zeros(n + 1, np.int64)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + width, -1)
                     words = [w for w, c in zip(words, np.cumsum(cover), strict=False) if not c]
@@ -173,9 +169,37 @@ def deduped(docs: DataFrame, width: int = WIDTH, texts: bool = True, log2_width:
                 n_removed.append(n - len(words))
                 joined = b" ".join(words)
                 kept.append(joined.decode() if texts else hashlib.sha256(joined).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, arrow)], names=["doc_id", "n_words", "n_removed", last.split()[0]])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return cut
 
-    return rows.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, {last}")
+
+def deduped(docs: DataFrame, width: int = WIDTH, texts: bool = True, log2_width: int = LOG2_WIDTH) -> DataFrame:
+    """docs: (doc_id, text).  Per document: doc_id, n_words, n_removed and the kept words joined by
+    one space, or without texts their SHA-256.
+
+    Of equal texts only the one with the smallest doc_id goes into the sketch and the windows: it
+    stands for the others, which lose everything that lies in a window.  Only texts that lose
+    something are shuffled."""
+    docs = docs.select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    keys = docs.filter("doc_id IS NOT NULL").select("doc_id", "text_crc32", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.length("text").alias("l"))
+    same = ["h", "g", "l"]
+    firsts = keys.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    copies = keys.join(firsts.filter("first_id < last_id"), same).filter("doc_id > first_id").select("doc_id", "text_crc32").distinct()
+    copies = written(copies, "copies")
+    alone = rows_of(docs, firsts.select(F.col("first_id").alias("id")))
+    gone = repeated_windows(alone, width, log2_width=log2_width).join(copies, ["doc_id", "text_crc32"], "left_anti")
+    gone = gone.groupBy("doc_id", "text_crc32").agg(F.array_distinct(F.collect_list("at")).alias("starts"))
+    gone = written(gone.unionByName(copies.withColumn("starts", F.array(F.lit(-1)))), "removed")
+    ids = gone.select(F.col("doc_id").alias("id")).distinct()
+    spare = rows_of(docs, ids, keep=False).withColumn("starts", F.lit(None).cast("array<int>"))
+    hit = rows_of(docs, ids).join(gone, ["doc_id", "text_crc32"], "left")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = []
+    for rows in (spare, hit):
+        rows = rows.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), "starts")
+        out.append(rows.mapInArrow(_cut(width, texts), f"doc_id {kind}, n_words long, n_removed long, kept string"))
+    return out[0].unionByName(out[1]).withColumnRenamed("kept", "kept_text" if texts else "kept_sha256")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
