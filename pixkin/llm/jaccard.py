@@ -9,8 +9,9 @@ differs from order to order.  Sets that are similar enough share a token among t
 2. Classes with the same first token in an order are compared with the smallest of them; links that
    hold make first components, so large groups of near copies are joined by a link each.
 3. Classes of different components that share a prefix token of the first order and are close
-   enough in size are candidates; those that share no prefix token of every other order are left
-   out, and the others' sets are compared exactly.  Tokens seen in one component only need no pair,
+   enough in size are candidates; those that share too few tokens of their prefixes to be similar
+   enough, or no prefix token of every other order, are left out, and the others' sets are compared
+   exactly.  Tokens seen in one component only need no pair,
    as whatever they would link is linked already.
 4. Components of all links are the result.
 
@@ -28,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import rows_of, written
 from .wordhash import mix, row_chunks, run_hashes, word_hashes
 
 #: Orders that candidates must agree in, and further orders whose first tokens make first links.
@@ -43,7 +44,6 @@ FIRST_TOKENS = 4
 HEAVY_SHARE = 1 / 2000
 #: Only tokens in so many documents of an Arrow batch are counted at all.
 HEAVY_IN_BATCH = 8
-ID_BITS = 26
 
 
 def token_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -128,43 +128,33 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: Broadcast
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, one long, two long, firsts array<long>, {prefixes}")
 
 
-def _cell(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS)) + 1
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """ids: (id).  The token sets of the documents with these ids.  A bitmap of a fixed size keeps
-    nearly all others from being hashed and shuffled; the join leaves the right ones."""
-    spark = docs.sparkSession
-    parts = ids.select(_cell("id").alias("c")).groupBy(F.bitmap_bucket_number("c").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
-    bitmap = np.zeros((1 << ID_BITS) // 8 + 4096, np.uint8)
-    for r in parts.collect():  # 2 ** ID_BITS bits in all
-        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    wanted = spark.sparkContext.broadcast(bitmap)
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = batch.column("cell").to_numpy() - 1
-            hit = np.flatnonzero((wanted.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1)
-            batch = batch.take(pa.array(hit))
-            for a, token, of in token_sets(batch.column("text"), width):
-                begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
-                ends = pa.array(np.append(begin, len(of)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of[begin] + a)), pa.ListArray.from_arrays(ends, pa.array(token.view(np.int64)))], names=["doc_id", "tokens"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _cell("doc_id").alias("cell")).mapInArrow(tokens, f"doc_id {kind}, tokens array<long>")
-    return found.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """pairs: a written table (a, b).  Those whose sets have a Jaccard similarity of num / den or more."""
+    """pairs: a written table (a, b).  Those whose sets have a Jaccard similarity of num / den or more.
+    Texts are a quarter of their sets' size, so they travel and the sets are made anew."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(sets_of(docs, written(ids, "pair-ids"), width), "pair-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb")).cast("long")
-    held = common * den >= (F.size("ta") + F.size("tb") - common) * num
-    return both.filter(held).select("a", "b")
+    ids = written(ids, "pair-ids")
+    texts = rows_of(docs.filter("doc_id IS NOT NULL"), ids).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = []
+                for side in ("ta", "tb"):
+                    own = list(token_sets(part.column(side), width))
+                    tokens, rows = (np.concatenate([x[1] for x in own]), np.concatenate([x[2] + x[0] for x in own])) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    sets.append((tokens, rows, np.bincount(rows, minlength=part.num_rows)))
+                tokens, rows = np.concatenate([sets[0][0], sets[1][0]]), np.concatenate([sets[0][1], sets[1][1]])
+                order = np.lexsort((tokens, rows))
+                tokens, rows = tokens[order], rows[order]
+                twice = (tokens[1:] == tokens[:-1]) & (rows[1:] == rows[:-1])
+                common = np.bincount(rows[1:][twice], minlength=part.num_rows)
+                held = (common > 0) & (common * den >= (sets[0][2] + sets[1][2] - common) * num)
+                yield part.take(pa.array(np.flatnonzero(held))).select(["a", "b"])
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(check, pairs.select("a", "b").schema)
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int, share: float = HEAVY_SHARE) -> DataFrame:
@@ -176,31 +166,39 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, share: f
     signs = written(signatures(docs, width, num, den, heavy), "signatures")
     same = ["n", "one", "two"]
     classes = signs.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = signs.select("doc_id", *same).join(classes, same, "left")
-    # the representative's row; rows alike in doc_id and set are one
-    sets = signs.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same])
+    member = written(signs.select("doc_id", *same).join(classes, same, "left"), "members")
+    reps = member.filter("doc_id = rep").select("doc_id", *same).distinct()
 
-    firsts = sets.select("doc_id", F.posexplode("firsts").alias("k", "token"))
+    firsts = signs.select("doc_id", *same, "firsts").join(reps, ["doc_id", *same], "left_semi").select("doc_id", F.posexplode("firsts").alias("k", "token"))
     hubs = firsts.groupBy("k", "token").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1")
-    stars = firsts.join(hubs, ["k", "token"]).filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
+    # any choice of first pairs gives right results; most that agree twice are links
+    stars = firsts.join(hubs, ["k", "token"]).filter("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").count().filter("count > 1").select("a", "b")
     first_links = written(verified(written(stars, "first-pairs"), docs, width, num, den), "first-links")
     first = written(components(first_links), "first-components")
 
-    of = first.select(F.col("id").alias("doc_id"), "component_id")
-    posts = sets.select("doc_id", "n", F.explode("prefix0").alias("token")).join(of, "doc_id", "left")
-    posts = posts.select("token", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("c"))
+    # only the smallest of each class, with what it is linked to so far
+    of = reps.join(first.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").select("doc_id", *same, F.coalesce("component_id", "doc_id").alias("c"))
+    of = written(of, "components-so-far")
+    top = F.element_at("prefix0", -1).bitwiseXOR(F.lit(-(2**63)))  # keys are unsigned
+    posts = signs.select("doc_id", *same, "prefix0", top.alias("top")).join(of, ["doc_id", *same]).select(F.explode("prefix0").alias("token"), "doc_id", "n", "c", "top")
     shared = posts.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("token")
     posts = written(posts.join(shared, "token", "left_semi"), "postings")
     x, y = posts.alias("x"), posts.alias("y")
     close = (F.col("x.c") < F.col("y.c")) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("m"), *[F.first(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("n", "top")])
+    # the set whose prefix ends first in the order shares with the other's prefix all of its prefix
+    # that it shares at all, so what it can share is that and the rest of it
+    rest = f"CASE WHEN top_x <= top_y THEN (n_x * {num} + {den - 1}) div {den} ELSE (n_y * {num} + {den - 1}) div {den} END - 1"
+    pairs = pairs.filter(f"m + {rest} >= ((n_x + n_y) * {num} + {num + den - 1}) div {num + den}").select("a", "b")
     for k in range(1, ORDERS):
-        own = sets.select("doc_id", f"prefix{k}")
-        pairs = pairs.join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b")
+        pairs = written(pairs, f"candidates-{k}")
+        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
+        own = signs.select("doc_id", f"prefix{k}").join(ids, "doc_id", "left_semi")
+        pairs = pairs.join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b").distinct()
     links = verified(written(pairs, "candidates"), docs, width, num, den)
     final = components(first_links.unionByName(links), "all-links")
 
-    # rows with one doc_id but different sets may stand for two classes, hence the smallest
     out = member.join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
 
