@@ -25,6 +25,8 @@ ITERATIONS = 12
 SMOOTHING = 1.0
 #: First guess: the chance of being good with no bad vote, and with one at least.
 FIRST_GUESS = (0.95, 0.1)
+#: Most documents count as good until the votes tell them apart.
+LEAST_PRIOR = 0.6
 
 #: name: (bad if, good if) over the counts; whole numbers only, so any engine decides alike.
 RULES = {
@@ -124,7 +126,7 @@ def fit_rules(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float,
         if not sums:
             break
         good, bad = (sum(sums.get((0, v), (0, 0))[k] for v in VOTES) for k in (0, 1))
-        prior = (good + SMOOTHING) / (good + bad + 2 * SMOOTHING)
+        prior = max(LEAST_PRIOR, (good + SMOOTHING) / (good + bad + 2 * SMOOTHING))
         parts = [[sums.get((i, v), (0, 0)) for v in VOTES] for i in range(len(RULES))]
         table = [[((g + SMOOTHING) / (good + 3 * SMOOTHING), (b + SMOOTHING) / (bad + 3 * SMOOTHING)) for g, b in rule] for rule in parts]
         guess = _posterior(prior, table)
@@ -160,7 +162,8 @@ def _sql() -> str:
     for n in names:
         for k, v in enumerate(VOTES):
             sums += [f"coalesce(sum(n * g) FILTER (v_{n} = {v}), 0) AS {n}_{k}_g", f"coalesce(sum(n * (1 - g)) FILTER (v_{n} = {v}), 0) AS {n}_{k}_b"]
-    logit = "ln((s.good + {s}) / (s.total + {t}) / (1 - (s.good + {s}) / (s.total + {t})))".format(s=s, t=2 * s)
+    prior = f"greatest({LEAST_PRIOR}, (s.good + {s}) / (s.total + {2 * s}))"
+    logit = f"ln({prior} / (1 - {prior}))"
     for n in names:
         for k, v in enumerate(VOTES):
             logit += f"\n + CASE WHEN v_{n} = {v} THEN ln((s.{n}_{k}_g + {s}) / (s.good + {3 * s}) / ((s.{n}_{k}_b + {s}) / (s.total - s.good + {3 * s}))) ELSE 0 END"
