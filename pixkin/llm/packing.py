@@ -12,12 +12,13 @@ repeated rows are packed once each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import os
 import re
-import sys
 import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,8 @@ class PartIds:
         self.part, self.odd = _patterns()
 
     def parts(self, text: str) -> list[str]:
-        return [text] if max(text) > "\uffff" or self.odd.search(text) else self.part.findall(text)
+        beyond = len(text.encode("utf-16-le")) > 2 * len(text)  # the first 65,536 characters
+        return [text] if beyond or self.odd.search(text) else self.part.findall(text)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         parts = [self.parts(t) if t else [] for t in texts]
@@ -70,7 +72,7 @@ class PartIds:
             self.known = {}
         new = list(every - self.known.keys())
         for x, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(got.ids, "<u4").tobytes()
+            self.known[x] = pack(f"<{len(got.ids)}I", *got.ids)
         get = self.known.__getitem__
         for x in parts:
             yield b"".join(map(get, x))
@@ -81,7 +83,8 @@ class PartIds:
 
 @cache
 def _part_ids(path: str) -> PartIds:
-    """One table a worker, for all its tasks."""
+    """One table a worker, for all its tasks; the tokenizer starts no threads beside them."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return PartIds(path)
 
 
