@@ -23,7 +23,6 @@ SQL = {
     "op4_mix_sources": mixing.OP4_SQL,
     "op7_near_vectors": vectors.OP7_SQL,
     "op8_warc_archive": warc.OP8_SQL,
-    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_substring_dedup": substrings.OP10_SQL,
 }
