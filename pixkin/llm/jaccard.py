@@ -9,10 +9,15 @@ differs from order to order.  Sets that are similar enough share a token among t
 2. Classes with the same first token in an order are compared with the smallest of them; links that
    hold make first components, so large groups of near copies are joined by a link each.
 3. Classes of different components that share a prefix token of the first order and are close
-   enough in size are candidates; those that share too few tokens of their prefixes to be similar
+   enough in size are candidates, unless their parity bitmaps differ in more bits than similar sets
+   can have tokens apart; those that share too few tokens of their prefixes to be similar
    enough, or no prefix token of every other order, are left out, and the others' sets are compared
    exactly.  Tokens seen in one component only need no pair,
    as whatever they would link is linked already.
+
+A parity bitmap has, per bit, whether an odd number of the set's tokens hash to it: each token that
+only one of two sets has changes one bit, so sets differ in at least as many tokens as bits.  It
+tells near copies that are alike, but not enough, apart without their texts.
 4. Components of all links are the result.
 
 No pair is lost, and no group of copies is expanded into pairs.
@@ -25,11 +30,12 @@ no component; rows with one doc_id share what links any of them; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -39,6 +45,8 @@ from .wordhash import mix, row_chunks, run_hashes, word_hashes
 #: Orders that candidates must agree in, and further orders whose first tokens make first links.
 ORDERS = 2
 FIRST_TOKENS = 4
+#: Longs of a parity bitmap, and of the folded one that travels with prefix tokens.
+PARITY, FOLDED = 32, 8
 #: A token is heavy if it occurs in this share of all documents or more.  At most
 #: (mean set size / share) tokens are, which bounds the table that is broadcast.
 HEAVY_SHARE = 1 / 2000
@@ -86,8 +94,8 @@ def heavy_tokens(docs: DataFrame, width: int, share: float = HEAVY_SHARE) -> np.
 
 
 def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: Broadcast) -> DataFrame:
-    """Per document: set size n, two digests of the set, its prefix under each of ORDERS orders and
-    its first token under each of FIRST_TOKENS orders."""
+    """Per document: set size n, two digests of the set, its parity bitmap, its prefix under each of
+    ORDERS orders and its first token under each of FIRST_TOKENS orders."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_by_hash = np.argsort(heavy.value)
@@ -96,6 +104,7 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: Broadcast
             rows_n = batch.num_rows
             size, one, two = np.zeros(rows_n, np.int64), np.zeros(rows_n, np.uint64), np.zeros(rows_n, np.uint64)
             firsts = np.zeros((rows_n, FIRST_TOKENS), np.int64)
+            parity = np.zeros(rows_n * PARITY, np.uint64)
             prefixes: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
             length = np.zeros(rows_n, np.int64)
             for a, tokens, of in token_sets(batch.column("text"), width):
@@ -105,6 +114,8 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: Broadcast
                 row, n = of[begin] + a, np.diff(np.append(begin, len(of)))
                 size[row] = n
                 one[row], two[row] = np.add.reduceat(mix(tokens, 11), begin), np.add.reduceat(mix(tokens, 12), begin)
+                cell = mix(tokens, 13)
+                np.bitwise_xor.at(parity, (of + a) * PARITY + ((cell >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
                 length[row] = n - (n * num + den - 1) // den + 1
                 at = np.minimum(np.searchsorted(sorted_heavy, tokens), max(len(sorted_heavy) - 1, 0))
                 is_heavy = sorted_heavy[at] == tokens if len(sorted_heavy) else np.zeros(len(tokens), bool)
@@ -120,12 +131,33 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: Broadcast
                         prefixes[k].append(key[place < np.repeat(length[row], n)].view(np.int64))
             ends = pa.array(np.append(0, np.cumsum(length)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))) for p in prefixes]
-            columns = [batch.column("doc_id"), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(firsts.ravel()), FIRST_TOKENS).cast(pa.list_(pa.int64())), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "one", "two", "firsts", *[f"prefix{k}" for k in range(ORDERS)]])
+            columns = [batch.column("doc_id"), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.FixedSizeListArray.from_arrays(pa.array(x), k).cast(pa.list_(pa.int64())) for x, k in ((firsts.ravel(), FIRST_TOKENS), (parity.view(np.int64), PARITY))], *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "one", "two", "firsts", "parity", *[f"prefix{k}" for k in range(ORDERS)]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     prefixes = ", ".join(f"prefix{k} array<long>" for k in range(ORDERS))
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, one long, two long, firsts array<long>, {prefixes}")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, one long, two long, firsts array<long>, parity array<long>, {prefixes}")
+
+
+def near_enough(x: str, y: str, size_x: str, size_y: str, longs: int, num: int, den: int) -> Column:
+    """Whether sets with bitmaps x and y of so many longs can have a similarity of num / den: they
+    may have as many tokens apart as their sizes allow beside the tokens they must share."""
+    apart = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(longs))
+    both = f"({size_x} + {size_y})"
+    return F.expr(f"{apart} <= {both} - 2 * (({both} * {num} + {num + den - 1}) div {num + den})")
+
+
+def not_too_far(pairs: DataFrame, signs: DataFrame, num: int, den: int, prefix: str | None = None) -> DataFrame:
+    """pairs: a written table (a, b).  Those whose bitmaps are near enough and, given `prefix`, whose
+    prefixes share a token."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    names = ["n", "parity", *([prefix] if prefix else [])]
+    own = signs.select("doc_id", *names).join(ids, "doc_id", "left_semi")
+    one, two = (own.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names]) for c in "ab")
+    kept = pairs.join(one, "a").join(two, "b").filter(near_enough("parity_a", "parity_b", "n_a", "n_b", PARITY, num, den))
+    if prefix:
+        kept = kept.filter(F.arrays_overlap(f"{prefix}_a", f"{prefix}_b"))
+    return kept.select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -173,18 +205,26 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, share: f
     hubs = firsts.groupBy("k", "token").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1")
     # any choice of first pairs gives right results; most that agree twice are links
     stars = firsts.join(hubs, ["k", "token"]).filter("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").count().filter("count > 1").select("a", "b")
-    first_links = written(verified(written(stars, "first-pairs"), docs, width, num, den), "first-links")
+    stars = not_too_far(written(stars, "first-pairs"), signs, num, den)
+    first_links = written(verified(written(stars, "near-first-pairs"), docs, width, num, den), "first-links")
     first = written(components(first_links), "first-components")
 
     # only the smallest of each class, with what it is linked to so far
     of = reps.join(first.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").select("doc_id", *same, F.coalesce("component_id", "doc_id").alias("c"))
     of = written(of, "components-so-far")
     top = F.element_at("prefix0", -1).bitwiseXOR(F.lit(-(2**63)))  # keys are unsigned
-    posts = signs.select("doc_id", *same, "prefix0", top.alias("top")).join(of, ["doc_id", *same]).select(F.explode("prefix0").alias("token"), "doc_id", "n", "c", "top")
+    folded = F.array(*[reduce(Column.bitwiseXOR, [F.col("parity")[j] for j in range(i, PARITY, FOLDED)]) for i in range(FOLDED)])
+    posts = signs.select("doc_id", *same, "prefix0", top.alias("top"), folded.alias("folded")).join(of, ["doc_id", *same])
+    posts = posts.select(F.explode("prefix0").alias("token"), "doc_id", "n", "c", "top", "folded")
     shared = posts.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("token")
-    posts = written(posts.join(shared, "token", "left_semi"), "postings")
+    shared = written(shared, "shared-tokens")
+    # most tokens are in no other component: they go before the shuffle, by a bitmap of a fixed size
+    maybe = rows_of(posts.withColumnsRenamed({"doc_id": "doc", "token": "doc_id"}), shared.select(F.col("token").alias("id")))
+    maybe = maybe.withColumnsRenamed({"doc_id": "token", "doc": "doc_id"})
+    posts = written(maybe.join(shared, "token", "left_semi"), "postings")
     x, y = posts.alias("x"), posts.alias("y")
     close = (F.col("x.c") < F.col("y.c")) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
+    close = close & near_enough("x.folded", "y.folded", "x.n", "y.n", FOLDED, num, den)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     pairs = pairs.agg(F.count("*").alias("m"), *[F.first(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("n", "top")])
     # the set whose prefix ends first in the order shares with the other's prefix all of its prefix
@@ -192,10 +232,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, share: f
     rest = f"CASE WHEN top_x <= top_y THEN (n_x * {num} + {den - 1}) div {den} ELSE (n_y * {num} + {den - 1}) div {den} END - 1"
     pairs = pairs.filter(f"m + {rest} >= ((n_x + n_y) * {num} + {num + den - 1}) div {num + den}").select("a", "b")
     for k in range(1, ORDERS):
-        pairs = written(pairs, f"candidates-{k}")
-        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
-        own = signs.select("doc_id", f"prefix{k}").join(ids, "doc_id", "left_semi")
-        pairs = pairs.join(own.toDF("a", "pa"), "a").join(own.toDF("b", "pb"), "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b").distinct()
+        pairs = not_too_far(written(pairs, f"candidates-{k}"), signs, num, den, f"prefix{k}")
     links = verified(written(pairs, "candidates"), docs, width, num, den)
     final = components(first_links.unionByName(links), "all-links")
 
