@@ -7,7 +7,8 @@ differs from order to order.  Sets that are similar enough share a token among t
 
 1. Equal sets become one class, whose smallest doc_id stands for it.
 2. Classes with the same first token in an order are compared with the smallest of them; links that
-   hold make first components, so large groups of near copies are joined by a link each.
+   hold make first components, so large groups of near copies are joined by a link each.  Where such
+   classes still fall into several components, each is compared with a few of those in others.
 3. Classes of different components that share a prefix token of the first order and are close
    enough in size are candidates, unless their parity bitmaps differ in more bits than similar sets
    can have tokens apart; those that share too few tokens of their prefixes to be similar
@@ -42,9 +43,12 @@ from .graph import components
 from .shared import rows_of, written
 from .wordhash import mix, row_chunks, run_hashes, word_hashes
 
-#: Orders that candidates must agree in, and further orders whose first tokens make first links.
+#: Orders that candidates must agree in, and hash orders whose first tokens make first links: large
+#: groups of near copies share heavy tokens, so these orders don't tell those from the others.
 ORDERS = 2
-FIRST_TOKENS = 4
+FIRST_TOKENS = 6
+#: Classes with one first token that the others are compared with once more, and links tried of each.
+PIVOTS, TRIES = 16, 4
 #: Longs of a parity bitmap, and of the folded one that travels with prefix tokens.
 PARITY, FOLDED = 32, 8
 #: A token is heavy if it occurs in this share of all documents or more.  At most
@@ -122,10 +126,10 @@ def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: Broadcast
                 rank = np.uint64(1 << 63) + tokens_by_hash[at].astype(np.uint64) if len(sorted_heavy) else None
                 for k in range(FIRST_TOKENS):
                     key = mix(tokens, 20 + k) >> np.uint64(1)
-                    if rank is not None:
-                        key = np.where(is_heavy, rank, key)
                     firsts[row, k] = np.minimum.reduceat(key, begin).view(np.int64)
                     if k < ORDERS:
+                        if rank is not None:
+                            key = np.where(is_heavy, rank, key)
                         key = key[np.lexsort((key, of))]
                         place = np.arange(len(key)) - np.repeat(begin, n)
                         prefixes[k].append(key[place < np.repeat(length[row], n)].view(np.int64))
@@ -160,6 +164,20 @@ def not_too_far(pairs: DataFrame, signs: DataFrame, num: int, den: int, prefix:
     return kept.select("a", "b").distinct()
 
 
+def pivot_pairs(firsts: DataFrame, so_far: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """firsts: (doc_id, k, token); so_far: (doc_id, c).  Pairs (a, b) of classes of different components
+    with the same first token in two orders or more, b being one of PIVOTS classes of that token, near
+    enough; TRIES of each a at most.  They are links to try before the search that loses none."""
+    own = firsts.join(so_far, "doc_id")
+    split = own.groupBy("k", "token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("k", "token")
+    own = written(own.join(split, ["k", "token"], "left_semi"), "split-firsts")
+    pivots = own.groupBy("k", "token", F.pmod(F.xxhash64("c"), F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct("c", "doc_id")).alias("p"))
+    pairs = own.join(pivots.select("k", "token", F.col("p.c").alias("pc"), F.col("p.doc_id").alias("b")), ["k", "token"]).filter("c <> pc")
+    pairs = pairs.groupBy(F.col("doc_id").alias("a"), "b").count().filter("count > 1").select("a", "b")
+    near = not_too_far(written(pairs, "pivot-pairs"), signs, num, den)
+    return near.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(TRIES)).alias("salt")).agg(F.min("b").alias("b")).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """pairs: a written table (a, b).  Those whose sets have a Jaccard similarity of num / den or more.
     Texts are a quarter of their sets' size, so they travel and the sets are made anew."""
@@ -201,13 +219,19 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int, share: f
     member = written(signs.select("doc_id", *same).join(classes, same, "left"), "members")
     reps = member.filter("doc_id = rep").select("doc_id", *same).distinct()
 
-    firsts = signs.select("doc_id", *same, "firsts").join(reps, ["doc_id", *same], "left_semi").select("doc_id", F.posexplode("firsts").alias("k", "token"))
+    firsts = signs.select("doc_id", *same, "firsts").join(reps, ["doc_id", *same], "left_semi").select("doc_id", "n", F.posexplode("firsts").alias("k", "token"))
+    # sets of much different sizes need no first link; the two ways to class sizes overlap
+    firsts = firsts.select("doc_id", "k", F.xxhash64("token", F.floor(8 * F.log("n") + F.col("k") % 2 / 2)).alias("token"))
     hubs = firsts.groupBy("k", "token").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1")
     # any choice of first pairs gives right results; most that agree twice are links
     stars = firsts.join(hubs, ["k", "token"]).filter("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").count().filter("count > 1").select("a", "b")
     stars = not_too_far(written(stars, "first-pairs"), signs, num, den)
     first_links = written(verified(written(stars, "near-first-pairs"), docs, width, num, den), "first-links")
     first = written(components(first_links), "first-components")
+    so_far = reps.select("doc_id").distinct().join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    tried = verified(written(pivot_pairs(firsts, so_far, signs, num, den), "near-pivot-pairs"), docs, width, num, den)
+    first_links = written(first_links.unionByName(tried), "first-links")
+    first = written(components(first_links), "first-components")
 
     # only the smallest of each class, with what it is linked to so far
     of = reps.join(first.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").select("doc_id", *same, F.coalesce("component_id", "doc_id").alias("c"))
