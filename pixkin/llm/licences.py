@@ -1,14 +1,19 @@
 """Licence scans: a trained paragraph classifier.
 
-Paragraphs are lines.  A multinomial logistic regression over hashed word 1- and 2-grams, trained
+Paragraphs are lines, and a notice may run over several.  A multinomial logistic regression over hashed word 1- and 2-grams, trained
 here on variations of short public notices and on ordinary paragraphs, gives each a licence family
 or "unknown".  A prediction below the probability at which held-out paragraphs were right often
 enough counts as unknown (calibration), and so does one that no template of its family confirms: the
 paragraph must hold most of a template's 2-grams.  Only DataFrame functions and MLlib's JVM stages
 are used.
 
-Paragraphs without any cue word (the words that tell a notice from prose) have no evidence for a
-family and are unknown without being scored.
+What is scored is every line by itself and every line joined with those that follow it, one more
+each time, as far as the longest template and some words more reach.  A line without words ends a
+block, and nothing is joined across it.  Hits of one family that share lines are one notice, the one
+that confirms most of a template on the fewest lines; its first line is where it is found.  A hit
+inside a better one of another family is part of that.  Texts and joined lines that can't confirm
+any template (none of more than the 2-grams that may be missing) are left out before scoring, which
+changes no result.
 
 Defined results: a null or empty text has no paragraphs; a null doc_id is reported like any other;
 repeated rows are reported once each; an empty table gives no rows; other columns are ignored.
@@ -17,7 +22,6 @@ repeated rows are reported once each; an empty table gives no rows; other column
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -84,6 +88,8 @@ FEATURES = 1 << 14
 #: A prediction's least precision on held-out paragraphs, and a template's least share of 2-grams.
 PRECISION = 0.99
 CONFIRMED = 0.6
+#: Words of the longest template and a few that a notice may have besides.
+REACH = max(len(t.split()) for texts in TEMPLATES.values() for t in texts) + 8
 
 
 def _varied(text: str, draw: random.Random) -> str:
@@ -149,16 +155,70 @@ class LicenceModel:
         rows = self.model.transform(paragraphs).withColumn("_p", vector_to_array("probability"))
         families = F.array(*[F.lit(f) for f in FAMILIES])
         best = F.array_max("_p")
-        share = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
-        match = reduce(F.greatest, [F.when(F.col("family") == family, _share(text)).otherwise(0.0) for family, text in share])
-        rows = rows.withColumn("family", F.get(families, (F.array_position("_p", best) - 1).cast("int")))
-        return rows.select(*paragraphs.columns, "family", best.alias("probability"), (match >= CONFIRMED).alias("confirmed"))
+        at = (F.array_position("_p", best) - 1).cast("int")
+        share = F.transform(F.get(_template_pairs(), at), lambda t: F.size(F.array_intersect("pairs", t)) / F.size(t))
+        rows = rows.withColumn("family", F.get(families, at)).withColumn("share", F.coalesce(F.array_max(share), F.lit(0.0)))
+        return rows.select(*paragraphs.columns, "family", best.alias("probability"), "share", (F.col("share") >= CONFIRMED).alias("confirmed"))
 
 
-def _share(template: str) -> Column:
+def _pairs(template: str) -> list[str]:
     words = "".join(c if c.isalnum() else " " for c in template.lower()).split()
-    pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
-    return F.size(F.array_intersect("pairs", F.array(*[F.lit(p) for p in pairs]))) / F.lit(float(len(pairs)))
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+
+
+def _template_pairs() -> Column:
+    """The 2-grams of each template of each family, in the order of FAMILIES."""
+    return F.array(*[F.array(*[F.array(*map(F.lit, _pairs(t))) for t in TEMPLATES.get(f, [])]).cast("array<array<string>>") for f in FAMILIES])
+
+
+def _needed() -> str:
+    """Matches every lower-case text that can confirm a template: of each template's 2-grams the
+    longest, one more than may be missing."""
+    needed = set()
+    for template in (t for texts in TEMPLATES.values() for t in texts):
+        pairs = sorted(_pairs(template), key=lambda x: (-len(x), x))
+        least = next(n for n in range(len(pairs) + 1) if n / len(pairs) >= CONFIRMED)
+        needed.update(pairs[: len(pairs) - least + 1])
+    return "(?<![a-z0-9])(?:" + "|".join(x.replace(" ", "[^a-z0-9]+") for x in sorted(needed)) + ")(?![a-z0-9])"
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """docs: (doc_id, text).  What is scored: doc_id, _key, at and to (first and last line) and text."""
+    words = F.transform(F.split("_lower", "\n"), lambda x: F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)))
+    able = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.lower("text").alias("_lower")).filter(F.col("_lower").rlike(_needed()))
+    lines = able.distinct().select("doc_id", "_key", words.alias("_lines")).select("doc_id", "_key", "_lines", F.posexplode("_lines").alias("at", "_own")).filter(F.size("_own") > 0)
+    lines = lines.select("doc_id", "_key", "at", "_own", F.slice("_lines", F.col("at") + 2, F.lit(REACH)).alias("_next"))
+    own, ahead = F.col("_own"), F.col("_next")
+    tail = F.slice(own, F.greatest(F.size(own) - REACH, F.lit(0)) + 1, F.lit(REACH))
+
+    def reached(k: Column) -> Column:  # a block goes on for k lines, and the last of them is needed
+        some = F.forall(F.slice(ahead, F.lit(1), k), lambda x: F.size(x) > 0)
+        return (k == 0) | (some & (F.size(F.flatten(F.slice(ahead, F.lit(1), k - 1))) < REACH))
+
+    def joined(k: Column) -> Column:
+        more = F.concat(tail, F.slice(F.flatten(F.slice(ahead, F.lit(1), k)), F.lit(1), F.lit(REACH)))
+        return F.struct((F.col("at") + k).alias("to"), F.array_join(F.when(k == 0, own).otherwise(more), " ").alias("text"))
+
+    steps = F.filter(F.sequence(F.lit(0), F.size(ahead)), lambda k: F.when(k == 0, F.lit(True)).otherwise(reached(k)))
+    return lines.select("doc_id", "_key", "at", F.inline(F.transform(steps, joined))).filter(F.col("text").rlike(_needed()))
+
+
+_NOTICES = "array<struct<miss:double,long:int,at:int,to:int,family:string>>"
+
+
+def _notices(hits: Column) -> Column:
+    """hits: structs of _NOTICES, best first.  One of those that share lines and family, and none
+    inside a better one of another family; in the order of lines."""
+
+    def step(a: Column, x: Column) -> Column:
+        known = F.exists(a, lambda y: (y["family"] == x["family"]) & (y["at"] <= x["to"]) & (x["at"] <= y["to"]))
+        return F.when(known, a).otherwise(F.concat(a, F.array(x)))
+
+    def whole(a: Column) -> Column:
+        inside = lambda x: F.exists(a, lambda y: (y["miss"] < x["miss"]) & (y["at"] <= x["at"]) & (x["to"] <= y["to"]))
+        return F.array_sort(F.transform(F.filter(a, lambda x: ~inside(x)), lambda x: F.struct(x["at"].alias("at"), x["family"].alias("family"))))
+
+    return F.aggregate(hits, F.array().cast(_NOTICES), step, whole)
 
 
 def licence_report(docs: DataFrame, model: LicenceModel) -> DataFrame:
@@ -166,9 +226,10 @@ def licence_report(docs: DataFrame, model: LicenceModel) -> DataFrame:
     paragraph:family, comma-joined."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     key = F.xxhash64("text").alias("_key")
-    hits = docs.select("doc_id", key, F.posexplode(lines).alias("at", "text")).filter(F.col("text").rlike(CUES)).distinct()
-    found = model.scored(hits).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold) & F.col("confirmed"))
-    found = found.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_list(F.struct("at", "family"))).alias("found")).withColumnRenamed("doc_id", "_id").withColumnRenamed("_key", "_k")
+    found = model.scored(_joined(docs)).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold) & F.col("confirmed"))
+    hit = F.struct((1 - F.col("share")).alias("miss"), (F.col("to") - F.col("at")).alias("long"), "at", "to", "family")
+    found = found.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_list(hit)).cast(_NOTICES).alias("hits"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), _notices(F.col("hits")).alias("found"))
     rows = docs.select("doc_id", key, F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"))
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
     return rows.select(
