@@ -7,7 +7,7 @@ all paths.  Only DataFrame functions are used.
 
 Defined results: a null text counts as empty and has no findings; a null path is reported like any
 other; repeated rows are reported once each; an empty table gives no rows.  Spans count code points
-and exclude their end.
+and exclude their end.  A private key's span is the whole key; OP3_SQL gives its first line only.
 """
 
 from __future__ import annotations
@@ -21,13 +21,21 @@ from pyspark.sql import functions as F
 
 from .shared import shared_dir
 
+#: A PEM key up to its END line; where that is missing, up to the last of the base64 lines that follow
+#: (plain, quoted, commented or with escaped line breaks) and a shorter one after them.
+_SPACE = r"""(?:[\s>#*"',]|\\[nr])*+"""
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:(?:{_SPACE}(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|(?:Proc-Type|DEK-Info):[^\n]*+))++"
+    rf"""(?:{_SPACE}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[ \t\r]*(?:\n|\z|\\|["'])))?+)?+)"""
+)
 #: kind: (pattern, group that must be long enough, its least length), matched leftmost without
 #: overlap; the first three are the base kinds.
 RULES = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
-    "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "private_key": (PRIVATE_KEY, 0, 1),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
 }
@@ -71,7 +79,7 @@ def scan(blobs: DataFrame, rules: dict = RULES) -> DataFrame:
 class BlobLedger:
     """What was scanned and found so far, as two tables under a path that all executors see."""
 
-    def __init__(self, spark: SparkSession, path: str, rules: dict = RULES, version: str = "1"):
+    def __init__(self, spark: SparkSession, path: str, rules: dict = RULES, version: str = "2"):
         self.spark, self.path, self.rules, self.version = spark, path, rules, version
 
     def _table(self, name: str, schema: str) -> DataFrame:
