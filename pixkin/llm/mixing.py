@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Hex digits of the key that name a range: 4096 ranges a source.
 RANGE_DIGITS = 3
+#: Groups that rows alike are numbered in.
+SALTS = 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -91,16 +93,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("rest") * 2 >= F.col("size")).cast("long"))
     # rows alike in doc_id, text and source are interchangeable: their copies add up
     plan = plan.groupBy("doc_id", "_row").agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows"))
+    plan = written(plan.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_key"), "mix-copies")
     left = docs.withColumn("_row", text_key)
-    hit = left.join(plan.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_key"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_row") == F.col("_key")))
-    # of n interchangeable rows each is given its share; what doesn't divide goes by one more copy each
-    share = F.col("_copies") / F.col("_rows")
-    return (
-        hit.withColumn("_n", F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.round(share)).cast("int"))
-        .filter("_n > 0")
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .select(*docs.columns)
-    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
+    out = left.join(plan.filter("_rows = 1"), same).select(*docs.columns, F.col("_copies").alias("_n"))
+    if not plan.filter("_rows > 1").isEmpty():
+        # n of them are numbered and given their share each; what doesn't divide goes to the first by one more copy
+        alike = left.join(plan.filter("_rows > 1"), same).withColumn("_who", source_key("doc_id")).withColumn("_line", F.monotonically_increasing_id())
+        alike = written(alike.withColumn("_salt", F.pmod("_line", F.lit(SALTS)).cast("int")), "mix-alike")
+        ranked = running_sum(alike, ["_who", "_row"], "_salt", ["_line"], None, "_rank")
+        more = (F.col("_rank") < F.col("_copies") % F.col("_rows")).cast("long")
+        out = out.unionByName(ranked.select(*docs.columns, (F.expr("_copies div _rows") + more).alias("_n")))
+    return out.filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Cases that the operators once left out."""
 
-from pixkin.llm import licences, secrets
+import random
+from collections import Counter
+
+from pixkin.llm import licences, mixing, secrets
 
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions
@@ -47,3 +50,25 @@ def test_private_keys(spark):
     first = texts[0][0]
     spans = {r.doc_id: r.spans for r in secrets.reports(docs, ledger).collect()}
     assert spans[0] == f"private_key:{first.index(begin)}:{first.index(end) + len(end)}"
+
+
+def test_equal_rows_are_mixed_to_the_budget(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(None, text, s, i) for s in "abc" for i in range(10)] + [(7, None, "a", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").repartition(3)
+    mixed = mixing.mixed_documents(docs).collect()
+    # budgets of 188, 75 and 38 words in documents of ten, taken when half of one lies inside
+    assert Counter(r.source for r in mixed if r.text) == {"a": 19, "b": 8, "c": 4}
+    assert Counter(r.doc_id for r in mixed if not r.text) == {7: 3}
+    each = Counter((r.source, r.other) for r in mixed if r.text)
+    assert {s: sorted(each[s, i] for i in range(10)) for s in "abc"} == {"a": [1] + [2] * 9, "b": [0] * 2 + [1] * 8, "c": [0] * 6 + [1] * 4}
+    # repeated rows with and without ids, against the copies of each document in the plan
+    draw = random.Random(3)
+    rows = [(draw.choice([None, 1, 2]), " ".join(["w"] * draw.randint(0, 6)), draw.choice(["a", "b", "c", None]), 0) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").repartition(3)
+    want = Counter()
+    for r in mixing.mix_plan(docs).collect():
+        n = 1 if r.size == 0 else r.epochs + (2 * r.rest >= r.size)
+        want[r.doc_id, r.size, r.src] += n
+    got = Counter((r.doc_id, len(r.text.split()), "1" if r.source is None else "0" + r.source) for r in mixing.mixed_documents(docs).collect())
+    assert got == +want
