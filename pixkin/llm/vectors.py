@@ -11,15 +11,18 @@ block that brings it up; then its cosine is taken in double precision.
 Exactly equal vectors are one class with a multiplicity.  Links are counted where they are found
 and passed on as sums and as one edge a vector, never as pairs.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose
-number of components differs from the most usual one, link with nothing, and neither does a null
-vec_id, whose component is null; repeated rows link with each other; an empty table gives no rows.
+Vectors of different lengths have no cosine; each length is joined by itself.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
+nothing, and neither does a null vec_id, whose component is null; repeated rows link with each
+other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -213,9 +216,10 @@ def linked(groups: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, piec
 def near_vectors(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, piece: int = PIECE) -> DataFrame:
     """rows: (vec_id, embedding).  Per row: vec_id, n_links, component_id and kept."""
     keyed, groups = classes(rows)
-    usual = groups.groupBy("d").agg(F.sum("many").alias("n")).orderBy(F.desc("n"), "d").limit(1).select("d")
-    groups = written(groups.join(usual, "d", "left_semi").withColumn("node", F.col("rep").cast("long")), "vector-classes")
-    found = written(linked(groups, cosine, blocks, piece), "vector-links")
+    groups = written(groups.withColumn("node", F.col("rep").cast("long")), "vector-classes")
+    lengths = sorted(r["d"] for r in groups.select("d").distinct().collect())  # a table has few
+    parts = [groups.filter(F.col("d") == d) for d in lengths] or [groups]
+    found = written(reduce(DataFrame.unionByName, [linked(x, cosine, blocks, piece) for x in parts]), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "vector-edges")
     by = groups.select("a", "b", "d", "rep", "many", "node").join(links, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")

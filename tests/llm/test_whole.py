@@ -1,9 +1,10 @@
 """Cases that the operators once left out."""
 
+import math
 import random
 from collections import Counter
 
-from pixkin.llm import licences, mixing, secrets
+from pixkin.llm import licences, mixing, secrets, vectors
 
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions
@@ -72,3 +73,19 @@ def test_equal_rows_are_mixed_to_the_budget(spark):
         want[r.doc_id, r.size, r.src] += n
     got = Counter((r.doc_id, len(r.text.split()), "1" if r.source is None else "0" + r.source) for r in mixing.mixed_documents(docs).collect())
     assert got == +want
+
+
+def test_vectors_of_several_lengths(spark):
+    draw, rows = random.Random(9), []
+    for d, n in ((16, 20), (8, 20), (3, 6), (1, 2)):
+        base = [[draw.gauss(0, 1) for _ in range(d)] for _ in range(4)]
+        rows += [[x + draw.gauss(0, 0.1) for x in base[i % 4]] for i in range(n)] + [base[0], base[0]]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, piece=16).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    links = {i: {j for j, b in enumerate(rows) if j != i and len(a) == len(b) and cos(a, b) >= 0.95} for i, a in enumerate(rows)}
+    least = {i: i for i in links}
+    for _ in links:
+        least = {i: min([least[i], *(least[j] for j in links[i])]) for i in links}
+    assert got == {i: (len(links[i]), least[i], least[i] == i) for i in links}
