@@ -51,19 +51,21 @@ def _patterns() -> tuple[re.Pattern, re.Pattern]:
 class PartIds:
     """Token ids of texts, as the bytes of little-endian unsigned 32-bit numbers.  Texts are cut into
     runs of letters (with a space before) and what lies between, which is where pre-tokens end; the
-    ids of each part are looked up, and new parts go to the tokenizer in batches."""
+    ids of each part are looked up, and new parts go to the tokenizer in batches.  Texts that hold an
+    added token's literal go there whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.part, self.odd = _patterns()
 
     def parts(self, text: str) -> list[str]:
         beyond = len(text.encode("utf-16-le")) > 2 * len(text)  # the first 65,536 characters
-        return [text] if beyond or self.odd.search(text) else self.part.findall(text)
+        whole = beyond or self.odd.search(text) or any(x in text for x in self.added)
+        return [text] if whole else self.part.findall(text)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         parts = [self.parts(t) if t else [] for t in texts]

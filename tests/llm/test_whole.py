@@ -4,7 +4,7 @@ import math
 import random
 from collections import Counter
 
-from pixkin.llm import licences, mixing, secrets, vectors
+from pixkin.llm import licences, mixing, packing, secrets, vectors
 
 BSD = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions
@@ -89,3 +89,14 @@ def test_vectors_of_several_lengths(spark):
     for _ in links:
         least = {i: min([least[i], *(least[j] for j in links[i])]) for i in links}
     assert got == {i: (len(links[i]), least[i], least[i] == i) for i in links}
+
+
+def test_literals_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words, 12 of them\n", "x<|endoftext|>y <|endoftext", "it's <|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in packing.token_pieces(docs, packing.default_tokenizer()).collect()}
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, packing.END_TOKEN] for i, t in enumerate(texts)}
+    assert 50256 in got[0]
