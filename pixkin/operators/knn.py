@@ -75,6 +75,45 @@ def restricted(query: DataFrame, corpus: DataFrame, allowed: DataFrame, k: int,
     return hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("id_a", "id_b", "coarse", "rank")
 
 
+#: Scores this close are equal: block products of other shapes may differ in the last bits.
+TIE = 1e-12
+
+
+def _ahead(hits: DataFrame, queries: DataFrame, corpus: DataFrame, block: int) -> DataFrame:
+    """Per hit (id_a, id_b, coarse) the number of corpus rows that come before it."""
+    n = _blocks(max(queries.count(), corpus.count()), block)
+    kind = corpus.schema["id"].dataType.simpleString()
+    mine = hits.groupBy("id_a").agg(F.collect_list(F.struct("id_b", "coarse")).alias("near"))
+    mine = mine.select(F.col("id_a").alias("id"), F.col("near.id_b").alias("near"), F.col("near.coarse").alias("coarse"))
+
+    def count(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id_a": q["q_id"][:0], "id_b": q["q_id"][:0], "ahead": np.zeros(0, np.int64)})]
+        if len(q) and len(c):
+            b, ids = np.stack(c["c_cls"].to_numpy()), c["c_id"].to_numpy()
+            for row in q.itertuples():
+                score, near, coarse = b @ np.asarray(row.q_cls), np.asarray(row.q_near)[:, None], np.asarray(row.q_coarse)[:, None]
+                before = (score > coarse + TIE) | ((np.abs(score - coarse) <= TIE) & (ids < near))
+                out.append(pd.DataFrame({"id_a": row.q_id, "id_b": near[:, 0], "ahead": (before & (ids != near)).sum(1)}))
+        return pd.concat(out)
+
+    asked = _dealt(queries, n, "a").join(mine, "id").select(*[F.col(x).alias(f"q_{x}") for x in ("i", "j", "id", "cls", "near", "coarse")])
+    found = asked.groupBy("q_i", "q_j").cogroup(_dealt(corpus, n, "b").select(*[F.col(x).alias(f"c_{x}") for x in ("i", "j", "id", "cls")]).groupBy("c_i", "c_j")).applyInPandas(count, f"id_a {kind}, id_b {kind}, ahead long")
+    return found.groupBy("id_a", "id_b").agg(F.sum("ahead").alias("ahead"))
+
+
+def restricted_each(queries: DataFrame, corpus: DataFrame, allowed: DataFrame, k: int, mode: str = "postfilter", block: int = BLOCK) -> DataFrame:
+    """`restricted` for any number of queries, each of which may find all allowed rows but itself.
+    What postfilter keeps are the first of prefilter's hits, as far as their places in the whole
+    corpus are within max(|allowed|, 4k); the places are counted."""
+    hits = knn(queries, corpus.join(allowed, "id", "left_semi"), k, block=block)
+    if mode == "prefilter":
+        return hits
+    own = queries.join(allowed, "id", "left_semi").select(F.col("id").alias("id_a"), F.lit(1).alias("own"))
+    wide = F.greatest(F.lit(allowed.count()) - F.coalesce("own", F.lit(0)), F.lit(4 * k))
+    placed = hits.join(_ahead(hits, queries, corpus, block), ["id_a", "id_b"]).join(own, "id_a", "left")
+    return placed.filter(F.col("ahead") < wide).select("id_a", "id_b", "coarse", "rank")
+
+
 def candidate_pairs(neighbours: DataFrame, coarse: float) -> DataFrame:
     """Unordered pairs with id_a < id_b, once each, at least `coarse` alike."""
     pair = neighbours.filter(F.col("coarse") >= coarse)

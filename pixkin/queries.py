@@ -151,6 +151,29 @@ def knn_restricted_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _restricted(spark, sf_dir, "prefilter")
 
 
+def _restricted_each(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return places(knn.restricted_each(rows.filter("id % 20 = 0"), rows, rows.filter("label IN (0, 1, 2)").select("id"), 20, mode), "coarse")
+
+
+_EACH = f"""{V}, r AS (SELECT a.id AS id_a, b.id AS id_b, b.label, list_inner_product(a.x, b.x) AS coarse,
+  row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.x, b.x) DESC, b.id) AS place FROM v a, v b WHERE a.id % 20 = 0),
+w AS (SELECT id_a, greatest(count(*) FILTER (label IN (0, 1, 2) AND id_b <> id_a), 80) AS wide FROM r GROUP BY id_a),
+n AS (SELECT id_a, id_b, coarse, row_number() OVER (PARTITION BY id_a ORDER BY coarse DESC, id_b) AS rank
+  FROM r JOIN w USING (id_a) WHERE place <= wide AND label IN (0, 1, 2) AND id_b <> id_a QUALIFY rank <= 20)"""
+
+
+@query(f"WITH {_EACH} SELECT id_a, id_b, round(coarse, 9) AS coarse, rank FROM n")
+def knn_restricted_postfilter_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all allowed rows but itself."""
+    return _restricted_each(spark, sf_dir, "postfilter")
+
+
+@query(f"WITH {_EACH.replace('place <= wide AND ', '')} SELECT id_a, id_b, round(coarse, 9) AS coarse, rank FROM n")
+def knn_restricted_prefilter_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restricted_each(spark, sf_dir, "prefilter")
+
+
 @query(f"WITH {PAIRS} SELECT id_a, id_b, round(coarse, 9) AS coarse FROM c")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(knn.candidate_pairs(knn.knn_self(vectors(spark, sf_dir), 20), VECTOR.coarse), "coarse")
@@ -365,6 +388,14 @@ def check_duplicate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.check_duplicate(own.filter("id = 0"), own, allowed, ScoringConfig(**{**VECTOR.__dict__, "threshold": 0.45}))
 
 
+@query()
+def check_duplicate_json_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicate check for every vector whose id is divisible by 20."""
+    own = features(spark, sf_dir)
+    config = ScoringConfig(**{**VECTOR.__dict__, "threshold": 0.45})
+    return duplicates.check_duplicate(own.filter("id % 20 = 0"), own, own.filter("label IN (0, 1, 2)").select("id"), config, knn.restricted_each)
+
+
 @query(f"WITH {PAIRS} SELECT id_a AS id FROM c UNION SELECT id_b FROM c")
 def path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = _pairs(spark, sf_dir)
