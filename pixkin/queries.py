@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixkin.config import VECTOR, ScoringConfig
@@ -266,11 +266,23 @@ t AS (SELECT item_id, trim(text) AS a, trim(next) AS b FROM b WHERE next IS NOT
 r AS (SELECT item_id, CASE WHEN length(a) = 0 AND length(b) = 0 THEN 1.0::DOUBLE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS ratio FROM t)"""
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+def in_turn(rows: DataFrame, ranges: int = 64) -> DataFrame:
+    """rows: (item_id, text).  Every row but the last with the next one's text, in the order of item_id.
+    Rows are numbered range by range of ids, so that no task has to sort them all."""
+    cuts = rows.agg(F.percentile_approx("item_id", [i / ranges for i in range(1, ranges)])).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col("item_id")))
+    rows = rows.select("item_id", "text", part.alias("part"))
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row a range
+    base = counts.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("base"))
+    number = F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("item_id", "text"))
+    rows = rows.join(F.broadcast(base), "part").select("item_id", "text", number.alias("number"))
+    return rows.join(rows.select((F.col("number") - 1).alias("number"), F.col("text").alias("next")), "number").select("item_id", "text", "next")
 
-    rows = table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(_ASCII))
-    rows = rows.withColumn("next", F.lead("text").over(Window.partitionBy(F.lit(0)).orderBy("item_id"))).filter("next IS NOT NULL")
+
+def _texts(spark: SparkSession, sf_dir: str, ascii_only: bool = True) -> DataFrame:
+    """DuckDB's levenshtein counts bytes, so the queries with SQL are over ASCII rows; the others take all."""
+    rows = table(spark, sf_dir, "benchmark")
+    rows = in_turn(rows.filter(F.col("text").rlike(_ASCII)) if ascii_only else rows)
     return rows.select("item_id", S.text_similarity(F.col("text"), F.col("next")).alias("ratio"))
 
 
@@ -285,6 +297,18 @@ def ocr_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(df, "composite")
 
 
+@query()
+def levenshtein_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with the next, ASCII or not; a null text counts as empty."""
+    return places(_texts(spark, sf_dir, ascii_only=False), "ratio")
+
+
+@query()
+def ocr_penalty_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _texts(spark, sf_dir, ascii_only=False).select("item_id", S.ocr_penalised(F.lit(0.9), F.col("ratio"), VECTOR).alias("composite"))
+    return places(df, "composite")
+
+
 @query(f"""{SCORED}, k AS (SELECT id_a, id_b, hash_ensemble FROM s UNION ALL SELECT id, id, 1.0 FROM f)
 SELECT id_a, id_b, CASE WHEN hash_ensemble >= 0.99 THEN 'high' WHEN hash_ensemble <= 0.05 THEN 'low' ELSE 'full' END AS branch FROM k""")
 def short_circuit_split(spark: SparkSession, sf_dir: str) -> DataFrame:

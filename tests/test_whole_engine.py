@@ -35,3 +35,28 @@ def test_every_twentieth_row_is_a_query(spark, tmp_path):
     for name in ("knn_restricted_postfilter_each", "knn_restricted_prefilter_each", "check_duplicate_json_each"):
         got = {r.id_a for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got <= set(range(0, 120, 20)) and len(got) > 1
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_texts_beyond_ascii_are_compared(spark, tmp_path):
+    draw = random.Random(2)
+    texts = ["", None, "  ", "é", "naïve café", "naive cafe", "日本語", "日本", "😀 a", "plain"]
+    texts += ["".join(draw.choice("abéü日😀") for _ in range(draw.randint(0, 12))) for _ in range(150)]
+    rows = list(zip(draw.sample(range(1000), len(texts)), texts, strict=True))
+    spark.createDataFrame(rows, "item_id long, text string").repartition(5).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows, want = sorted(rows), {}
+    for (i, a), (_, b) in zip(rows, rows[1:], strict=False):
+        a, b = (a or "").strip(), (b or "").strip()
+        want[i] = 1.0 if not a and not b else 0.0 if not a or not b else 1 - distance(a, b) / max(len(a), len(b))
+    got = {r.item_id: r.ratio for r in queries.QUERIES["levenshtein_ratio_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and len(got) == len(texts) - 1
+    got = {r.item_id: r.composite for r in queries.QUERIES["ocr_penalty_all"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({i: max(0, 0.9 - 0.15 * (1 - r)) if 1 - r > 0.3 else 0.9 for i, r in want.items()}, abs=1e-9)
