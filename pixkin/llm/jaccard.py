@@ -1,37 +1,39 @@
 """Jaccard join of documents on word n-grams by filters under several global token orders.
 
-A document's set holds the hashes of its distinct n-grams.  Tokens that occur in many documents
-("heavy" ones) come last in every order, the rarer first; all others are ordered by a hash that
-differs from order to order.  Sets that are similar enough share a token among the first
-|set| - ceil(threshold * |set|) + 1 of each order, so:
-
-1. Equal sets become one class, whose smallest doc_id stands for it.
-2. Classes with the same first token in an order are compared with the smallest of them; links that
-   hold make first components, so large groups of near copies are joined by a link each.  Where such
-   classes still fall into several components, each is compared with a few of those in others.
-3. Classes of different components that share a prefix token of the first order and are close
-   enough in size are candidates, unless their parity bitmaps differ in more bits than similar sets
-   can have tokens apart; those that share too few tokens of their prefixes to be similar
-   enough, or no prefix token of every other order, are left out, and the others' sets are compared
-   exactly.  Tokens seen in one component only need no pair,
-   as whatever they would link is linked already.
-
-A parity bitmap has, per bit, whether an odd number of the set's tokens hash to it: each token that
-only one of two sets has changes one bit, so sets differ in at least as many tokens as bits.  It
-tells near copies that are alike, but not enough, apart without their texts.
-4. Components of all links are the result.
-
-No pair is lost, and no group of copies is expanded into pairs.
+A document's set holds the hashes of its distinct n-grams.  An order of all tokens goes by their
+frequencies, the rarest first, and among equally rare ones by a hash that differs from order to
+order.  Sets that are similar enough share a token among the first |set| - ceil(threshold * |set|)
++ 1 of every order, so:
+
+1. A pass over the texts gives each set's size and digests, and sketches how often tokens occur
+   (one row of a count-min sketch).  Any frequencies give right results, as long as all tasks use the same.
+2. Equal sets become one class, whose smallest doc_id stands for it.
+3. A second pass over those gives each set's prefix under every order.  Tokens that occur once in all
+   the table are left out of the prefixes: no other set has them.  Few sets have any token left.
+4. Sets that share a prefix token of the first order with the smallest of the token's list are candidates,
+   and so are, in another round, all pairs that share one but lie in different components so far.
+   In both rounds a candidate must also share a prefix token under every other order, and what is
+   left is compared exactly.
+
+So no pair is lost that joins components, and no group of copies is expanded into pairs.  In the second
+round parity bitmaps keep near copies apart that are alike, but not enough: a bitmap has, per bit, whether
+an odd number of the set's tokens hash to it, so sets differ in at least as many tokens as bits.
+A token's list is joined with itself in blocks of a bounded size.
+
+What grows with the table: 24 bytes a document, and for those with prefix tokens left the prefixes, the
+tokens (8 bytes each) and the bitmap.  The sketch has a fixed size, at most 2 ** (MOST_CELLS - 1) bytes;
+beyond a few hundred million tokens it no longer tells which occur once, so that all prefixes (a tenth of
+the tokens at 0.9) go to the join on tokens, but it still puts frequent tokens last.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; with fewer words
-than the n-gram, the whole sequence is the one token; a null doc_id is linked with nothing and has
-no component; rows with one doc_id share what links any of them; an empty table gives no rows.
+than the n-gram, the whole sequence is the one token; very long texts are sets like others; a null doc_id
+is linked with nothing and has no component; rows with one doc_id and some words share what links any of
+them; an empty table gives no rows; other columns are ignored, and kept as they are by `one_of_each`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +42,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import rows_of, written
+from .shared import Scratch, free_name, maybe_among, written
+from .sketch import PARTS, Gathered, log2_cells, merged
 from .wordhash import mix, row_chunks, run_hashes, word_hashes
 
-#: Orders that candidates must agree in, and hash orders whose first tokens make first links: large
-#: groups of near copies share heavy tokens, so these orders don't tell those from the others.
-ORDERS = 2
-FIRST_TOKENS = 6
-#: Classes with one first token that the others are compared with once more, and links tried of each.
-PIVOTS, TRIES = 16, 4
-#: Longs of a parity bitmap, and of the folded one that travels with prefix tokens.
-PARITY, FOLDED = 32, 8
-#: A token is heavy if it occurs in this share of all documents or more.  At most
-#: (mean set size / share) tokens are, which bounds the table that is broadcast.
-HEAVY_SHARE = 1 / 2000
-#: Only tokens in so many documents of an Arrow batch are counted at all.
-HEAVY_IN_BATCH = 8
+#: Orders that candidates must agree in.
+ORDERS = 3
+#: Cells of the sketch, as powers of two.  There is one a token, by so many bytes of text, of which half
+#: are counted: so some cells stay without any, and most tokens that occur once are known to.
+LEAST_CELLS, MOST_CELLS = 16, 27
+BYTES_A_TOKEN = 6
+#: Longs of a parity bitmap.
+PARITY = 32
+#: Documents of a token's list that are compared with as many others in one group.
+BLOCK = 1024
+
+SIGNS = "n long, one long, two long"
 
 
 def token_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -80,188 +82,203 @@ def token_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, n
         yield a, tokens[new], of[new]
 
 
-def heavy_tokens(docs: DataFrame, width: int, share: float = HEAVY_SHARE) -> np.ndarray:
-    """Tokens of many documents, the rarest first.  Any list gives right results; this one keeps
-    tokens with long lists of documents out of the prefixes."""
+def _digests(tokens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set."""
+    return np.add.reduceat(mix(tokens, 11), begin), np.add.reduceat(mix(tokens, 12), begin)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [t for _, t, _ in token_sets(batch.column("text"), width)]
-            token, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= HEAVY_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.full(int(often.sum()), 0))], names=["token", "n", "rows"])
 
-    total = docs.count()
-    counts = docs.select("text").mapInArrow(count, "token long, n long, rows long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counts.filter(F.col("n") >= max(HEAVY_IN_BATCH, share * total)).orderBy("n", "token").select("token").toPandas()
-    return found["token"].to_numpy(np.int64).view(np.uint64)
+def _counted(tokens: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are counted (half of them, by hash) and the cells of all."""
+    return tokens < np.uint64(1 << 63), ((tokens << np.uint64(1)) >> np.uint64(64 - log2)).astype(np.int64)
 
 
-def signatures(docs: DataFrame, width: int, num: int, den: int, heavy: Broadcast) -> DataFrame:
-    """Per document: set size n, two digests of the set, its parity bitmap, its prefix under each of
-    ORDERS orders and its first token under each of FIRST_TOKENS orders."""
+def signed(docs: DataFrame, width: int, log2: int) -> DataFrame:
+    """Rows of two kinds.  Per document: doc_id, set size n and two digests of the set.  Of the sketch of
+    tokens: shard, cells and counts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n", "one", "two", "shard", "cells", "counts"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_by_hash = np.argsort(heavy.value)
-        sorted_heavy = heavy.value[tokens_by_hash]
+        held, key_type = Gathered(1, log2), None
+
+        def flushed() -> pa.RecordBatch:
+            parts = held.flush()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(parts[0]), t) for t in (key_type, *[pa.int64()] * 3)] + parts, names=names)
+
+        for batch in batches:
+            key_type, rows = batch.column("doc_id").type, batch.num_rows
+            n, one, two = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            for a, tokens, of in token_sets(batch.column("text"), width):
+                if not len(tokens):
+                    continue
+                begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                row = of[begin] + a
+                n[row] = np.diff(np.append(begin, len(of)))
+                one[row], two[row] = _digests(tokens, begin)
+                counted, cell = _counted(tokens, log2)
+                held.add(0, cell[counted])
+                if held.full():
+                    yield flushed()
+            columns = [batch.column("doc_id"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(rows, t) for t in (pa.int32(), pa.binary(), pa.binary())], names=names)
+        if held.many:
+            yield flushed()
+
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, {SIGNS}, {PARTS}")
+
+
+def frequencies(parts: DataFrame, log2: int) -> np.ndarray:
+    """Per cell half a byte: 0 for none or one, else the logarithm of the count to base 2, at most 15."""
+
+    def pack(counts: np.ndarray) -> np.ndarray:
+        level = np.log2(np.maximum(counts, 1)).clip(0, 15).astype(np.uint8)
+        return level[::2] | level[1::2] << np.uint8(4)
+
+    return merged(parts, 1, log2, pack)[0]
+
+
+def prefixes(docs: DataFrame, width: int, num: int, den: int, log2: int, levels: Broadcast) -> DataFrame:
+    """Per document with a token left in its prefixes: size n, two digests, how many tokens it may share
+    with others at most, its parity bitmap, its tokens and its prefix under each order.  Tokens in the
+    join are keys of the order: frequency first, then a hash; the same token has the same key."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows_n = batch.num_rows
-            size, one, two = np.zeros(rows_n, np.int64), np.zeros(rows_n, np.uint64), np.zeros(rows_n, np.uint64)
-            firsts = np.zeros((rows_n, FIRST_TOKENS), np.int64)
-            parity = np.zeros(rows_n * PARITY, np.uint64)
-            prefixes: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-            length = np.zeros(rows_n, np.int64)
             for a, tokens, of in token_sets(batch.column("text"), width):
                 if not len(tokens):
                     continue
                 begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                row, n = of[begin] + a, np.diff(np.append(begin, len(of)))
-                size[row] = n
-                one[row], two[row] = np.add.reduceat(mix(tokens, 11), begin), np.add.reduceat(mix(tokens, 12), begin)
-                cell = mix(tokens, 13)
-                np.bitwise_xor.at(parity, (of + a) * PARITY + ((cell >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
-                length[row] = n - (n * num + den - 1) // den + 1
-                at = np.minimum(np.searchsorted(sorted_heavy, tokens), max(len(sorted_heavy) - 1, 0))
-                is_heavy = sorted_heavy[at] == tokens if len(sorted_heavy) else np.zeros(len(tokens), bool)
-                rank = np.uint64(1 << 63) + tokens_by_hash[at].astype(np.uint64) if len(sorted_heavy) else None
-                for k in range(FIRST_TOKENS):
-                    key = mix(tokens, 20 + k) >> np.uint64(1)
-                    firsts[row, k] = np.minimum.reduceat(key, begin).view(np.int64)
-                    if k < ORDERS:
-                        if rank is not None:
-                            key = np.where(is_heavy, rank, key)
-                        key = key[np.lexsort((key, of))]
-                        place = np.arange(len(key)) - np.repeat(begin, n)
-                        prefixes[k].append(key[place < np.repeat(length[row], n)].view(np.int64))
-            ends = pa.array(np.append(0, np.cumsum(length)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))) for p in prefixes]
-            columns = [batch.column("doc_id"), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[pa.FixedSizeListArray.from_arrays(pa.array(x), k).cast(pa.list_(pa.int64())) for x, k in ((firsts.ravel(), FIRST_TOKENS), (parity.view(np.int64), PARITY))], *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "one", "two", "firsts", "parity", *[f"prefix{k}" for k in range(ORDERS)]])
+                n = np.diff(np.append(begin, len(of)))
+                counted, cell = _counted(tokens, log2)
+                level = np.where(counted, levels.value[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & 15, np.uint8(16))
+                free = n - np.add.reduceat((level == 0).astype(np.int64), begin)
+                length = n - (n * num + den - 1) // den + 1
+                some = n - free < length
+                if not some.any():
+                    continue
+                keep = np.repeat(some, n)
+                tokens, of, level = tokens[keep], of[keep], level[keep]
+                row, n, free, length = of[np.flatnonzero(np.append(True, of[1:] != of[:-1]))], n[some], free[some], length[some]
+                begin = np.cumsum(n) - n
+                which = np.repeat(np.arange(len(n)), n)
+                one, two = _digests(tokens, begin)
+                bit = mix(tokens, 13)
+                parity = np.zeros(len(n) * PARITY, np.uint64)
+                np.bitwise_xor.at(parity, which * PARITY + ((bit >> np.uint64(6)) % np.uint64(PARITY)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+                place, lists = np.arange(len(tokens)) - np.repeat(begin, n), []
+                for k in range(ORDERS):
+                    key = (level.astype(np.uint64) << np.uint64(58)) | (mix(tokens, 20 + k) >> np.uint64(6))
+                    key = key[np.lexsort((key, which))]
+                    taken = (place < np.repeat(length, n)) & (key >= np.uint64(1 << 58))
+                    ends = np.append(0, np.cumsum(np.bincount(which[taken], minlength=len(n))))
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key[taken].view(np.int64))))
+                whole = pa.ListArray.from_arrays(pa.array(np.append(begin, len(tokens)).astype(np.int32)), pa.array(tokens.view(np.int64)))
+                bitmap = pa.FixedSizeListArray.from_arrays(pa.array(parity.view(np.int64)), PARITY).cast(pa.list_(pa.int64()))
+                columns = [batch.column("doc_id").take(pa.array(row + a)), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(free), bitmap, whole, *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "one", "two", "free", "parity", "tokens", *[f"prefix{k}" for k in range(ORDERS)]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prefixes = ", ".join(f"prefix{k} array<long>" for k in range(ORDERS))
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n long, one long, two long, firsts array<long>, parity array<long>, {prefixes}")
+    lists = ", ".join(f"prefix{k} array<long>" for k in range(ORDERS))
+    return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, {SIGNS}, free long, parity array<long>, tokens array<long>, {lists}")
+
 
+def _may_be_similar(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets can have a similarity of num / den, by their sizes and what they may share."""
+    n, m = f"{x}n", f"{y}n"
+    return F.expr(f"{n} * {den} >= {m} * {num} AND {m} * {den} >= {n} * {num} AND ({n} + {m}) * {num} <= {num + den} * least({x}free, {y}free)")
 
-def near_enough(x: str, y: str, size_x: str, size_y: str, longs: int, num: int, den: int) -> Column:
-    """Whether sets with bitmaps x and y of so many longs can have a similarity of num / den: they
-    may have as many tokens apart as their sizes allow beside the tokens they must share."""
-    apart = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(longs))
-    both = f"({size_x} + {size_y})"
+
+def _near_enough(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets can have a similarity of num / den, by their bitmaps: they may have as many tokens
+    apart as their sizes allow beside the tokens they must share."""
+    apart = " + ".join(f"bit_count({x}parity[{i}] ^ {y}parity[{i}])" for i in range(PARITY))
+    both = f"({x}n + {y}n)"
     return F.expr(f"{apart} <= {both} - 2 * (({both} * {num} + {num + den - 1}) div {num + den})")
 
 
-def not_too_far(pairs: DataFrame, signs: DataFrame, num: int, den: int, prefix: str | None = None) -> DataFrame:
-    """pairs: a written table (a, b).  Those whose bitmaps are near enough and, given `prefix`, whose
-    prefixes share a token."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
-    names = ["n", "parity", *([prefix] if prefix else [])]
-    own = signs.select("doc_id", *names).join(ids, "doc_id", "left_semi")
-    one, two = (own.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names]) for c in "ab")
-    kept = pairs.join(one, "a").join(two, "b").filter(near_enough("parity_a", "parity_b", "n_a", "n_b", PARITY, num, den))
-    if prefix:
-        kept = kept.filter(F.arrays_overlap(f"{prefix}_a", f"{prefix}_b"))
-    return kept.select("a", "b").distinct()
-
-
-def pivot_pairs(firsts: DataFrame, so_far: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
-    """firsts: (doc_id, k, token); so_far: (doc_id, c).  Pairs (a, b) of classes of different components
-    with the same first token in two orders or more, b being one of PIVOTS classes of that token, near
-    enough; TRIES of each a at most.  They are links to try before the search that loses none."""
-    own = firsts.join(so_far, "doc_id")
-    split = own.groupBy("k", "token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("k", "token")
-    own = written(own.join(split, ["k", "token"], "left_semi"), "split-firsts")
-    pivots = own.groupBy("k", "token", F.pmod(F.xxhash64("c"), F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct("c", "doc_id")).alias("p"))
-    pairs = own.join(pivots.select("k", "token", F.col("p.c").alias("pc"), F.col("p.doc_id").alias("b")), ["k", "token"]).filter("c <> pc")
-    pairs = pairs.groupBy(F.col("doc_id").alias("a"), "b").count().filter("count > 1").select("a", "b")
-    near = not_too_far(written(pairs, "pivot-pairs"), signs, num, den)
-    return near.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(TRIES)).alias("salt")).agg(F.min("b").alias("b")).select("a", "b")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """pairs: a written table (a, b).  Those whose sets have a Jaccard similarity of num / den or more.
-    Texts are a quarter of their sets' size, so they travel and the sets are made anew."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = written(ids, "pair-ids")
-    texts = rows_of(docs.filter("doc_id IS NOT NULL"), ids).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = []
-                for side in ("ta", "tb"):
-                    own = list(token_sets(part.column(side), width))
-                    tokens, rows = (np.concatenate([x[1] for x in own]), np.concatenate([x[2] + x[0] for x in own])) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                    sets.append((tokens, rows, np.bincount(rows, minlength=part.num_rows)))
-                tokens, rows = np.concatenate([sets[0][0], sets[1][0]]), np.concatenate([sets[0][1], sets[1][1]])
-                order = np.lexsort((tokens, rows))
-                tokens, rows = tokens[order], rows[order]
-                twice = (tokens[1:] == tokens[:-1]) & (rows[1:] == rows[:-1])
-                common = np.bincount(rows[1:][twice], minlength=part.num_rows)
-                held = (common > 0) & (common * den >= (sets[0][2] + sets[1][2] - common) * num)
-                yield part.take(pa.array(np.flatnonzero(held))).select(["a", "b"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, pairs.select("a", "b").schema)
-
-
-def jaccard_components(docs: DataFrame, width: int, num: int, den: int, share: float = HEAVY_SHARE) -> DataFrame:
+def linked(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs: a written table (a, b).  Those near enough by their bitmaps that share a prefix token under
+    every order and, last, enough of all their tokens."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    own = maybe_among(signs, F.col("doc_id"), ids, "wanted").filter("wanted")
+
+    def with_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+        for side in "ab":
+            df = df.join(own.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+        return df
+
+    others = [f"prefix{k}" for k in range(1, ORDERS)]
+    left = with_columns(pairs, ["n", "parity", *others]).filter(_near_enough("a_", "b_", num, den))
+    for c in others:
+        left = left.filter(F.arrays_overlap(f"a_{c}", f"b_{c}"))
+    left = with_columns(left.select("a", "b").distinct(), ["tokens"])
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    return left.filter(common * den >= (F.size("a_tokens") + F.size("b_tokens") - common) * num).select("a", "b").distinct()
+
+
+def star_pairs(signs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Each set with the smallest of the lists that its prefix tokens of the first order are in."""
+    posts = signs.select(F.explode("prefix0").alias("token"), "doc_id", "n", "free")
+    hubs = posts.groupBy("token").agg(F.min(F.struct("doc_id", "n", "free")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last")
+    hubs = scratch.table(hubs.select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("h_n"), F.col("h.free").alias("h_free")), "hubs")
+    # written, so that Spark splits a token with a long list
+    stars = posts.withColumnsRenamed({"n": "p_n", "free": "p_free"}).join(hubs, "token").filter("doc_id > hub").filter(_may_be_similar("p_", "h_", num, den))
+    return scratch.table(stars.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "star-pairs")
+
+
+def pairs_between(signs: DataFrame, so_far: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """so_far: a written table (id, component_id).  All pairs of sets of different components that share a
+    prefix token of the first order, are close enough in size and near enough by their bitmaps."""
+    signs = signs.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
+    own = scratch.table(signs.select("doc_id", "c", "n", "free", "parity", "prefix0"), "of-components")
+    lists = own.select(F.explode("prefix0").alias("token"), "c").groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("many"))
+    lists = scratch.table(lists.filter("least < most").select("token", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "split-lists")
+    posts = own.select(F.explode("prefix0").alias("token"), "doc_id", "c", "n", "free", "parity")
+    posts = maybe_among(posts, F.col("token"), lists.select("token"), "wanted").filter("wanted").drop("wanted").join(lists, "token")
+    posts = scratch.table(posts, "split-postings")
+    block, every = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x, y = (posts.withColumn(mine, block).withColumn(other, every).drop("blocks").alias(s) for s, mine, other in (("x", "i", "j"), ("y", "j", "i")))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    both = x.join(y, same & (F.col("x.c") < F.col("y.c")) & _may_be_similar("x.", "y.", num, den) & _near_enough("x.", "y.", num, den))
+    pairs = scratch.table(both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+    scratch.drop("of-components", "split-lists", "split-postings")
+    return pairs
+
+
+def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """docs: (doc_id, text).  Per row: doc_id, n_shingles and component_id under links of a Jaccard
     similarity of num / den or more between sets of `width`-word shingles."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    heavy = spark.sparkContext.broadcast(heavy_tokens(docs, width, share))
-    signs = written(signatures(docs, width, num, den, heavy), "signatures")
-    same = ["n", "one", "two"]
-    classes = signs.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = written(signs.select("doc_id", *same).join(classes, same, "left"), "members")
-    reps = member.filter("doc_id = rep").select("doc_id", *same).distinct()
-
-    firsts = signs.select("doc_id", *same, "firsts").join(reps, ["doc_id", *same], "left_semi").select("doc_id", "n", F.posexplode("firsts").alias("k", "token"))
-    # sets of much different sizes need no first link; the two ways to class sizes overlap
-    firsts = firsts.select("doc_id", "k", F.xxhash64("token", F.floor(8 * F.log("n") + F.col("k") % 2 / 2)).alias("token"))
-    hubs = firsts.groupBy("k", "token").agg(F.min("doc_id").alias("b"), F.count("*").alias("m")).filter("m > 1")
-    # any choice of first pairs gives right results; most that agree twice are links
-    stars = firsts.join(hubs, ["k", "token"]).filter("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").count().filter("count > 1").select("a", "b")
-    stars = not_too_far(written(stars, "first-pairs"), signs, num, den)
-    first_links = written(verified(written(stars, "near-first-pairs"), docs, width, num, den), "first-links")
-    first = written(components(first_links), "first-components")
-    so_far = reps.select("doc_id").distinct().join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    tried = verified(written(pivot_pairs(firsts, so_far, signs, num, den), "near-pivot-pairs"), docs, width, num, den)
-    first_links = written(first_links.unionByName(tried), "first-links")
-    first = written(components(first_links), "first-components")
-
-    # only the smallest of each class, with what it is linked to so far
-    of = reps.join(first.select(F.col("id").alias("doc_id"), "component_id"), "doc_id", "left").select("doc_id", *same, F.coalesce("component_id", "doc_id").alias("c"))
-    of = written(of, "components-so-far")
-    top = F.element_at("prefix0", -1).bitwiseXOR(F.lit(-(2**63)))  # keys are unsigned
-    folded = F.array(*[reduce(Column.bitwiseXOR, [F.col("parity")[j] for j in range(i, PARITY, FOLDED)]) for i in range(FOLDED)])
-    posts = signs.select("doc_id", *same, "prefix0", top.alias("top"), folded.alias("folded")).join(of, ["doc_id", *same])
-    posts = posts.select(F.explode("prefix0").alias("token"), "doc_id", "n", "c", "top", "folded")
-    shared = posts.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("token")
-    shared = written(shared, "shared-tokens")
-    # most tokens are in no other component: they go before the shuffle, by a bitmap of a fixed size
-    maybe = rows_of(posts.withColumnsRenamed({"doc_id": "doc", "token": "doc_id"}), shared.select(F.col("token").alias("id")))
-    maybe = maybe.withColumnsRenamed({"doc_id": "token", "doc": "doc_id"})
-    posts = written(maybe.join(shared, "token", "left_semi"), "postings")
-    x, y = posts.alias("x"), posts.alias("y")
-    close = (F.col("x.c") < F.col("y.c")) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    close = close & near_enough("x.folded", "y.folded", "x.n", "y.n", FOLDED, num, den)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & close).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    pairs = pairs.agg(F.count("*").alias("m"), *[F.first(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("n", "top")])
-    # the set whose prefix ends first in the order shares with the other's prefix all of its prefix
-    # that it shares at all, so what it can share is that and the rest of it
-    rest = f"CASE WHEN top_x <= top_y THEN (n_x * {num} + {den - 1}) div {den} ELSE (n_y * {num} + {den - 1}) div {den} END - 1"
-    pairs = pairs.filter(f"m + {rest} >= ((n_x + n_y) * {num} + {num + den - 1}) div {num + den}").select("a", "b")
-    for k in range(1, ORDERS):
-        pairs = not_too_far(written(pairs, f"candidates-{k}"), signs, num, den, f"prefix{k}")
-    links = verified(written(pairs, "candidates"), docs, width, num, den)
-    final = components(first_links.unionByName(links), "all-links")
-
-    out = member.join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
+    scratch, docs, same = Scratch(spark), docs.select("doc_id", "text"), ["n", "one", "two"]
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    log2 = log2_cells(size / BYTES_A_TOKEN, 1.0, LEAST_CELLS, MOST_CELLS)
+    first = scratch.table(signed(docs, width, log2), "signed")
+    levels = spark.sparkContext.broadcast(frequencies(first.filter("shard IS NOT NULL").select("shard", "cells", "counts"), log2))
+
+    member = first.filter("shard IS NULL").select("doc_id", *same)
+    sound = member.filter("n > 0 AND doc_id IS NOT NULL")
+    # written, so that Spark splits the class of a text that is copied a lot
+    classes = written(sound.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")), "classes")
+    alone = maybe_among(docs, F.col("doc_id"), classes.select("rep"), "wanted").filter("wanted")
+    found = prefixes(alone, width, num, den, log2, levels)
+    signs = scratch.table(found.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi").dropDuplicates(["doc_id", *same]), "prefixes")
+    levels.unpersist()
+
+    stars = scratch.table(linked(star_pairs(signs, scratch, num, den), signs, num, den), "star-links")
+    so_far = scratch.table(components(stars, scratch), "components")
+    scratch.drop("hubs", "star-pairs")
+    more = linked(pairs_between(signs, so_far, scratch, num, den), signs, num, den)
+    groups = classes.filter("many > 1").select(*same, "rep")
+    again = sound.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = sound.join(again, "doc_id", "left_semi").join(groups, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = so_far.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more).unionByName(again)
+    final = written(components(links, scratch), "components")
+    scratch.drop("prefixes", "star-links", "components", "pairs")
+
+    out = sound.join(groups, same, "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+    rest = member.filter("NOT (n > 0 AND doc_id IS NOT NULL)")
+    return out.unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,13 +288,16 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents of which none with a smaller doc_id is in their component; of rows with one
-    doc_id and one text, one stays.  Texts without words and null doc_ids stay."""
+    doc_id and one text, one stays.  Texts without words and null doc_ids stay.  Only documents
+    that may go are shuffled."""
     found = jaccard_components(docs, width, num, den)
-    gone = found.filter("doc_id > component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    again = rest.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(twice).select(*docs.columns)
+    gone = written(found.filter("doc_id > component_id").select("doc_id").distinct(), "gone")
+    again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    name = free_name("wanted", docs)
+    marked = maybe_among(docs, F.col("doc_id"), gone.union(again), name)
+    some = marked.filter(name).drop(name).join(gone, "doc_id", "left_anti")
+    once = some.join(again, "doc_id", "left_anti").unionByName(some.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return marked.filter(~F.col(name)).select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 OP9_SQL = r"""

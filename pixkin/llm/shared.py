@@ -1,14 +1,13 @@
-"""What the operators of this subpackage share: word patterns, written intermediate tables and
-running sums that no single task has to hold."""
+"""What the operators of this subpackage share: word patterns, names that don't clash, written
+intermediate tables, a test of membership that shuffles nothing, and running sums that no single
+task has to hold."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,25 +16,51 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of its own where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir.  Only in local mode may that be unset:
+    then it is a temporary folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+class Scratch:
+    """Intermediate tables of one run below the shared folder.  A table is made once, its lineage ends
+    there and a lost executor takes nothing with it; it is dropped when its last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is made once, its lineage ends there and a
-    lost executor takes nothing with it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, for what a returned DataFrame still reads."""
+    return Scratch(df.sparkSession).table(df, name)
+
 
+def free_name(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken, name = {c.lower() for df in frames for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def source_key(column: str = "source") -> Column:
+
+def source_key(column: Column | str = "source") -> Column:
     """A grouping key that is never null and orders as the column does, nulls last."""
-    return F.when(F.col(column).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(column)))
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(c.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), c))
 
 
 def running_sum(
@@ -48,38 +73,29 @@ def running_sum(
     bucket by bucket in separate tasks, and only the buckets' sums meet.  df is read twice, so it
     should be a written table.  Keys and bucket must not be null."""
     amount = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
-    by = [*keys, bucket]
+    by, own, base = [*keys, bucket], free_name("own_sum", df), free_name("base_sum", df)
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(*by).agg(F.sum(amount).alias("_sum"))
-    sums = sums.select(*by, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    sums = df.groupBy(*by).agg(F.sum(amount).alias(own))
+    sums = sums.select(*by, F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias(base))
     inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(sums, by).withColumn(name, F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return out.drop("_base")
-
-
-#: Bits of a bitmap of ids, which has this size whatever the number of ids.
-ID_BITS = 26
-
-
-def id_cell(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << ID_BITS)) + 1
-
-
-def rows_of(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
-    """docs: (doc_id, ...); ids: (id).  The rows of docs whose doc_id may be among ids (keep), or surely
-    isn't.  ids become a bitmap of a fixed size, so docs aren't shuffled; with more ids than it suits
-    more rows count as possible, and a join afterwards has to tell them apart."""
-    cells = ids.select(id_cell("id").alias("c"))
-    parts = cells.groupBy(F.bitmap_bucket_number("c").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
-    bitmap = np.zeros((1 << ID_BITS) // 8, np.uint8)
-    for r in parts.collect():  # 2 ** ID_BITS bits in all
-        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    wanted, names = docs.sparkSession.sparkContext.broadcast(bitmap), docs.columns
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = batch.column("_cell").fill_null(1).to_numpy() - 1
-            hit = ((wanted.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            yield batch.take(pa.array(np.flatnonzero(hit == keep))).select(names)
-
-    return docs.withColumn("_cell", id_cell("doc_id")).mapInArrow(pick, docs.schema)
+    out = df.join(sums, by).withColumn(name, F.col(base) + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return out.drop(base)
+
+
+#: Bits of a bitmap of keys, which has this size whatever the number of keys: 8 MB.
+KEY_BITS = 26
+
+
+def maybe_among(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Adds `name`: whether `key` may be among the values of keys' only column (true for all of them
+    and for a few others), false where it is null.  The keys become a bitmap of a fixed size, at most
+    2,048 rows of 4 KB, that is broadcast: df isn't shuffled.  With more keys than it suits more rows
+    count as possible, and a join afterwards has to tell them apart."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << KEY_BITS)) + 1
+    part, at, bits = (free_name(x, df) for x in ("bitmap_part", "bitmap_at", "bitmap_bits"))
+    cells = keys.filter(F.col(keys.columns[0]).isNotNull()).select(cell(F.col(keys.columns[0])).alias("c"))
+    bitmap = cells.groupBy(F.bitmap_bucket_number("c").alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias(bits))
+    placed = df.withColumn(part, F.when(key.isNotNull(), F.bitmap_bucket_number(cell(key)))).withColumn(at, F.bitmap_bit_position(cell(key)))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(F.col(at) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (F.col(at) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return placed.join(F.broadcast(bitmap), part, "left").select(*df.columns, hit.alias(name))

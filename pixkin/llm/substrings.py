@@ -1,25 +1,24 @@
 """Substring dedup with a count-min prefilter.
 
-A window is `width` consecutive words.  Each window is represented by the smallest hash among its
-runs of `grain` words, so equal windows have equal representatives and neighbouring windows mostly
-share one.  Every partition sketches in how many documents each representative occurs; the sketches
-are merged by ranges of cells into one bitmap a sketch row that tells which cells were counted
-twice or more.  They overestimate: a window in two documents is always among them.  A second pass
-groups exactly the windows whose representative is estimated repeated, by their own hashes, and a
-word is removed if such a window covers it and starts in a document with a smaller doc_id.
-
-The bitmaps have a fixed size (depth * 2 ** log2_width bits).  With more text than they suit the
-prefilter lets more through; the result stays the same.
-
-Defined results: a null or empty text has no words; a null doc_id is smaller than nothing, so its
-words stay and count for no other; rows with one doc_id never remove each other's words; an empty
-table gives no rows; other columns are ignored.
+A window is `width` consecutive words.  Every partition counts its windows in the cells of a sketch with
+DEPTH rows; the sketches are merged by ranges of cells into one bitmap a row that tells which cells were
+counted twice or more.  They overestimate: a window in two documents is always among them.  A second pass
+groups exactly the windows that all rows estimate repeated, by 128 bits of hash, and a word is removed if
+such a window covers it and starts in a document with a smaller doc_id.
+
+The sketch has four cells a window, at most 2 ** MOST_CELLS in a row, so its bitmaps take at most
+DEPTH * 2 ** MOST_CELLS bits, 128 MB.  From about a thousand million windows (6 GB of text) on, the
+prefilter lets more and more through, in the end all windows: the exact pass then shuffles 36 bytes a
+window, in proportion to the input, and the result stays the same.
+
+Defined results: a null or empty text has no words; very long texts are treated as others; a null doc_id
+is smaller than nothing, so its words stay and count for no other; rows with one doc_id never remove each
+other's words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,123 +26,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import rows_of, written
+from .shared import Scratch, maybe_among, written
+from .sketch import PARTS, Gathered, log2_cells, merged
 from .wordhash import mix, row_chunks, run_hashes, word_hashes
 
 WIDTH = 13
-GRAIN = 8
 DEPTH = 2
-LOG2_WIDTH = 28
-SHARDS = 64
+LEAST_CELLS, MOST_CELLS = 16, 29
+#: Cells of a sketch row by bytes of text: a window starts at each word, of about so many bytes.
+WINDOWS_A_CELL, BYTES_A_WINDOW = 0.25, 6
 
 
-def _windows(texts: pa.Array, width: int, grain: int) -> tuple[np.ndarray, ...]:
-    """Per window: its hash, its representative, its row and its first word's number in the row."""
-    words, rows = word_hashes(texts)
-    full, at = run_hashes(words, rows, width)
-    if not len(at):
-        return full, full, rows[:0], at
-    runs, first = run_hashes(words, rows, grain)
-    place = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
-    place[first] = runs
-    least = place[at]
-    for i in range(1, width - grain + 1):
-        least = np.minimum(least, place[at + i])
-    begin = np.searchsorted(rows, np.arange(rows[-1] + 1))
-    return full, least, rows[at], at - begin[rows[at]]
+def _cells(windows: np.ndarray, row: int, log2: int) -> np.ndarray:
+    return (mix(windows, 101 + row) >> np.uint64(64 - log2)).astype(np.int64)
 
 
-def _cells(representative: np.ndarray, row: int, log2_width: int) -> np.ndarray:
-    return (mix(representative, 101 + row) >> np.uint64(64 - log2_width)).astype(np.int64)
-
-
-def _packed(cells: np.ndarray) -> bytes:
-    """Sorted cells as the bytes of their differences, plane by plane, which compress well."""
-    steps = np.diff(cells, prepend=0).astype("<u4")
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
-
-
-def repeated_cells(docs: DataFrame, width: int = WIDTH, grain: int = GRAIN, depth: int = DEPTH, log2_width: int = LOG2_WIDTH) -> list[np.ndarray]:
+def repeated_cells(docs: DataFrame, width: int, log2: int, depth: int = DEPTH) -> list[np.ndarray]:
     """Per sketch row a bitmap of the cells whose count is two or more."""
-    cells = 1 << (log2_width - SHARDS.bit_length() + 1)  # of a shard
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        held, names = Gathered(depth, log2), [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
             texts = batch.column("text")
             for a, b in row_chunks(texts):
-                _, least, rows, _ = _windows(texts.slice(a, b - a), width, grain)
-                new = np.ones(len(least), bool)
-                new[1:] = (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])
-                least, rows = least[new], rows[new]
-                order = np.lexsort((least, rows))
-                least, rows = least[order], rows[order]
-                new = np.ones(len(least), bool)
-                new[1:] = (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])
-                found.append(least[new])  # once a document
-        if not found:
-            return
-        least, out = np.concatenate(found), []
-        for row in range(depth):
-            cell, count = np.unique(_cells(least, row, log2_width), return_counts=True)
-            bounds = np.searchsorted(cell, np.arange(SHARDS + 1) * cells)
-            for s in range(SHARDS):
-                own, often = cell[bounds[s] : bounds[s + 1]] - s * cells, count[bounds[s] : bounds[s + 1]] > 1
-                out.append((row * SHARDS + s, _packed(own[~often]), _packed(own[often])))
-        part, once, often = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(once, pa.binary()), pa.array(often, pa.binary())], names=["part", "once", "often"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, once, often in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "often")), strict=True):
-                count = sums.setdefault(part, np.zeros(cells, np.uint8))
-                at = _unpacked(once)
-                count[at] = np.minimum(count[at] + 1, 2)
-                count[_unpacked(often)] = 2
-        if sums:
-            bits = [zlib.compress(np.packbits(x > 1), 1) for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(bits, pa.binary())], names=["part", "bits"])
-
-    sketches = docs.select("text").mapInArrow(sketch, "part int, once binary, often binary")
-    merged = sketches.repartition(depth * SHARDS, "part").mapInArrow(merge, "part int, bits binary")
-    bitmaps = [np.zeros((1 << log2_width) // 8, np.uint8) for _ in range(depth)]
-    size = cells // 8
-    for r in merged.collect():  # depth * 2 ** log2_width bits in all
-        s = r["part"] % SHARDS
-        bitmaps[r["part"] // SHARDS][s * size : (s + 1) * size] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return bitmaps
-
-
-def repeated_windows(docs: DataFrame, width: int = WIDTH, grain: int = GRAIN, depth: int = DEPTH, log2_width: int = LOG2_WIDTH) -> DataFrame:
+                windows, _ = run_hashes(*word_hashes(texts.slice(a, b - a)), width)
+                for row in range(depth):
+                    held.add(row, _cells(windows, row, log2))
+                if held.full():
+                    yield pa.RecordBatch.from_arrays(held.flush(), names=names)
+        if held.many:
+            yield pa.RecordBatch.from_arrays(held.flush(), names=names)
+
+    return merged(docs.select("text").mapInArrow(sketch, PARTS), depth, log2, lambda counts: np.packbits(counts > 1))
+
+
+def _second_hash(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Another hash of the runs of words that start at `at`."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0xD1342543DE82EF95) + words[at + i]
+    return mix(out, 64 + width)
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, width: int, log2: int, depth: int = DEPTH) -> DataFrame:
     """docs: (doc_id, text, text_crc32).  Per window that also starts in a document with a smaller
     doc_id: the document, its text's checksum and the number of the window's first word."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, width, grain, depth, log2_width))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, width, log2, depth))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = shared.value
         for batch in batches:
             texts = batch.column("text")
             for a, b in row_chunks(texts):
-                full, least, rows, at = _windows(texts.slice(a, b - a), width, grain)
-                keep = np.ones(len(full), bool)
+                words, rows = word_hashes(texts.slice(a, b - a))
+                windows, at = run_hashes(words, rows, width)
+                keep = np.arange(len(windows))
                 for row in range(depth):
-                    cell = _cells(least, row, log2_width)
-                    keep &= (bitmaps[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-                if keep.any():
-                    take = pa.array(rows[keep] + a)
-                    yield pa.RecordBatch.from_arrays([pa.array(full[keep].view(np.int64)), batch.column("doc_id").take(take), batch.column("text_crc32").take(take), pa.array(at[keep].astype(np.int32))], names=["window", "doc_id", "text_crc32", "at"])
+                    cell = _cells(windows[keep], row, log2)
+                    keep = keep[(bitmaps[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0]
+                if len(keep):
+                    at = at[keep]
+                    first = np.searchsorted(rows, rows[at])  # of the row
+                    take = pa.array(rows[at] + a)
+                    columns = [pa.array(windows[keep].view(np.int64)), pa.array(_second_hash(words, at, width).view(np.int64))]
+                    columns += [batch.column("doc_id").take(take), batch.column("text_crc32").take(take), pa.array((at - first).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc_id", "text_crc32", "at"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = written(docs.filter("doc_id IS NOT NULL").mapInArrow(emit, f"window long, doc_id {kind}, text_crc32 long, at int"), "windows")
+    found = docs.filter("doc_id IS NOT NULL").mapInArrow(emit, f"one long, two long, doc_id {kind}, text_crc32 long, at int")
+    found, window = scratch.table(found, "windows"), ["one", "two"]
     shared.unpersist()
-    firsts = found.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
-    return found.join(firsts.drop("last_id"), "window").filter("doc_id > first_id").select("doc_id", "text_crc32", "at")
+    firsts = found.groupBy(*window).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
+    # written, so that Spark splits a window that very many documents share
+    firsts = scratch.table(firsts.drop("last_id"), "first-windows")
+    return found.join(firsts, window).filter("doc_id > first_id").select("doc_id", "text_crc32", "at")
 
 
 def _cut(width: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -174,26 +130,31 @@ def _cut(width: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return cut
 
 
-def deduped(docs: DataFrame, width: int = WIDTH, texts: bool = True, log2_width: int = LOG2_WIDTH) -> DataFrame:
+def deduped(docs: DataFrame, width: int = WIDTH, texts: bool = True, most_cells: int = MOST_CELLS) -> DataFrame:
     """docs: (doc_id, text).  Per document: doc_id, n_words, n_removed and the kept words joined by
     one space, or without texts their SHA-256.
 
     Of equal texts only the one with the smallest doc_id goes into the sketch and the windows: it
     stands for the others, which lose everything that lies in a window.  Only texts that lose
     something are shuffled."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    log2 = log2_cells(size / BYTES_A_WINDOW, WINDOWS_A_CELL, LEAST_CELLS, most_cells)
     keys = docs.filter("doc_id IS NOT NULL").select("doc_id", "text_crc32", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.length("text").alias("l"))
-    same = ["h", "g", "l"]
+    keys, same = scratch.table(keys, "texts"), ["h", "g", "l"]
     firsts = keys.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    firsts = scratch.table(firsts, "first-texts")
     copies = keys.join(firsts.filter("first_id < last_id"), same).filter("doc_id > first_id").select("doc_id", "text_crc32").distinct()
-    copies = written(copies, "copies")
-    alone = rows_of(docs, firsts.select(F.col("first_id").alias("id")))
-    gone = repeated_windows(alone, width, log2_width=log2_width).join(copies, ["doc_id", "text_crc32"], "left_anti")
+    copies = scratch.table(copies, "copies")
+    alone = maybe_among(docs, F.col("doc_id"), firsts.select("first_id"), "wanted").filter("wanted").drop("wanted")
+    gone = repeated_windows(alone, scratch, width, log2).join(copies, ["doc_id", "text_crc32"], "left_anti")
     gone = gone.groupBy("doc_id", "text_crc32").agg(F.array_distinct(F.collect_list("at")).alias("starts"))
     gone = written(gone.unionByName(copies.withColumn("starts", F.array(F.lit(-1)))), "removed")
-    ids = gone.select(F.col("doc_id").alias("id")).distinct()
-    spare = rows_of(docs, ids, keep=False).withColumn("starts", F.lit(None).cast("array<int>"))
-    hit = rows_of(docs, ids).join(gone, ["doc_id", "text_crc32"], "left")
+    scratch.drop("texts", "first-texts", "copies", "windows", "first-windows")
+    marked = maybe_among(docs, F.col("doc_id"), gone.select("doc_id"), "wanted")
+    spare = marked.filter("NOT wanted").withColumn("starts", F.lit(None).cast("array<int>"))
+    hit = marked.filter("wanted").join(gone, ["doc_id", "text_crc32"], "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = []
     for rows in (spare, hit):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import written
+from .shared import Scratch, written
 
 COSINE = 0.95
 BLOCKS = 4
@@ -221,7 +221,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS,
     parts = [groups.filter(F.col("d") == d) for d in lengths] or [groups]
     found = written(reduce(DataFrame.unionByName, [linked(x, cosine, blocks, piece) for x in parts]), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "vector-edges")
+    joined = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), Scratch(rows.sparkSession))
     by = groups.select("a", "b", "d", "rep", "many", "node").join(links, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
     by = by.select("a", "b", "d", "rep", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), "component_id")
     out = keyed.drop("embedding").join(by, ["a", "b", "d"], "left")

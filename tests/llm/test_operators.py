@@ -252,9 +252,9 @@ def test_substrings(docs, none, rows):
         w = words_of(t)
         gone = {j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
         want[(i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))] += 1
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.deduped(docs, log2_width=16).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.deduped(docs, most_cells=16).collect())
     assert got == want
-    assert substrings.deduped(none, log2_width=16).count() == 0
+    assert substrings.deduped(none, most_cells=16).count() == 0
 
 
 def test_pipeline(spark, tmp_path, docs):
