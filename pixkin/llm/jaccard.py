@@ -211,9 +211,9 @@ def linked(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
     left = with_columns(pairs, ["n", "parity", *others]).filter(_near_enough("a_", "b_", num, den))
     for c in others:
         left = left.filter(F.arrays_overlap(f"a_{c}", f"b_{c}"))
-    left = with_columns(left.select("a", "b").distinct(), ["tokens"])
+    left = with_columns(left.select("a", "b"), ["tokens"])
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return left.filter(common * den >= (F.size("a_tokens") + F.size("b_tokens") - common) * num).select("a", "b").distinct()
+    return left.filter(common * den >= (F.size("a_tokens") + F.size("b_tokens") - common) * num).select("a", "b")
 
 
 def star_pairs(signs: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:

@@ -6,9 +6,11 @@ are summed up and each source is cut at its exact budget; a budget beyond the so
 whole epochs first.  Only DataFrame functions are used.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
-null doc_id takes part like any other; repeated rows are separate documents that share a key, so
-their sizes decide their order; an empty table gives no rows.  Other columns are ignored by
-`mix_plan`, and carried along by `mixed_documents`.
+null doc_id takes part like any other, its key drawn from its text; repeated rows are separate documents
+that share a key, so their sizes decide their order; an empty table gives no rows; very long texts are
+documents like others.  Other columns are ignored by `mix_plan`, and carried along, whatever their names,
+by `mixed_documents`.  Targets are worked out in one task over a row a source, of which a corpus has
+thousands at most.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, running_sum, source_key, written
+from .shared import WORD, free_name, running_sum, source_key, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -52,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def _placed(docs: DataFrame, seed: str, keep: list) -> DataFrame:
-    draw = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    draw = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce("text", F.lit("")))))))
     narrow = docs.select(
         "doc_id",
         *keep,
@@ -89,22 +91,23 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     at a source's cut is taken when at least half of it lies inside the budget.  Documents without
     words are worth nothing to a budget and are kept once."""
     text_key = F.xxhash64("text", "source")
-    plan = mix_plan(docs, weights, max_epochs, keep=(text_key.alias("_row"),))
+    plan = mix_plan(docs.select("doc_id", "text", "source"), weights, max_epochs, keep=(text_key.alias("_row"),))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("rest") * 2 >= F.col("size")).cast("long"))
     # rows alike in doc_id, text and source are interchangeable: their copies add up
-    plan = plan.groupBy("doc_id", "_row").agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows"))
-    plan = written(plan.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_key"), "mix-copies")
-    left = docs.withColumn("_row", text_key)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
-    out = left.join(plan.filter("_rows = 1"), same).select(*docs.columns, F.col("_copies").alias("_n"))
-    if not plan.filter("_rows > 1").isEmpty():
+    key, who, mine, total, rows, line, salt, rank, n = (free_name(x, docs) for x in ("mix_key", "mix_who", "mix_row", "mix_copies", "mix_rows", "mix_line", "mix_salt", "mix_rank", "mix_n"))
+    plan = plan.groupBy(F.col("doc_id").alias(who), F.col("_row").alias(key)).agg(F.sum(copies).alias(total), F.count("*").alias(rows))
+    plan = written(plan, "mix-copies")
+    left = docs.withColumn(mine, text_key)
+    same = F.col("doc_id").eqNullSafe(F.col(who)) & (F.col(mine) == F.col(key))
+    out = left.join(plan.filter(F.col(rows) == 1), same).select(*docs.columns, F.col(total).alias(n))
+    if not plan.filter(F.col(rows) > 1).isEmpty():
         # n of them are numbered and given their share each; what doesn't divide goes to the first by one more copy
-        alike = left.join(plan.filter("_rows > 1"), same).withColumn("_who", source_key("doc_id")).withColumn("_line", F.monotonically_increasing_id())
-        alike = written(alike.withColumn("_salt", F.pmod("_line", F.lit(SALTS)).cast("int")), "mix-alike")
-        ranked = running_sum(alike, ["_who", "_row"], "_salt", ["_line"], None, "_rank")
-        more = (F.col("_rank") < F.col("_copies") % F.col("_rows")).cast("long")
-        out = out.unionByName(ranked.select(*docs.columns, (F.expr("_copies div _rows") + more).alias("_n")))
-    return out.filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+        alike = left.join(plan.filter(F.col(rows) > 1), same).withColumn(who, source_key(F.col("doc_id").cast("string"))).withColumn(line, F.monotonically_increasing_id())
+        alike = written(alike.withColumn(salt, F.pmod(line, F.lit(SALTS)).cast("int")), "mix-alike")
+        ranked = running_sum(alike, [who, mine], salt, [line], None, rank)
+        more = (F.col(rank) < F.col(total) % F.col(rows)).cast("long")
+        out = out.unionByName(ranked.select(*docs.columns, (F.floor(F.col(total) / F.col(rows)) + more).alias(n)))
+    return out.filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +119,7 @@ OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null')) AS draw
+         md5(coalesce(doc_id::VARCHAR, 'null/' || md5(coalesce(text, '')))) AS draw
   FROM documents),
 sources AS (
   SELECT src, sum(size)::BIGINT AS source_size,

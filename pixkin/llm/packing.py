@@ -30,8 +30,8 @@ from .shared import running_sum, written
 
 CAPACITY = 1024
 END_TOKEN = 2
-#: Groups that the pieces of one length are numbered in.
-SALTS = 256
+#: Groups that the pieces of one length are numbered in, and pieces a group from which there are more.
+SALTS, PIECES_A_SALT = 256, 200_000
 #: Entries of a worker's table of parts, after which it starts anew.
 CACHE_ENTRIES = 1_000_000
 
@@ -185,8 +185,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> np.
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces: a written table with `length`.  Adds sequence_id and offset."""
     others = [c for c in pieces.columns if c not in ("length", "ids")]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    salts = max(SALTS, max(counts.values(), default=0) // PIECES_A_SALT)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
     runs = best_fit_decreasing(counts, capacity)
     earlier, total = {}, 0
     for length in sorted(counts, reverse=True):

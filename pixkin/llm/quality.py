@@ -7,7 +7,9 @@ posterior probability of being good is at least one half.  Only DataFrame functi
 driver sees one row of sums an iteration.
 
 Defined results: a null or empty text has no words, so it fails the base rule; a null doc_id is
-judged like any other; repeated rows count as often as they occur; an empty table gives no rows.
+judged like any other; repeated rows count as often as they occur; an empty table gives no rows; very
+long texts are counted whole.  A column of the documents with the name of one that `judged` adds comes
+back with "_" after its name; `good_documents` adds none and returns them as they were.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, free_name, written
 
 #: Bits of a packed window that hold its position.
 POSITION_BITS = 28
@@ -133,11 +135,14 @@ def fit_rules(patterns: DataFrame, iterations: int = ITERATIONS) -> tuple[float,
     return prior, table
 
 
-def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs: any columns, among them text.  Adds the counts, votes, base_failed, quality and kept to
-    the columns named in keep (None: to all).  What is kept is written once with the votes."""
-    votes = with_votes(text_counts(docs))
-    votes = written(votes.drop(*[c for c in docs.columns if keep is not None and c not in keep]), "quality-votes")
+#: Columns that `judged` adds.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_stops"]
+ADDED = [*COUNTS, "votes", "base_failed", "quality", "kept"]
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """docs: (row, text).  row with ADDED; what is judged is written once, with the votes."""
+    votes = written(with_votes(text_counts(docs)).drop("text"), "quality-votes")
     failed = F.expr(BASE_FAILED)
     patterns = votes.filter(~failed).groupBy("votes").agg(F.count("*").alias("n")).coalesce(1)
     prior, table = fit_rules(written(patterns, "quality-patterns"))
@@ -148,6 +153,21 @@ def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
+def judged(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """docs: any columns, among them text.  The columns named in keep (None: all) with ADDED."""
+    names = docs.columns if keep is None else keep
+    rows = _judged(docs.select(F.struct(*names).alias("row"), "text"))
+    taken, out = rows.select(*ADDED), []
+    for c in names:
+        out.append(F.col("row")[c].alias(free_name(c, taken)))
+    return rows.select(*out, *ADDED)
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their columns."""
+    return _judged(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter("kept").select("row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judged(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 4).alias("quality"))

@@ -3,11 +3,14 @@
 Every version of a document is addressed by the SHA-256 of its text.  The ledger holds which blob
 was scanned with which version of the rules, and what was found.  An update scans only unseen pairs
 of blob and rule version, once a blob however many paths hold it, and findings are joined back to
-all paths.  Only DataFrame functions are used.
+all paths.  Texts that one path holds are scanned where they are read; only those of several paths, or
+of blobs seen before, are shuffled, and so are only paths whose blob has findings.  Only DataFrame
+functions are used.
 
 Defined results: a null text counts as empty and has no findings; a null path is reported like any
-other; repeated rows are reported once each; an empty table gives no rows.  Spans count code points
-and exclude their end.  A private key's span is the whole key; OP3_SQL gives its first line only.
+other; repeated rows are reported once each; an empty table gives no rows; very long texts are scanned
+whole; other columns are ignored by `reports`, and kept as they are, whatever their names, by
+`without_secrets`.  Spans count code points and exclude their end.  A private key's span is the whole key; OP3_SQL gives its first line only.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import free_name, maybe_among, shared_dir, written
 
 #: A PEM key up to its END line; where that is missing, up to the last of the base64 lines that follow
 #: (plain, quoted, commented or with escaped line breaks) and a shorter one after them.
@@ -99,12 +102,16 @@ class BlobLedger:
 
     def update(self, versions: DataFrame) -> None:
         """versions: text, any other columns.  Scans the blobs that these rules haven't seen."""
-        blobs = versions.select(digest().alias("sha256"), "text")
-        seen = self.scanned().select("sha256")
-        unseen = blobs.filter("text <> ''").groupBy("sha256").agg(F.first("text").alias("text")).join(seen, "sha256", "left_anti")
+        blobs, seen = versions.select(digest().alias("sha256"), "text"), self.scanned().select("sha256")
+        counts = written(blobs.groupBy("sha256").agg(F.count("*").alias("paths")), "blobs")
+        known = counts.filter("paths > 1").select("sha256").unionByName(seen)
+        marked = maybe_among(blobs.filter("text <> ''"), F.col("sha256"), known, "known")
+        # first() of equal texts; a text that is copied a lot is summed up in each task first
+        several = marked.filter("known").groupBy("sha256").agg(F.first("text").alias("text")).join(seen, "sha256", "left_anti")
         mark = F.lit(self.version).alias("rules")
-        scan(unseen, self.rules).select("sha256", mark, "kind", "start", "end").write.mode("append").parquet(f"{self.path}/found")
-        blobs.select("sha256").distinct().join(seen, "sha256", "left_anti").select("sha256", mark).write.mode("append").parquet(f"{self.path}/scanned")
+        hits = scan(marked.filter("NOT known").drop("known").unionByName(several), self.rules)
+        hits.select("sha256", mark, "kind", "start", "end").write.mode("append").parquet(f"{self.path}/found")
+        counts.select("sha256").join(seen, "sha256", "left_anti").select("sha256", mark).write.mode("append").parquet(f"{self.path}/scanned")
 
 
 def span_text(spans: Column, kinds: list[str]) -> Column:
@@ -122,9 +129,13 @@ def reports(versions: DataFrame, ledger: BlobLedger, path: str = "doc_id") -> Da
     )
     by_blob = by_blob.withColumn("base", F.filter("found", lambda x: x["kind"] < BASE_KINDS))
     by_blob = by_blob.select("sha256", *[f"n_{k}" for k in KINDS[:BASE_KINDS]], F.sha2(span_text(F.col("base"), KINDS), 256).alias("base_sha256"), span_text(F.col("found"), KINDS).alias("spans"))
-    out = versions.select(path, digest().alias("sha256")).join(by_blob, "sha256", "left")
+    # written, so that Spark splits a blob that very many paths hold
+    by_blob = written(by_blob.withColumnsRenamed({"sha256": "blob"}), "findings-by-blob")
+    rows = maybe_among(versions.select(F.col(path).alias("path"), digest().alias("sha256")), F.col("sha256"), by_blob.select("blob"), "some")
+    none = [F.lit(None).cast(by_blob.schema[c].dataType).alias(c) for c in by_blob.columns]
+    out = rows.filter("some").join(by_blob, F.col("sha256") == F.col("blob"), "left").unionByName(rows.filter("NOT some").select("*", *none))
     return out.select(
-        path,
+        F.col("path").alias(path),
         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:BASE_KINDS]],
         F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
@@ -143,26 +154,27 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
-    """The documents, each span found in them replaced by [kind]; overlapping spans become one.
-    Texts without findings stay as they are."""
-    span = F.struct("start", "end", "kind")
-    found = ledger.findings().groupBy("sha256").agg(F.array_sort(F.collect_list(span)).alias("_found")).withColumnRenamed("sha256", "_sha256")
-    rows = docs.withColumn("_digest", digest()).join(found, F.col("_digest") == F.col("_sha256"), "left")
-    names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    # pieces of the text between findings; what an earlier span covers is not repeated
-    state = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
-
-    def step(a: Column, x: Column) -> Column:
-        before = F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.greatest(F.lit(0), x["start"] - a["at"]).cast("int"))
-        inside = x["start"] < a["at"]
-        mark = F.concat(before, F.get(names, x["kind"]))
-        return F.struct(F.when(inside, a["parts"]).otherwise(F.concat(a["parts"], F.array(mark))).alias("parts"), F.greatest(a["at"], x["end"]).alias("at"))
-
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))
-
-    clean = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.aggregate("_found", state, step, finish))
-    return rows.withColumn("text", clean).select(*docs.columns)
+    """The documents, each span found in them replaced by [kind]; overlapping spans become one under the
+    first one's kind.  Texts without findings stay as they are, and aren't shuffled."""
+    by_start = Window.partitionBy("sha256").orderBy("start", "end", "kind")
+    before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    runs = ledger.findings().withColumn("new", (before.isNull() | (F.col("start") >= before)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("sha256", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("new") == 1, F.col("kind"))).alias("kind"))
+    by_blob = runs.groupBy("sha256").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("found"))
+    key, hit, blob, found = (free_name(x, docs) for x in ("sha256", "some", "blob", "found"))
+    by_blob = written(by_blob.withColumnsRenamed({"sha256": blob, "found": found}), "runs-by-blob")
+    rows = maybe_among(docs.withColumn(key, digest()), F.col(key), by_blob.select(blob), hit)
+    names, text = F.array(*[F.lit(f"[{k}]") for k in KINDS]), F.col("text")
+
+    def piece(x: Column, i: Column) -> Column:  # what lies between a run and the one before, and its mark
+        at = F.coalesce(F.get(F.col(found), i - 1)["end"], F.lit(0))
+        return F.concat(F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int")), F.get(names, x["kind"]))
+
+    rest = F.substring(text, (F.element_at(F.col(found), -1)["end"] + 1).cast("int"), F.length(text))
+    clean = F.when(F.col(found).isNull(), text).otherwise(F.concat(F.array_join(F.transform(found, piece), ""), rest))
+    some = rows.filter(F.col(hit)).join(by_blob, F.col(key) == F.col(blob), "left").withColumn("text", clean)
+    return some.select(*docs.columns).unionByName(rows.filter(~F.col(hit)).select(*docs.columns))
 
 
 OP3_SQL = r"""

@@ -8,7 +8,8 @@ grown shard count starts a region of its own, so growing from a full layout take
 the new shard.  Only DataFrame functions are used.
 
 Defined results: a null text has size 1 and checksum 0; a null doc_id draws as the word "null";
-repeated rows go to one shard and have a slot each; an empty table gives no rows.
+repeated rows go to one shard and have a slot each; very long texts only have a larger size; an empty
+table gives no rows; other columns are ignored by `shard_rows` and kept by `assign`, which adds one.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     rows = assign(assign(rows, layout(shards)), layout(shards + 1), name="grown_shard")
-    bucket = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 2)
+    bucket = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"))), 1, 2)
     rows = written(rows.withColumn("bucket", bucket), "shard-rows")
     return running_sum(rows, ["shard"], "bucket", ["doc_id", "size", "text_crc32"], None, "slot").drop("bucket")
 
