@@ -15,7 +15,7 @@ from pixkin.llm.shared import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out what fails the base rule or is more likely bad than good."""
-    return quality.judged(docs).filter("kept").select(*docs.columns)
+    return quality.good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
