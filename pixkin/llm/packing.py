@@ -32,8 +32,8 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: Groups that the pieces of one length are numbered in, and pieces a group from which there are more.
 SALTS, PIECES_A_SALT = 256, 200_000
-#: Entries of a worker's table of parts, after which it starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's table of parts, after which it starts anew, keeping what the new one asks for.
+CACHE_ENTRIES = 250_000
 
 
 @cache
@@ -60,6 +60,7 @@ class PartIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.part, self.odd = _patterns()
 
     def parts(self, text: str) -> list[str]:
@@ -71,8 +72,11 @@ class PartIds:
         parts = [self.parts(t) if t else [] for t in texts]
         every = set(chain.from_iterable(parts))
         if len(self.known) + len(every) > CACHE_ENTRIES:
-            self.known = {}
-        new = list(every - self.known.keys())
+            self.known, self.old = {}, self.known
+        new = every - self.known.keys()
+        again = new & self.old.keys()
+        self.known.update((x, self.old[x]) for x in again)
+        new = list(new - again)
         for x, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[x] = pack(f"<{len(got.ids)}I", *got.ids)
         get = self.known.__getitem__

@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of an Arrow batch while a table is written: texts may be long, and a batch is held several times.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 class Scratch:
     """Intermediate tables of one run below the shared folder.  A table is made once, its lineage ends
     there and a lost executor takes nothing with it; it is dropped when its last reader is done."""
@@ -35,7 +39,12 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(BATCH_CONF)
+        self.spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS)))
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(BATCH_CONF, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
