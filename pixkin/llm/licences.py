@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 
 #: Short notices by family.
 TEMPLATES = {
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -50,11 +54,23 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
     ],
+    "cc-by-sa": [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-SA 4.0.",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
@@ -113,7 +129,8 @@ def training_rows(spark: SparkSession, plain: DataFrame | None = None, seed: int
             rows += [(text, float(label))] + [(_varied(text, draw), float(label)) for _ in range(VARIATIONS)]
     out = spark.createDataFrame(rows, "text string, label double")
     if plain is not None:
-        prose = plain.filter(~F.col("text").rlike(CUES)).limit(MAX_PLAIN_PARAGRAPHS)
+        # those with the smallest hashes, so that the sample doesn't depend on how the table is laid out
+        prose = plain.filter(~F.col("text").rlike(CUES)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(MAX_PLAIN_PARAGRAPHS)
         out = out.unionByName(prose.select("text", F.lit(float(len(FAMILIES) - 1)).alias("label")))
     return out
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For the jobs that are run inside it."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 class Scratch:
     """Intermediate tables of one run below the shared folder.  A table is made once, its lineage ends
     there and a lost executor takes nothing with it; it is dropped when its last reader is done."""
@@ -39,12 +52,8 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(BATCH_CONF)
-        self.spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS)))
-        try:
+        with small_batches(self.spark):
             df.write.parquet(f"{self.root}/{name}")
-        finally:
-            self.spark.conf.set(BATCH_CONF, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

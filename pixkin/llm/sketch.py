@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 #: Ranges of cells that a sketch row is merged in.
 SHARDS = 64
 #: Cells that a task gathers of each row before it hands them on.
@@ -77,7 +79,9 @@ def merged(parts: DataFrame, rows: int, log2: int, pack: Callable[[np.ndarray],
 
     width = len(pack(np.zeros(size, np.uint32)))
     out = [np.zeros(SHARDS * width, np.uint8) for _ in range(rows)]
-    for r in parts.groupBy("shard").applyInArrow(merge, "shard int, packed binary").collect():  # rows * SHARDS rows of a fixed size
+    with small_batches(parts.sparkSession):
+        found = parts.groupBy("shard").applyInArrow(merge, "shard int, packed binary").collect()  # rows * SHARDS rows of a fixed size
+    for r in found:
         s = r["shard"] % SHARDS
         out[r["shard"] // SHARDS][s * width : (s + 1) * width] = np.frombuffer(zlib.decompress(r["packed"]), np.uint8)
     return out
