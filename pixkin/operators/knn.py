@@ -18,9 +18,10 @@ def _blocks(rows: int, block: int = BLOCK) -> int:
     return max(1, -(-rows // block))
 
 
-def _dealt(df: DataFrame, n: int, side: str) -> DataFrame:
+def _dealt(df: DataFrame, n: int, side: str, others: int | None = None) -> DataFrame:
+    """Rows in n blocks of their own, each with every one of the other side's blocks (None: as many)."""
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    other = F.explode(F.sequence(F.lit(0), F.lit((others or n) - 1)))
     at = df.select("id", "cls", own.alias("own")).select("id", "cls", "own", other.alias("other"))
     pair = (F.col("own"), F.col("other")) if side == "a" else (F.col("other"), F.col("own"))
     return at.select(pair[0].alias("i"), pair[1].alias("j"), F.lit(side == "a").alias("query"), "id", "cls")
@@ -29,9 +30,10 @@ def _dealt(df: DataFrame, n: int, side: str) -> DataFrame:
 def knn(queries: DataFrame, corpus: DataFrame, k: int, drop_self: bool = True, block: int = BLOCK) -> DataFrame:
     """queries, corpus: (id, cls).  Per query its k nearest rows: id_a, id_b, coarse, rank.  Ties go
     to the smaller id."""
-    n = _blocks(max(queries.count(), corpus.count()), block)
+    # few queries are one block, which meets every block of the corpus once
+    m, n = _blocks(queries.count(), block), _blocks(corpus.count(), block)
     kind = corpus.schema["id"].dataType.simpleString()
-    both = _dealt(queries, n, "a").unionByName(_dealt(corpus, n, "b"))
+    both = _dealt(queries, m, "a", n).unionByName(_dealt(corpus, n, "b", m))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         q, c = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
@@ -81,7 +83,7 @@ TIE = 1e-12
 
 def _ahead(hits: DataFrame, queries: DataFrame, corpus: DataFrame, block: int) -> DataFrame:
     """Per hit (id_a, id_b, coarse) the number of corpus rows that come before it."""
-    n = _blocks(max(queries.count(), corpus.count()), block)
+    m, n = _blocks(queries.count(), block), _blocks(corpus.count(), block)
     kind = corpus.schema["id"].dataType.simpleString()
     mine = hits.groupBy("id_a").agg(F.collect_list(F.struct("id_b", "coarse")).alias("near"))
     mine = mine.select(F.col("id_a").alias("id"), F.col("near.id_b").alias("near"), F.col("near.coarse").alias("coarse"))
@@ -96,8 +98,8 @@ def _ahead(hits: DataFrame, queries: DataFrame, corpus: DataFrame, block: int) -
                 out.append(pd.DataFrame({"id_a": row.q_id, "id_b": near[:, 0], "ahead": (before & (ids != near)).sum(1)}))
         return pd.concat(out)
 
-    asked = _dealt(queries, n, "a").join(mine, "id").select(*[F.col(x).alias(f"q_{x}") for x in ("i", "j", "id", "cls", "near", "coarse")])
-    found = asked.groupBy("q_i", "q_j").cogroup(_dealt(corpus, n, "b").select(*[F.col(x).alias(f"c_{x}") for x in ("i", "j", "id", "cls")]).groupBy("c_i", "c_j")).applyInPandas(count, f"id_a {kind}, id_b {kind}, ahead long")
+    asked = _dealt(queries, m, "a", n).join(mine, "id").select(*[F.col(x).alias(f"q_{x}") for x in ("i", "j", "id", "cls", "near", "coarse")])
+    found = asked.groupBy("q_i", "q_j").cogroup(_dealt(corpus, n, "b", m).select(*[F.col(x).alias(f"c_{x}") for x in ("i", "j", "id", "cls")]).groupBy("c_i", "c_j")).applyInPandas(count, f"id_a {kind}, id_b {kind}, ahead long")
     return found.groupBy("id_a", "id_b").agg(F.sum("ahead").alias("ahead"))
 
 

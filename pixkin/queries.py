@@ -6,6 +6,7 @@ and the change feed.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -260,9 +261,13 @@ def match_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(out.select("id_a", "id_b", "label_a", "label_b", "composite"), "composite")
 
 
-_ASCII = r"^[\x00-\x7f]*$"
-_TEXTS = f"""WITH b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS next FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7f]*')),
-t AS (SELECT item_id, trim(text) AS a, trim(next) AS b FROM b WHERE next IS NOT NULL),
+#: DuckDB's levenshtein counts bytes, so each character beyond ASCII is first replaced by a control character
+#: of its own: there are fewer of them in `benchmark` than control characters.
+_TEXTS = """WITH c AS (SELECT string_agg(c, '' ORDER BY c) AS beyond FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark) WHERE ascii(c) > 127),
+k AS (SELECT list_aggregate(list_transform(range(1, 9), lambda i: chr(i::INT)) || list_transform(range(14, 28), lambda i: chr(i::INT)), 'string_agg', '') AS control),
+b AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS next, row_number() OVER (ORDER BY item_id DESC) AS n FROM benchmark),
+s AS (SELECT item_id, trim(coalesce(text, '')) AS x, trim(coalesce(next, '')) AS y FROM b WHERE n > 1),
+t AS (SELECT item_id, translate(x, coalesce(beyond, ''), control) AS a, translate(y, coalesce(beyond, ''), control) AS b FROM s, c, k),
 r AS (SELECT item_id, CASE WHEN length(a) = 0 AND length(b) = 0 THEN 1.0::DOUBLE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS ratio FROM t)"""
 
 
@@ -279,10 +284,8 @@ def in_turn(rows: DataFrame, ranges: int = 64) -> DataFrame:
     return rows.join(rows.select((F.col("number") - 1).alias("number"), F.col("text").alias("next")), "number").select("item_id", "text", "next")
 
 
-def _texts(spark: SparkSession, sf_dir: str, ascii_only: bool = True) -> DataFrame:
-    """DuckDB's levenshtein counts bytes, so the queries with SQL are over ASCII rows; the others take all."""
-    rows = table(spark, sf_dir, "benchmark")
-    rows = in_turn(rows.filter(F.col("text").rlike(_ASCII)) if ascii_only else rows)
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = in_turn(table(spark, sf_dir, "benchmark"))
     return rows.select("item_id", S.text_similarity(F.col("text"), F.col("next")).alias("ratio"))
 
 
@@ -300,13 +303,12 @@ def ocr_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def levenshtein_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with the next, ASCII or not; a null text counts as empty."""
-    return places(_texts(spark, sf_dir, ascii_only=False), "ratio")
+    return levenshtein_ratio(spark, sf_dir)
 
 
 @query()
 def ocr_penalty_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _texts(spark, sf_dir, ascii_only=False).select("item_id", S.ocr_penalised(F.lit(0.9), F.col("ratio"), VECTOR).alias("composite"))
-    return places(df, "composite")
+    return ocr_penalty(spark, sf_dir)
 
 
 @query(f"""{SCORED}, k AS (SELECT id_a, id_b, hash_ensemble FROM s UNION ALL SELECT id, id, 1.0 FROM f)
@@ -433,7 +435,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not sc.getCheckpointDir():
         import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     path = f"{sc.getCheckpointDir()}/store-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     song = F.col("user_id").cast("string")
