@@ -143,6 +143,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, log2: int, levels:
     join are keys of the order: frequency first, then a hash; the same token has the same key."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_cell = np.frombuffer(levels.value, np.uint8)  # bytes, which workers load without a second copy
         for batch in batches:
             for a, tokens, of in token_sets(batch.column("text"), width):
                 if not len(tokens):
@@ -150,7 +151,7 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, log2: int, levels:
                 begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
                 n = np.diff(np.append(begin, len(of)))
                 counted, cell = _counted(tokens, log2)
-                level = np.where(counted, levels.value[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & 15, np.uint8(16))
+                level = np.where(counted, of_cell[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8) & 15, np.uint8(16))
                 free = n - np.add.reduceat((level == 0).astype(np.int64), begin)
                 length = n - (n * num + den - 1) // den + 1
                 some = n - free < length
@@ -253,7 +254,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     log2 = log2_cells(size / BYTES_A_TOKEN, 1.0, LEAST_CELLS, MOST_CELLS)
     first = scratch.table(signed(docs, width, log2), "signed")
-    levels = spark.sparkContext.broadcast(frequencies(first.filter("shard IS NOT NULL").select("shard", "cells", "counts"), log2))
+    levels = spark.sparkContext.broadcast(frequencies(first.filter("shard IS NOT NULL").select("shard", "cells", "counts"), log2).tobytes())
 
     member = first.filter("shard IS NULL").select("doc_id", *same)
     sound = member.filter("n > 0 AND doc_id IS NOT NULL")

@@ -49,7 +49,12 @@ def repeated_cells(docs: DataFrame, width: int, log2: int, depth: int = DEPTH) -
         for batch in batches:
             texts = batch.column("text")
             for a, b in row_chunks(texts):
-                windows, _ = run_hashes(*word_hashes(texts.slice(a, b - a)), width)
+                words, rows = word_hashes(texts.slice(a, b - a))
+                windows, at = run_hashes(words, rows, width)
+                order = np.argsort(windows, kind="stable")  # and so by rows among equal ones
+                windows, of = windows[order], rows[at[order]]
+                again = (windows[1:] == windows[:-1]) & (of[1:] == of[:-1])
+                windows = windows[np.append(True, ~again)[: len(windows)]]  # once a document
                 for row in range(depth):
                     held.add(row, _cells(windows, row, log2))
                 if held.full():
@@ -71,10 +76,11 @@ def _second_hash(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int, log2: int, depth: int = DEPTH) -> DataFrame:
     """docs: (doc_id, text, text_crc32).  Per window that also starts in a document with a smaller
     doc_id: the document, its text's checksum and the number of the window's first word."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, width, log2, depth))
+    # as bytes, which workers load without a second copy
+    shared = docs.sparkSession.sparkContext.broadcast([x.tobytes() for x in repeated_cells(docs, width, log2, depth)])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = shared.value
+        bitmaps = [np.frombuffer(x, np.uint8) for x in shared.value]
         for batch in batches:
             texts = batch.column("text")
             for a, b in row_chunks(texts):
