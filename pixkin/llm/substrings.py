@@ -97,6 +97,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int, log2: int, d
                     columns = [pa.array(windows[keep].view(np.int64)), pa.array(_second_hash(words, at, width).view(np.int64))]
                     columns += [batch.column("doc_id").take(take), batch.column("text_crc32").take(take), pa.array((at - first).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc_id", "text_crc32", "at"])
+        vars(shared).pop("_value", None)  # a worker would hold the bitmaps until its next task of another stage
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.filter("doc_id IS NOT NULL").mapInArrow(emit, f"one long, two long, doc_id {kind}, text_crc32 long, at int")
