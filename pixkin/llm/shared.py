@@ -34,10 +34,10 @@ BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """For the jobs that are run inside it."""
     before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS)))
+    spark.conf.set(BATCH_CONF, str(min(int(before), rows)))
     try:
         yield
     finally:

@@ -4,7 +4,7 @@ of cells, and brought to the driver as a few bits a cell, whatever the number of
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,9 @@ from .shared import small_batches
 #: Ranges of cells that a sketch row is merged in.
 SHARDS = 64
 #: Cells that a task gathers of each row before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
+#: Parts in an Arrow batch; one takes up to 50 KB.
+PART_ROWS = 200
 #: Columns of what tasks hand on.
 PARTS = "shard int, cells binary, counts binary"
 _TYPES = (pa.int32(), pa.binary(), pa.binary())
@@ -32,7 +34,7 @@ def _planes(values: np.ndarray, kind: str) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _unplaned(data: bytes, kind: str) -> np.ndarray:
+def _unplaned(data: bytes | pa.Buffer, kind: str) -> np.ndarray:
     x = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(x.T).view(kind).ravel().astype(np.int64)
 
@@ -71,16 +73,29 @@ def merged(parts: DataFrame, rows: int, log2: int, pack: Callable[[np.ndarray],
     """parts: PARTS.  Per row the packed counts of all cells.  pack: from the counts of a range to bytes."""
     size = (1 << log2) // SHARDS
 
-    def merge(table: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.uint32)
-        for cells, counts in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            total[np.cumsum(_unplaned(cells, "<u4"))] += _unplaned(counts, "<u2").astype(np.uint32)
-        return pa.table([table.column("shard")[:1], pa.array([zlib.compress(pack(total).tobytes(), 1)], pa.binary())], names=["shard", "packed"])
+    def merged_shard(shard: int, total: np.ndarray) -> pa.RecordBatch:
+        packed = zlib.compress(pack(total).tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed], pa.binary())], names=["shard", "packed"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts in the order of their shards, one shard's counts at a time."""
+        shard, total = None, np.zeros(0, np.uint32)
+        for batch in batches:
+            for own, cells, counts in zip(batch.column("shard").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
+                if own != shard:
+                    if shard is not None:
+                        yield merged_shard(shard, total)
+                    shard, total = own, np.zeros(size, np.uint32)
+                at = np.cumsum(_unplaned(cells.as_buffer(), "<u4"))
+                total[at] = np.minimum(total[at] + _unplaned(counts.as_buffer(), "<u2"), 1 << 31)
+        if shard is not None:
+            yield merged_shard(shard, total)
 
     width = len(pack(np.zeros(size, np.uint32)))
     out = [np.zeros(SHARDS * width, np.uint8) for _ in range(rows)]
-    with small_batches(parts.sparkSession):
-        found = parts.groupBy("shard").applyInArrow(merge, "shard int, packed binary").collect()  # rows * SHARDS rows of a fixed size
+    with small_batches(parts.sparkSession, PART_ROWS):
+        dealt = parts.repartition("shard").sortWithinPartitions("shard")
+        found = dealt.mapInArrow(merge, "shard int, packed binary").collect()  # rows * SHARDS rows of a fixed size
     for r in found:
         s = r["shard"] % SHARDS
         out[r["shard"] // SHARDS][s * width : (s + 1) * width] = np.frombuffer(zlib.decompress(r["packed"]), np.uint8)

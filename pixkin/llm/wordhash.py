@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed together; a longer text is taken alone.
+#: Bytes of text that are hashed together; a longer text is taken alone, in parts cut between words.
 CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -65,10 +65,14 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     after[-1], after[:-1] = False, inside[1:]
     after[edge - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(data * _power(_BASE, len(data)), out=sums[1:])
-    value = (sums[end] - sums[start]) * _power(_INVERSE, len(data))[start]
+    value, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):  # as many words at a time as CHUNK_BYTES hold, so that tables of powers stay small
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, "right")))
+        part, first, last = data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _power(_BASE, len(part)), out=sums[1:])
+        value[i:j] = (sums[last] - sums[first]) * _power(_INVERSE, len(part))[first]
+        i = j
     return mix(value ^ mix((end - start).astype(np.uint64), 7)), np.searchsorted(offsets, start, "right") - 1
 
 
