@@ -57,33 +57,89 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
     return images.select("id", "data", "width", "height", "nChannels").mapInPandas(work, SCHEMA)
 
 
-def align_pairs(pairs: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
+def _aligned(a: np.ndarray, b: np.ndarray, config: ScoringConfig) -> tuple[dict, np.ndarray | None]:
+    """How b is mapped onto a, and the map; the reason says why it isn't used."""
+    grey = [I.luma(x) for x in (a, b)]
+    points = [I.corners(g) for g in grey]
+    if min(map(len, points)) < 4:
+        return {"reason": "few_keypoints"}, None
+    found = I.ratio_matches(I.descriptors(grey[0], points[0]), I.descriptors(grey[1], points[1]), config.ratio)
+    if len(found) < config.min_inliers:
+        return {"reason": "few_matches"}, None
+    h, good = I.ransac(points[1][found[:, 1]], points[0][found[:, 0]])
+    if h is None:
+        return {"reason": "no_homography"}, None
+    scale = (np.hypot(h[0, 0], h[1, 0]) + np.hypot(h[0, 1], h[1, 1])) / 2
+    turn = np.degrees(np.arctan2(h[1, 0], h[0, 0]))
+    done = {"inliers": int(good.sum()), "scale": scale, "rotation": turn}
+    if done["inliers"] < config.min_inliers:
+        return {"inliers": done["inliers"], "reason": "few_inliers"}, None
+    if not 1 / config.max_scale <= scale <= config.max_scale:
+        return done | {"reason": "scale"}, None
+    return (done | {"reason": "rotation"}, None) if abs(turn) > config.max_rotation else (done | {"reason": "applied"}, h)
+
+
+ALIGNED = "pair_id string, applied boolean, reason string, scale double, rotation double, inliers int"
+
+
+def align_pairs(pairs: DataFrame, config: ScoringConfig = ScoringConfig(), warp: bool = False) -> DataFrame:
     """pairs: (pair_id, a and b as structs of an image).  Scale, rotation, inliers and whether b can be
-    warped onto a, with the reason if not."""
+    warped onto a, with the reason if not.  A pair that can't be worked on has `error` and what it
+    was as its reason.  warp: adds b as seen from a, as columns of an image."""
+    names = [c.split()[0] for c in ALIGNED.split(", ")] + (["data", "width", "height", "nChannels"] if warp else [])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
-                grey = [I.luma(pixels(pd.Series(x) if isinstance(x, dict) else x)) for x in (row.a, row.b)]
-                points = [I.corners(g) for g in grey]
-                done = {"pair_id": row.pair_id, "applied": False, "reason": "few_keypoints"}
-                if min(map(len, points)) >= 4:
-                    found = I.ratio_matches(I.descriptors(grey[0], points[0]), I.descriptors(grey[1], points[1]), config.ratio)
-                    done["reason"] = "few_matches"
-                    if len(found) >= config.min_inliers:
-                        h, good = I.ransac(points[1][found[:, 1]], points[0][found[:, 0]])
-                        done["reason"] = "no_homography"
-                        if h is not None:
-                            scale = (np.hypot(h[0, 0], h[1, 0]) + np.hypot(h[0, 1], h[1, 1])) / 2
-                            turn = np.degrees(np.arctan2(h[1, 0], h[0, 0]))
-                            done |= {"scale": scale, "rotation": turn, "inliers": int(good.sum())}
-                            done["reason"] = "few_inliers" if good.sum() < config.min_inliers else "scale" if not 1 / config.max_scale <= scale <= config.max_scale else "rotation" if abs(turn) > config.max_rotation else "applied"
-                            done["applied"] = done["reason"] == "applied"
+                done = dict.fromkeys(names) | {"pair_id": row.pair_id, "applied": False}
+                try:
+                    a, b = (pixels(pd.Series(x) if isinstance(x, dict) else x) for x in (row.a, row.b))
+                    found, h = _aligned(a, b, config)
+                    done |= found | {"applied": h is not None}
+                    if warp and h is not None:
+                        height, width = a.shape[:2]
+                        seen = I.warped(b.astype(float), h, width, height).round().astype(np.uint8)
+                        done |= {"data": seen[:, :, ::-1].tobytes(), "width": width, "height": height, "nChannels": 3}
+                except Exception as e:  # one bad pair must not stop the others; it is reported
+                    done |= {"applied": False, "reason": f"error: {type(e).__name__}: {e}"}
                 out.append(done)
-            yield pd.DataFrame(out, columns=["pair_id", "applied", "reason", "scale", "rotation", "inliers"]).astype({"inliers": "Int32"})
+            yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
+
+    return pairs.select("pair_id", "a", "b").mapInPandas(work, ALIGNED + (", data binary, width int, height int, nChannels int" if warp else ""))
+
+
+Decoder = Callable[[bytes], np.ndarray]
+
+
+def ppm(content: bytes) -> np.ndarray:
+    """RGB of a binary portable pixmap of 8 bits; other decoders of whole files can stand in its place."""
+    kind, width, height, most, data = content.split(maxsplit=4) if content[:2] == b"P6" else (b"",) * 5
+    if kind != b"P6" or most != b"255":
+        raise ValueError("no pixmap of 8 bits")
+    return np.frombuffer(data, np.uint8).reshape(int(height), int(width), 3)
+
+
+def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
+    """files: (id, content).  (id, data, width, height, nChannels) as of Spark's image source, all null
+    where there is no content or it can't be decoded."""
+    names = ["id", "data", "width", "height", "nChannels"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                done = dict.fromkeys(names) | {"id": row.id}
+                try:
+                    rgb = decode(bytes(row.content))
+                    done |= {"data": np.ascontiguousarray(rgb[:, :, ::-1]).tobytes(), "width": rgb.shape[1], "height": rgb.shape[0], "nChannels": 3}
+                except Exception:  # what can't be decoded counts as failed
+                    pass
+                out.append(done)
+            yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
 
-    return pairs.mapInPandas(work, "pair_id string, applied boolean, reason string, scale double, rotation double, inliers int")
+    kind = files.schema["id"].dataType.simpleString()
+    return files.select("id", "content").mapInPandas(work, f"id {kind}, data binary, width int, height int, nChannels int")
 
 
 def equal_files(files: DataFrame) -> DataFrame:

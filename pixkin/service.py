@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 import json
+import urllib.error
+import urllib.request
+from collections.abc import Callable
 
-#: Code, HTTP status and message.
+import numpy as np
+
+from pixkin.sources.images import LEAST_SIDE
+
+TIMEOUT = 15.0
+
+#: Codes and HTTP statuses are fixed values, the messages are our own.
 ERRORS = {
-    "MISSING_FIELDS": (400, "Required fields missing: image_url, level_ids"),
-    "INVALID_IMAGE_URL": (400, "image_url must be a valid http/https URL"),
-    "INVALID_LEVEL_ID": (400, "level_ids must be a non-empty string or array"),
-    "IMAGE_FETCH_FAILED": (502, "Failed to fetch image from the provided URL"),
-    "IMAGE_DECODE_FAILED": (422, "URL did not return a valid image"),
-    "IMAGE_TOO_SMALL": (422, "Image is too small to process (minimum 64x64)"),
-    "NO_SONGS_FOR_LEVEL": (404, "No songs found for the given level_ids"),
-    "NO_INDEXED_SONGS": (404, "No indexed songs found for the given level_ids — rebuild index"),
-    "INDEX_NOT_FOUND": (503, "Index not loaded — server not ready"),
-    "MONGO_ERROR": (503, "Document store query failed"),
-    "PIPELINE_ERROR": (500, "Internal pipeline error"),
-    "DOC_ALREADY_INDEXED": (409, "Document is already in the index — use /edit to update"),
-    "DOC_NOT_FOUND": (404, "Document ID not found in the index"),
-    "EMBEDDER_NOT_READY": (503, "Embedder not loaded"),
-    "INDEX_WRITE_FAILED": (500, "Failed to persist index changes to disk"),
+    "MISSING_FIELDS": (400, "The request lacks image_url or level_ids"),
+    "INVALID_IMAGE_URL": (400, "image_url has to begin with http:// or https://"),
+    "INVALID_LEVEL_ID": (400, "level_ids has to name at least one level"),
+    "IMAGE_FETCH_FAILED": (502, "The image could not be fetched"),
+    "IMAGE_DECODE_FAILED": (422, "What was fetched is no image"),
+    "IMAGE_TOO_SMALL": (422, "The image has a side of fewer than 64 pixels"),
+    "NO_SONGS_FOR_LEVEL": (404, "The levels have no songs"),
+    "NO_INDEXED_SONGS": (404, "No song of the levels is in the index"),
+    "INDEX_NOT_FOUND": (503, "There is no index yet"),
+    "MONGO_ERROR": (503, "The songs could not be read"),
+    "PIPELINE_ERROR": (500, "The comparison failed"),
+    "DOC_ALREADY_INDEXED": (409, "The song is in the index already and can be edited"),
+    "DOC_NOT_FOUND": (404, "The song is not in the index"),
+    "EMBEDDER_NOT_READY": (503, "There is no function for embeddings"),
+    "INDEX_WRITE_FAILED": (500, "The index could not be written"),
+}
+#: What each verdict says.
+DESCRIPTIONS = {
+    "EXACT": "the same image",
+    "MICRO_VARIANT": "the same image with slight changes",
+    "MODIFIED_VARIANT": "the same image with clear changes",
+    "DISTANT": "images that share parts",
+    "DISTINCT": "different images",
 }
 
 
@@ -83,11 +100,42 @@ def response(match: dict | None) -> dict:
         "yt_video_id": match.get("video_id") or "",
         "composite": place("composite"),
         "verdict": match["verdict"],
+        "verdict_description": DESCRIPTIONS.get(match["verdict"], ""),
         "scores": {s: place(s) for s in scores},
-        "grid": {"min_cell": place("grid_min_cell"), "variance": place("grid_variance")},
+        "grid": {"matrix": match.get("grid_matrix"), "min_cell": place("grid_min_cell"), "variance": place("grid_variance")},
         "alignment": {"applied": bool(match.get("align_applied")), "scale": place("align_scale"), "rotation_deg": place("align_rotation_deg", 2), "inliers": match.get("align_inliers")},
+        "stages_run": list(match.get("stages_run") or ()),
+        "elapsed_ms": place("elapsed_ms", 1),
     }
 
 
 def health(vectors: int | None, threshold: float) -> dict:
-    return {"status": "ok" if vectors is not None else "starting", "vectors": vectors or 0, "threshold": threshold}
+    return {"status": "ok" if vectors is not None else "starting", "index_vectors": vectors or 0, "threshold": threshold}
+
+
+def http_get(url: str, timeout: float = TIMEOUT) -> tuple[int, bytes]:
+    """Status and body; redirects are followed."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "pixkin"}), timeout=timeout) as r:
+            return r.status, r.read()
+    except urllib.error.HTTPError as e:
+        return e.code, b""
+
+
+def request_image(url: str, decode: Callable[[bytes], np.ndarray], get: Callable[[str], tuple[int, bytes]] = http_get) -> np.ndarray:
+    """RGB of the image that a request names, or the error that its response carries."""
+    try:
+        status, content = get(_url(url))
+    except TimeoutError:
+        raise ServiceError("IMAGE_FETCH_FAILED", f"No answer in time from {url}") from None
+    except OSError as e:
+        raise ServiceError("IMAGE_FETCH_FAILED", f"{url}: {e}") from None
+    if not 200 <= status < 300:
+        raise ServiceError("IMAGE_FETCH_FAILED", f"{url} answered with status {status}")
+    try:
+        rgb = decode(content)
+    except Exception:
+        raise ServiceError("IMAGE_DECODE_FAILED") from None
+    if min(rgb.shape[:2]) < LEAST_SIDE:
+        raise ServiceError("IMAGE_TOO_SMALL", f"The image has {rgb.shape[1]} x {rgb.shape[0]} pixels; {LEAST_SIDE} x {LEAST_SIDE} are needed")
+    return rgb

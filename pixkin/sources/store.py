@@ -55,6 +55,12 @@ class SnapshotStore:
         row = self.spark.createDataFrame([(name, number + 1)], POINTER)
         row.coalesce(1).write.mode("append").json(f"{self.path}/pointer")
 
+    def scratch(self, df: DataFrame) -> DataFrame:
+        """df as a table beside the snapshots, for what is read more than once."""
+        path = f"{self.path}/scratch-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def pending(self, songs: DataFrame, retry_failed: bool = False) -> DataFrame:
         done = self.progress().filter("status <> 'failed'") if retry_failed else self.progress()
         return songs.join(done.select("song_id"), "song_id", "left_anti")
