@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -114,10 +115,10 @@ Decoder = Callable[[bytes], np.ndarray]
 
 def ppm(content: bytes) -> np.ndarray:
     """RGB of a binary portable pixmap of 8 bits; other decoders of whole files can stand in its place."""
-    kind, width, height, most, data = content.split(maxsplit=4) if content[:2] == b"P6" else (b"",) * 5
-    if kind != b"P6" or most != b"255":
+    head = re.match(rb"P6\s+(\d+)\s+(\d+)\s+255\s", content)  # one space, what follows are pixels
+    if head is None:
         raise ValueError("no pixmap of 8 bits")
-    return np.frombuffer(data, np.uint8).reshape(int(height), int(width), 3)
+    return np.frombuffer(content, np.uint8, offset=head.end()).reshape(int(head[2]), int(head[1]), 3)
 
 
 def decoded(files: DataFrame, decode: Decoder) -> DataFrame:

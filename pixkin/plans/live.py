@@ -18,7 +18,6 @@ from pixkin.sources.images import image_files, images
 IMAGE = ("data", "width", "height", "nChannels")
 HASHES = ("phash", "dhash", "ahash", "whash")
 SCORES = ("hash_ensemble", "dct_spectrum", "sector_grid", "global_semantic", "patch_spatial")
-ALIGNMENT = ("align_applied", "align_reason", "align_scale", "align_rotation_deg", "align_inliers")
 
 
 def hash_vector(config: ScoringConfig) -> Column:
@@ -31,7 +30,7 @@ def _text_similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), None).otherwise(S.text_similarity(a, b))
 
 
-def analyze_pairs(pairs: DataFrame, images: DataFrame, features: DataFrame, config: ScoringConfig = ScoringConfig(), embed: Embedder | None = None, full: bool = False) -> DataFrame:
+def analyze_pairs(pairs: DataFrame, images: DataFrame, features: DataFrame, config: ScoringConfig = ScoringConfig(), embed: Embedder | None = None, full: bool = False, work: str | None = None) -> DataFrame:
     """pairs: (id_a, id_b); images: (id, file_key, data, width, height, nChannels, text); features:
     rows of `extract_features` of the images.
 
@@ -39,7 +38,8 @@ def analyze_pairs(pairs: DataFrame, images: DataFrame, features: DataFrame, conf
     bytes score 1 throughout; a hash score from `short_high` on decides alone, and one up to
     `short_low` leaves the vectors' scores 0, unless full is set.  Without embed the vectors' scores are 0 and
     the composite is that of the others.  text, null if unknown, stands for what OCR would read.
-    Pairs with an image that couldn't be worked on are left out, as are those with an unknown id."""
+    Pairs with an image that couldn't be worked on are left out, as are those with an unknown id.
+    work: a folder that all executors share; with it each pair is aligned once, without it twice."""
     kind = PROFILES["live"]
     narrow = images.select("id", "file_key", "text").join(features.filter("error IS NULL").select("id", *HASHES), "id")
     df = with_features(pairs.select("id_a", "id_b"), narrow, ["file_key", "text", *HASHES])
@@ -62,6 +62,9 @@ def analyze_pairs(pairs: DataFrame, images: DataFrame, features: DataFrame, conf
     pixels = images.select("id", F.struct(*IMAGE).alias("image"))
     both = with_features(rest.select("id_a", "id_b", "pair_id"), pixels, ["image"])
     aligned = align_pairs(both.select("pair_id", F.col("a_image").alias("a"), F.col("b_image").alias("b")), config, warp=True)
+    if work is not None:
+        aligned.write.parquet(path := f"{work}/aligned-{uuid.uuid4().hex}")
+        aligned = aligned.sparkSession.read.schema(aligned.schema).parquet(path)
     seen = extract_features(aligned.filter("applied").select(F.col("pair_id").alias("id"), *IMAGE), config, embed)
     wide = [*NARROW, "patches"]
     own = features.filter("error IS NULL").select("id", *wide)
@@ -130,5 +133,5 @@ def scan_directory(spark: SparkSession, folder: str, work: str, config: ScoringC
     most = config.weights["hash"] * config.short_low + config.weights["grid"] + config.weights["dct"]
     least = 2 * config.short_low - 1 if most < threshold else -2.0
     pairs = pairs_above(own.filter("error IS NULL").select("id", hash_vector(config).alias("cls")), least - 1e-9)
-    scored = analyze_pairs(pairs, found, own, config, embed)
+    scored = analyze_pairs(pairs, found, own, config, embed, work=at)
     return scored.filter(F.col("composite") >= threshold).orderBy(F.desc("composite"), "id_a", "id_b")

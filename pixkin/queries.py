@@ -21,8 +21,9 @@ from pixkin.functions import scores as S
 from pixkin.operators import features as image_features
 from pixkin.operators import knn, pairs
 from pixkin.operators.vector_proxy import vector_features
-from pixkin.plans import duplicates
+from pixkin.plans import duplicates, ingest, live
 from pixkin.service import ERRORS
+from pixkin.sources.feature_table import FeatureTable, ImageCache
 from pixkin.sources.store import SnapshotStore
 from pixkin.streaming.feed import follow, latest_changes
 
@@ -428,9 +429,7 @@ def path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.select(F.col("id_a").alias("id")).union(pair.select(F.col("id_b").alias("id"))).distinct()
 
 
-@query(f"{_LATEST} SELECT user_id::VARCHAR AS song_id, (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id FROM l WHERE op <> 'delete'")
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a change feed into a new store."""
+def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
@@ -439,7 +438,13 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+@query(f"{_LATEST} SELECT user_id::VARCHAR AS song_id, (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id FROM l WHERE op <> 'delete'")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a change feed into a new store."""
+    path = f"{_shared_folder(spark)}/store-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     song = F.col("user_id").cast("string")
     changes = stream.select(song.alias("song_id"), F.expr(_OPS).alias("op"), F.struct("ts", "event_id").alias("number"), ids.stable_vec_id(song).alias("vec_id"), F.sha2(song, 256).alias("emb_key"), F.array(F.lit(0.0)).alias("cls"))
@@ -480,3 +485,42 @@ def warp_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     image: Column = F.struct("data", "width", "height", "nChannels")
     one, two = _rasters(rows).select("id", image.alias("a")), _rasters(rows, 8.0).select("id", image.alias("b"))
     return image_features.align_pairs(one.join(two, "id").select(F.col("id").alias("pair_id"), "a", "b"))
+
+
+def _embed(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shades of 14 x 14 cells, whole and as patches, in place of a model's vectors."""
+    cells = np.stack([imaging.resized(rgb[:, :, c].astype(float), 14, 14) for c in range(3)], 2)
+    return cells.ravel() - cells.mean() + 1e-3, cells.reshape(196, 3) + 1.0
+
+
+@query()
+def live_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each drawn image and its vector's nearest neighbour, aligned and scored from pixels."""
+    work = f"{_shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
+    images = _rasters(rows).select("id", F.sha2("data", 256).alias("file_key"), *live.IMAGE, F.lit(None).cast("string").alias("text"))
+    images.write.parquet(f"{work}/images")
+    images = spark.read.parquet(f"{work}/images")
+    image_features.extract_features(images.repartition(spark.sparkContext.defaultParallelism), embed=_embed).write.parquet(f"{work}/features")
+    near = knn.candidate_pairs(knn.knn_self(vectors(spark, sf_dir), 1), -1.0)
+    near = near.select(F.col("id_a").cast("string").alias("id_a"), F.col("id_b").cast("string").alias("id_b"))
+    return live.analyze_pairs(near, images, spark.read.parquet(f"{work}/features"), embed=_embed, work=work)
+
+
+def _drawn(url: str) -> tuple[int, bytes]:
+    """An image that depends on nothing but its address, in place of a server's."""
+    small = np.random.default_rng(list(url.encode())).uniform(0, 255, (9, 12))
+    grey = imaging.resized(small, 160, 120).round().astype(np.uint8)
+    return 200, b"P6\n160 120\n255\n" + np.repeat(grey[:, :, None], 3, 2).tobytes()
+
+
+@query("SELECT vec_id::VARCHAR AS song_id, (('0x' || substr(sha256(vec_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id FROM embeddings WHERE vec_id IS NOT NULL")
+def ingest_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors' ids as songs with a video each, fetched, decoded and added to a new index in two
+    batches; joined with the stored features, so that a song without them would be missing."""
+    path = f"{_shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    song = F.col("vec_id").cast("string")
+    songs = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").select(song.alias("song_id"), song.alias("video_id"))
+    store, features_, cache = SnapshotStore(spark, f"{path}/store"), FeatureTable(spark, f"{path}/features"), ImageCache(spark, f"{path}/images")
+    ingest.build_index(songs, store, features_, cache, _drawn, image_features.ppm, _embed, batches=2)
+    return store.entries().join(features_.read(["phash"]).filter("phash IS NOT NULL"), "emb_key").select("song_id", "vec_id")

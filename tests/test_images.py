@@ -176,6 +176,8 @@ def test_request_image():
         with pytest.raises(ServiceError) as e:
             request_image("http://x/y", ppm, get)
         assert e.value.code == code
+    dark = np.full((64, 64, 3), 32, np.uint8)  # pixels that look like spaces
+    assert (ppm(pixmap(dark)) == dark).all()
     assert request_image("http://x/y", ppm, lambda u: (200, pixmap(picture(1)))).shape == (180, 240, 3)
     match = {"id_b": "b", "composite": 0.91234, "verdict": "MICRO_VARIANT", "grid_matrix": [[1.0]], "stages_run": ["metadata"], "elapsed_ms": 1.26}
     body = response(match)
