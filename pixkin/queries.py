@@ -24,7 +24,7 @@ from pixkin.operators.vector_proxy import vector_features
 from pixkin.plans import duplicates, ingest, live
 from pixkin.service import ERRORS
 from pixkin.sources.feature_table import FeatureTable, ImageCache
-from pixkin.sources.store import SnapshotStore
+from pixkin.sources.store import IndexStore
 from pixkin.streaming.feed import follow, latest_changes
 
 QUERIES: dict = {}
@@ -448,7 +448,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     song = F.col("user_id").cast("string")
     changes = stream.select(song.alias("song_id"), F.expr(_OPS).alias("op"), F.struct("ts", "event_id").alias("number"), ids.stable_vec_id(song).alias("vec_id"), F.sha2(song, 256).alias("emb_key"), F.array(F.lit(0.0)).alias("cls"))
-    store = SnapshotStore(spark, path)
+    store = IndexStore(spark, path)
     follow(changes, store, f"{path}-progress").awaitTermination()
     return store.entries().select("song_id", "vec_id")
 
@@ -521,6 +521,6 @@ def ingest_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_shared_folder(spark)}/index-{uuid.uuid4().hex}"
     song = F.col("vec_id").cast("string")
     songs = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").select(song.alias("song_id"), song.alias("video_id"))
-    store, features_, cache = SnapshotStore(spark, f"{path}/store"), FeatureTable(spark, f"{path}/features"), ImageCache(spark, f"{path}/images")
+    store, features_, cache = IndexStore(spark, f"{path}/store"), FeatureTable(spark, f"{path}/features"), ImageCache(spark, f"{path}/images")
     ingest.build_index(songs, store, features_, cache, _drawn, image_features.ppm, _embed, batches=2)
     return store.entries().join(features_.read(["phash"]).filter("phash IS NOT NULL"), "emb_key").select("song_id", "vec_id")

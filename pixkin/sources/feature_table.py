@@ -58,9 +58,11 @@ class FeatureTable:
         new = first.join(self.read(["id"]).select("emb_key"), "emb_key", "left_anti").select("emb_key", "row.*")
         new.select(*self.COLUMNS, F.lit(time.time_ns()).alias("number")).write.mode("append").parquet(f"{self.path}/{self._folder()}")
 
-    def remove_unreferenced(self, entries: DataFrame) -> None:
-        """Hides the keys that no entry (emb_key) refers to."""
-        gone = self.read(["id"]).select("emb_key").join(entries.select("emb_key"), "emb_key", "left_anti")
+    def remove_unreferenced(self, entries: DataFrame, keys: DataFrame | None = None) -> None:
+        """Hides the keys, or those of `keys` (emb_key), that no entry (emb_key) refers to."""
+        held = self.read(["id"]).select("emb_key")
+        held = held if keys is None else held.join(keys, "emb_key", "left_semi")
+        gone = held.join(entries.select("emb_key"), "emb_key", "left_anti")
         gone.withColumn("removed_at", F.lit(time.time_ns())).write.mode("append").parquet(f"{self.path}/removed")
 
     def compact(self) -> None:

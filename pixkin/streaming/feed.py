@@ -1,4 +1,4 @@
-"""A change feed applied to a snapshot store, batch by batch and once each."""
+"""A change feed applied to the index, each batch as one change."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pixkin.sources.store import SnapshotStore
+from pixkin.sources.store import IndexStore
 
 
 def latest_changes(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -15,17 +15,15 @@ def latest_changes(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     return changes.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
-def follow(changes: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
+def follow(changes: DataFrame, store: IndexStore, checkpoint: str) -> StreamingQuery:
     """changes: a stream of (song_id, op, number, vec_id, emb_key, cls), op being add, edit or delete.
-    What the last change of a batch leaves is upserted or removed; running a batch again changes
-    nothing."""
+    What the last change of a batch leaves is upserted or removed, in one change of the index;
+    running a batch again changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
         last = latest_changes(batch, "song_id", ["number"]).persist()
-        rows = last.filter("op <> 'delete'")
-        if rows.first() is not None:
-            store.upsert(rows)
-        store.delete(last.filter("op = 'delete'"))
+        if last.first() is not None:
+            store.apply(last.filter("op <> 'delete'"), deleted=last.filter("op = 'delete'"))
         last.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

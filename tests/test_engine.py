@@ -13,7 +13,7 @@ from pixkin.operators import features, knn, pairs
 from pixkin.operators.vector_proxy import vector_features
 from pixkin.service import ServiceError, change_request, check_request, response
 from pixkin.sources.images import attempted
-from pixkin.sources.store import SnapshotStore, SongExists, SongNotFound
+from pixkin.sources.store import IndexStore, SongExists, SongNotFound, WriteConflict
 
 
 def test_config_weights():
@@ -64,7 +64,7 @@ def test_prune_loses_nothing(proxy):
 
 
 def test_store(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path / "s"))
+    store = IndexStore(spark, str(tmp_path / "s"))
     row = lambda i, k: spark.createDataFrame([(i, 1, k, [1.0])], "song_id string, vec_id long, emb_key string, cls array<double>")
     store.add(row("a", "x"))
     with pytest.raises(SongExists):
@@ -76,6 +76,17 @@ def test_store(spark, tmp_path):
     with pytest.raises(SongNotFound):
         store.delete_one("a")
     assert store.orphans(row("q", "y")).count() == 0 and store.info().first().vectors == 1
+    store.upsert(row("c", "z"), spark.createDataFrame([("d",), ("b",)], "song_id string"))
+    state = lambda: ({r.song_id for r in store.entries().collect()}, {(r.song_id, r.status) for r in store.progress().collect()})
+    before = state()
+    assert before == ({"b", "c"}, {("b", "failed"), ("c", "done"), ("d", "failed")})
+    assert store.compact() and state() == before and len(store._log()) == 1
+    # another writer claims the next number first: what was read no longer holds
+    base = store._number()
+    store.upsert(row("e", "z"))
+    with pytest.raises(WriteConflict):
+        store.apply(row("f", "z"), base=base)
+    assert state()[0] == {"b", "c", "e"}
 
 
 def test_pixels(spark):

@@ -1,5 +1,6 @@
 """Image files, the live scorer, the feature table and building the index."""
 
+import json
 import struct
 import sys
 import zlib
@@ -11,11 +12,12 @@ from pyspark import cloudpickle
 from pixkin.config import ScoringConfig
 from pixkin.functions import imaging
 from pixkin.operators.features import SCHEMA, decoded, extract_features, ppm
+from pixkin.plans.changes import add_song, delete_song, edit_song
 from pixkin.plans.ingest import build_index
 from pixkin.plans.live import scan_directory
 from pixkin.service import ServiceError, request_image, response
 from pixkin.sources.feature_table import FeatureTable, ImageCache
-from pixkin.sources.store import SnapshotStore
+from pixkin.sources.store import IndexStore
 
 #: workers can't import this module
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,7 +137,7 @@ def test_build_index(spark, tmp_path):
         return 200, pixmap(picture(int(name[1:])))
 
     asked = lambda: sorted(open(seen).read().split())
-    store, table, cache = SnapshotStore(spark, str(tmp_path / "s")), FeatureTable(spark, str(tmp_path / "f")), ImageCache(spark, str(tmp_path / "c"))
+    store, table, cache = IndexStore(spark, str(tmp_path / "s")), FeatureTable(spark, str(tmp_path / "f")), ImageCache(spark, str(tmp_path / "c"))
     songs = spark.createDataFrame([("s1", "v1"), ("s2", "v2"), ("s3", "v1"), ("s4", "gone"), ("s5", "odd"), ("s6", "blank"), ("s7", ""), ("s8", None), ("s1", "v1")], "song_id string, video_id string")
     reports = []
     done = build_index(songs, store, table, cache, get, ppm, embed, batches=2, report=reports.append)
@@ -155,6 +157,28 @@ def test_build_index(spark, tmp_path):
     assert build_index(more, store, table, cache, get, ppm, embed, retry_failed=True)["failed"] == 3
 
 
+def test_requested_changes(spark, tmp_path):
+    store, table = IndexStore(spark, str(tmp_path / "s")), FeatureTable(spark, str(tmp_path / "f"))
+    get = lambda u: (200, pixmap(picture(int(u[-1]))))
+    body = lambda i, n: json.dumps({"doc_id": i, "image_url": f"http://x/{n}"})
+    keys = lambda: {r.emb_key for r in table.read(["id"]).collect()}
+    one = add_song(store, table, body("a", 1), ppm, embed, get)
+    assert one["action"] == "added" and one["mongo_id"] == "a" and one["faiss_id"] == store.entries().first().vec_id
+    with pytest.raises(ServiceError) as e:
+        add_song(store, table, body("a", 2), ppm, embed, get)
+    assert e.value.code == "DOC_ALREADY_INDEXED" and keys() == {one["emb_key"]}
+    two = edit_song(store, table, body("b", 1), ppm, embed, get)
+    assert two["action"] == "added" and two["emb_key"] == one["emb_key"]
+    three = edit_song(store, table, body("a", 2), ppm, embed, get)  # b still has the old image
+    assert three["action"] == "updated" and three["faiss_id"] == one["faiss_id"] and keys() == {one["emb_key"], three["emb_key"]}
+    assert delete_song(store, table, '{"doc_id": "b"}') == {"action": "deleted", "mongo_id": "b", "faiss_id": two["faiss_id"]}
+    assert keys() == {three["emb_key"]} and [r.song_id for r in store.entries().collect()] == ["a"]
+    for call, code in ((lambda: delete_song(store, table, '{"doc_id": "b"}'), "DOC_NOT_FOUND"), (lambda: add_song(store, table, body("c", 3), ppm, None, get), "EMBEDDER_NOT_READY")):
+        with pytest.raises(ServiceError) as e:
+            call()
+        assert e.value.code == code
+
+
 def test_corrupt_cache_entry(spark, tmp_path):
     path = str(tmp_path / "c")
     spark.createDataFrame([("a", b"corrupt", 1), ("b", pixmap(picture(1)), 1)], "id string, content binary, number long").write.parquet(path)
