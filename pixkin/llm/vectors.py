@@ -36,8 +36,9 @@ from .shared import Scratch, written
 COSINE = 0.95
 BLOCKS = 4
 GRID_DIMS = 2
-#: Vectors of a cell that are taken together; a task holds two such pieces at most.
+#: Vectors of a cell that are taken together, and their bytes; a task holds two such pieces at most.
 PIECE = 16_384
+PIECE_BYTES = 32 << 20
 #: Rows of a piece that are compared at once.
 STRIP = 256
 GRID = float(1 << 20)
@@ -89,6 +90,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()]) if len(column) else np.zeros((0, 1))
 
 
+def _repeated(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place as often as `times` says, and which of its repeats it is."""
+    place = np.repeat(np.arange(len(times)), times)
+    return place, np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Brings label, per node a smaller or equal node, to its components' smallest after links a-b."""
     while True:
@@ -155,6 +162,7 @@ def linked(groups: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, piec
     if top is None:
         return groups.sparkSession.createDataFrame([], "node long, links long, to long")
     space = Space(top["d"], cosine, blocks)
+    piece = max(1, min(piece, PIECE_BYTES // (8 * top["d"])))
     plain = groups.select("node", "many", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
     def values(batch: pa.RecordBatch) -> np.ndarray:
@@ -175,28 +183,27 @@ def linked(groups: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, piec
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = values(batch)
-            placed, node = space.placed(x), batch.column("node").to_numpy()
-            data = [v.tobytes() for v in x]
-            spread = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            placed, nodes = space.placed(x), batch.column("node")
+            data = pa.array([v.tobytes() for v in x], pa.binary())
+            spread = (nodes.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for b in range(len(space.blocks)):
                 for near, number, home in space.visits(placed, b):
-                    out: list[tuple] = []
-                    for row, cell in zip(near.tolist(), number.tolist(), strict=True):
-                        homes = pieces.get((b, cell, True), 0)
-                        if not homes:
-                            continue
-                        visitors = pieces.get((b, cell, False), 0)
-                        mine = int(spread[row]) % (homes if home else visitors)
-                        if home:  # with the home pieces, then as the side that is visited
-                            out += [(row, cell, min(mine, k), max(mine, k), False, mine <= k) for k in range(homes)]
-                            out += [(row, cell, mine, k, True, True) for k in range(visitors)]
-                        else:
-                            out += [(row, cell, k, mine, True, False) for k in range(homes)]
-                    if out:
-                        row, cell, i, j, visit, side = zip(*out, strict=True)
-                        row = list(row)
+                    cell, at = np.unique(number, return_inverse=True)
+                    homes, visitors = (np.array([pieces.get((b, c, h), 0) for c in cell.tolist()], np.int64)[at] for h in (True, False))
+                    mine = (spread[near] % np.maximum(homes if home else visitors, 1).astype(np.uint64)).astype(np.int64)
+                    # in a home with its pieces, then as the side that is visited; or as a visitor
+                    row, k = _repeated(homes)
+                    if home:
+                        own, (seen, j) = mine[row], _repeated(visitors * (homes > 0))
+                        visit = np.arange(len(row) + len(seen)) >= len(row)
+                        first, second = np.concatenate([np.minimum(own, k), mine[seen]]), np.concatenate([np.maximum(own, k), j])
+                        side, row = np.concatenate([own <= k, np.ones(len(seen), bool)]), np.concatenate([row, seen])
+                    else:
+                        first, second, visit, side = k, mine[row], np.ones(len(row), bool), np.zeros(len(row), bool)
+                    if len(row):
+                        take = pa.array(near[row])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(row), b, np.int32)), pa.array(cell, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(visit, pa.bool_()), pa.array(side, pa.bool_()), pa.array(node[row]), batch.column("many").take(pa.array(row)), pa.array([data[r] for r in row], pa.binary())],
+                            [pa.array(np.full(len(row), b, np.int32)), pa.array(number[row]), pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), pa.array(visit), pa.array(side), nodes.take(take), batch.column("many").take(take), data.take(take)],
                             names=["block", "cell", "i", "j", "visit", "side", "node", "many", "v"],
                         )
 
