@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on a small table with nulls, empty and very long
 texts, ties, repeated rows and further columns, and on an empty table."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -123,6 +124,33 @@ def test_mixing(docs, none, rows):
     assert mixed.columns == docs.columns and mixing.mix_plan(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def descended(node, key):
+    """The shard of a key, drawn level by level."""
+    while node.children:
+        drawn = lambda c: -math.log((int(hashlib.md5(f"{key}/{c.name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / c.weight
+        node = node.children[0] if len(node.children) == 1 else min(node.children, key=drawn)
+    return node.shard
+
+
+def test_shard_tree(spark):
+    ids = spark.range(6000).withColumnRenamed("id", "doc_id")
+    plain = sharding.layout(16)
+    heavy = sharding.layout(16)
+    # one shard of the first rack three times as heavy, and with it its rack and region
+    rack = heavy.children[0].children[0]
+    rack = sharding.inner(rack.name, (sharding.Node("shard0", 3.0, (), 0), *rack.children[1:]))
+    region = sharding.inner(heavy.children[0].name, (rack, *heavy.children[0].children[1:]))
+    heavy = sharding.inner("root", (region, *heavy.children[1:]))
+    got = sharding.assign(sharding.assign(ids, plain), heavy, name="heavy").collect()
+    for r in got:
+        assert (r.shard, r.heavy) == (descended(plain, r.doc_id), descended(heavy, r.doc_id))
+    # rows move only into the region that became heavier, within it into the rack and there into the shard
+    assert all(r.heavy < (8 if r.shard >= 8 else 4 if r.shard >= 4 else 1) for r in got if r.shard != r.heavy)
+    counts, weighted = Counter(r.shard for r in got), Counter(r.heavy for r in got)
+    assert all(abs(n - 375) < 90 for n in counts.values()) and len(counts) == 16
+    assert abs(weighted[0] - 6000 * 3 / 18) < 140 and all(abs(weighted[i] - 6000 / 18) < 90 for i in range(1, 16))
+
+
 def test_sharding(docs, none, rows):
     got = sharding.shard_rows(docs.drop("shard")).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
@@ -166,14 +194,21 @@ def test_packing(docs, none, rows):
 
     path = packing.default_tokenizer()
     got = packing.packed(written(packing.token_pieces(docs, path), "pieces")).collect()
-    plain, whole = Tokenizer.from_file(path), defaultdict(list)
-    for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.piece)):
-        whole[r.doc_id] += r.ids
+    plain = Tokenizer.from_file(path)
+    want = Counter((i, tuple(plain.encode(t or "", add_special_tokens=False).ids + [2])) for i, t, _ in rows)
+    assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(i for i, _ in want.elements())
+    # ids in their order; of the rows that share a doc_id all pieces are alike
+    for doc, ids in want:
+        own = sorted({(r.piece, r.start, tuple(r.ids)) for r in got if r.doc_id == doc})
+        assert [p for p, _, _ in own] == list(range(len(own))) and sum((x for _, _, x in own), ()) == ids
+        assert all(start == sum(len(x) for _, _, x in own[:p]) for p, start, _ in own) and all(len(x) == 1024 for _, _, x in own[1:])
+    places = defaultdict(list)
+    for r in got:
         assert r.length == len(r.ids) <= 1024
-    want = defaultdict(list)
-    for i, t, _ in rows:
-        want[i] += plain.encode(t or "", add_special_tokens=False).ids + [2]
-    assert {k: sorted(v) for k, v in whole.items()} == {k: sorted(v) for k, v in want.items()}
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
     assert packing.packed(written(packing.token_pieces(none, path), "pieces")).count() == 0
 
 
@@ -207,6 +242,25 @@ def test_warc(spark):
     one = records.filter("page_id = 1").first()
     assert bytes(one.record) == bytes(one.header) + b"same\r\n\r\n" and bytes(one.header).startswith(b"WARC/1.1\r\n")
     assert spark.read.parquet(f"{path}/payloads").count() == 3
+    files = warc.write_warc_files(records, f"{path}-files").collect()
+    assert sum(f.records for f in files) == len(rows)
+    seen = []
+    for f in files:
+        with open(f"{path.removeprefix('file:')}-files/{f.name}", "rb") as stored:
+            rest = gzip.decompress(stored.read())
+        while rest:  # a record is a header, a block of the length it names and two line ends
+            head, rest = rest.split(b"\r\n\r\n", 1)
+            length = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
+            block, end, rest = rest[:length], rest[length : length + 4], rest[length + 4 :]
+            assert end == b"\r\n\r\n" and (b"WARC-Type: revisit" in head) == (length == 0)
+            seen.append(head + b"\r\n\r\n" + block + end)
+    assert sorted(seen) == sorted(bytes(r.record) for r in records.collect())
+    # many pages of one payload, spread over places
+    many = spark.range(2500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 5 > 0, "x").otherwise(F.col("id").cast("string")).alias("html"))
+    warc.write_archive(many, path + "-many")
+    got = warc.parsed(warc.read_archive(spark, path + "-many")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {(i, "revisit", 1) if i % 5 and i > 1 else (i, "response", None) for i in range(2500)} and len(got) == 2500
+    assert spark.read.parquet(f"{path}-many/headers").select("at").distinct().count() > 100
     warc.write_archive(pages.limit(0), path + "-none")
     assert warc.parsed(warc.read_archive(spark, path + "-none")).count() == 0
 
