@@ -2,9 +2,10 @@
 
 Paragraphs are lines, and a notice may run over several.  A multinomial logistic regression over hashed word 1- and 2-grams, trained
 here on variations of short public notices and on ordinary paragraphs, gives each a licence family
-or "unknown".  A prediction below the probability at which held-out paragraphs were right often
-enough counts as unknown (calibration), and so does one that no template of its family confirms: the
-paragraph must hold most of a template's 2-grams.  Only DataFrame functions and MLlib's JVM stages
+or "unknown".  A prediction below the probability at which those on held-out templates (by models that
+knew nothing of them) were right often enough counts as unknown (calibration), and so does one that no
+template of its family confirms: the paragraph must hold most of a template's 2-grams, and most of
+those that no other family's templates have.  Only DataFrame functions and MLlib's JVM stages
 are used.
 
 What is scored is every line by itself and every line joined with those that follow it, one more
@@ -22,6 +23,7 @@ repeated rows are reported once each; an empty table gives no rows; other column
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -35,6 +37,8 @@ TEMPLATES = {
     "agpl": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
+        "GNU Affero General Public License, version 3",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -62,6 +66,7 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License, version 3",
     ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
@@ -70,12 +75,19 @@ TEMPLATES = {
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "GNU Lesser General Public License, version 3",
     ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
         "SPDX-License-Identifier: MIT",
     ],
+    "mit-or-apache-2.0": [
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+        "SPDX-License-Identifier: MIT OR Apache-2.0",
+        "Dual licensed under MIT/Apache-2.0.",
+    ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
@@ -104,6 +116,8 @@ FEATURES = 1 << 14
 #: A prediction's least precision on held-out paragraphs, and a template's least share of 2-grams.
 PRECISION = 0.99
 CONFIRMED = 0.6
+#: Parts that templates are held out in, one after the other.
+FOLDS = 2
 #: Words of the longest template and a few that a notice may have besides.
 REACH = max(len(t.split()) for texts in TEMPLATES.values() for t in texts) + 8
 
@@ -122,16 +136,16 @@ def _varied(text: str, draw: random.Random) -> str:
 
 
 def training_rows(spark: SparkSession, plain: DataFrame | None = None, seed: int = 7) -> DataFrame:
-    """(text, label).  plain: (text), ordinary paragraphs, of which at most MAX_PLAIN_PARAGRAPHS are used."""
+    """(text, label, fold), a template and its variations being in one fold.  plain: (text), ordinary paragraphs, of which at most MAX_PLAIN_PARAGRAPHS are used."""
     draw, rows = random.Random(seed), []
     for label, family in enumerate(FAMILIES):
-        for text in TEMPLATES.get(family, OTHERS):
-            rows += [(text, float(label))] + [(_varied(text, draw), float(label)) for _ in range(VARIATIONS)]
-    out = spark.createDataFrame(rows, "text string, label double")
+        for i, text in enumerate(TEMPLATES.get(family, OTHERS)):
+            rows += [(x, float(label), i % FOLDS) for x in [text, *(_varied(text, draw) for _ in range(VARIATIONS))]]
+    out = spark.createDataFrame(rows, "text string, label double, fold int")
     if plain is not None:
         # those with the smallest hashes, so that the sample doesn't depend on how the table is laid out
         prose = plain.filter(~F.col("text").rlike(CUES)).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(MAX_PLAIN_PARAGRAPHS)
-        out = out.unionByName(prose.select("text", F.lit(float(len(FAMILIES) - 1)).alias("label")))
+        out = out.unionByName(prose.select("text", F.lit(float(len(FAMILIES) - 1)).alias("label"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")))
     return out
 
 
@@ -148,24 +162,31 @@ def _pipeline() -> Pipeline:
 
 
 class LicenceModel:
-    """A trained classifier and the probability from which its predictions count."""
+    """A trained classifier and the probability from which its predictions count.  fold: templates
+    that don't confirm, as they are held out."""
+
+    def __init__(self, model: PipelineModel, threshold: float, fold: int | None = None):
+        self.model, self.threshold, self.fold = model, threshold, fold
 
-    def __init__(self, model: PipelineModel, threshold: float):
-        self.model, self.threshold = model, threshold
+    @classmethod
+    def held_out(cls, rows: DataFrame) -> DataFrame:
+        """rows: (text, label, fold).  Each scored by a model of the other folds; adds good: whether the
+        family is right."""
+        parts = [cls(_pipeline().fit(rows.filter(F.col("fold") != k)), 0.0, k).scored(rows.filter(F.col("fold") == k)) for k in range(FOLDS)]
+        right = F.col("family") == F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label").cast("int"))
+        return reduce(DataFrame.unionByName, parts).withColumn("good", right)
 
     @classmethod
     def fit(cls, rows: DataFrame) -> LicenceModel:
-        """rows: (text, label); a fifth of them is held out to find the threshold."""
+        """rows: (text, label, fold); held out in turn to find the threshold."""
         rows = rows.coalesce(1)
-        held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-        model = _pipeline().fit(rows.filter(~held))
-        scored = cls(model, 0.0).scored(rows.filter(held)).filter(F.col("family") != UNKNOWN)
-        good = F.col("family") == F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("label").cast("int"))
+        used = cls.held_out(rows).filter((F.col("family") != UNKNOWN) & F.col("confirmed"))
         # the least of a few steps at which the predictions kept are precise enough
         steps = [i / 20 for i in range(6, 20)]
-        sums = [F.count_if(F.col("probability") >= t).alias(f"n{i}") for i, t in enumerate(steps)] + [F.count_if((F.col("probability") >= t) & good).alias(f"g{i}") for i, t in enumerate(steps)]
-        row = scored.agg(*sums).first()
-        return cls(model, next((t for i, t in enumerate(steps) if row[f"g{i}"] >= PRECISION * row[f"n{i}"]), steps[-1]))
+        sums = [F.count_if(F.col("probability") >= t).alias(f"n{i}") for i, t in enumerate(steps)] + [F.count_if((F.col("probability") >= t) & F.col("good")).alias(f"g{i}") for i, t in enumerate(steps)]
+        row = used.agg(*sums).first()
+        threshold = next((t for i, t in enumerate(steps) if row[f"g{i}"] >= PRECISION * row[f"n{i}"]), steps[-1])
+        return cls(_pipeline().fit(rows), threshold)
 
     def scored(self, paragraphs: DataFrame) -> DataFrame:
         """paragraphs: text and other columns.  Adds family, probability and whether it is confirmed."""
@@ -173,7 +194,9 @@ class LicenceModel:
         families = F.array(*[F.lit(f) for f in FAMILIES])
         best = F.array_max("_p")
         at = (F.array_position("_p", best) - 1).cast("int")
-        share = F.transform(F.get(_template_pairs(), at), lambda t: F.size(F.array_intersect("pairs", t)) / F.size(t))
+        held = lambda t: F.size(F.array_intersect("pairs", t)) / F.size(t)
+        # a template counts with its own 2-grams only if it has most of them
+        share = F.transform(F.get(_template_pairs(self.fold), at), lambda t: F.when((F.size(t["own"]) == 0) | (held(t["own"]) >= CONFIRMED), held(t["all"])).otherwise(F.lit(0.0)))
         rows = rows.withColumn("family", F.get(families, at)).withColumn("share", F.coalesce(F.array_max(share), F.lit(0.0)))
         return rows.select(*paragraphs.columns, "family", best.alias("probability"), "share", (F.col("share") >= CONFIRMED).alias("confirmed"))
 
@@ -183,9 +206,17 @@ def _pairs(template: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _template_pairs() -> Column:
-    """The 2-grams of each template of each family, in the order of FAMILIES."""
-    return F.array(*[F.array(*[F.array(*map(F.lit, _pairs(t))) for t in TEMPLATES.get(f, [])]).cast("array<array<string>>") for f in FAMILIES])
+def _template_pairs(fold: int | None = None) -> Column:
+    """The 2-grams of each template of each family, in the order of FAMILIES, and those of them that no
+    other family has; without the templates of a fold."""
+    kept = {f: [t for i, t in enumerate(texts) if i % FOLDS != fold] for f, texts in TEMPLATES.items()}
+
+    def one(family: str, template: str) -> Column:
+        others = {x for f, texts in TEMPLATES.items() if f != family for t in texts for x in _pairs(t)}
+        words = lambda pairs: F.array(*map(F.lit, pairs)).cast("array<string>")
+        return F.struct(words(_pairs(template)).alias("all"), words([x for x in _pairs(template) if x not in others]).alias("own"))
+
+    return F.array(*[F.array(*[one(f, t) for t in kept.get(f, [])]).cast("array<struct<all:array<string>,own:array<string>>>") for f in FAMILIES])
 
 
 def _needed() -> str:
