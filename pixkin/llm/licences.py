@@ -32,6 +32,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Short notices by family.
 TEMPLATES = {
     "agpl": [
@@ -179,7 +181,8 @@ class LicenceModel:
     @classmethod
     def fit(cls, rows: DataFrame) -> LicenceModel:
         """rows: (text, label, fold); held out in turn to find the threshold."""
-        rows = rows.coalesce(1)
+        # a few thousand rows, read by each model; what they are taken from is read once
+        rows = written(rows.coalesce(1), "licence-training").coalesce(1)
         used = cls.held_out(rows).filter((F.col("family") != UNKNOWN) & F.col("confirmed"))
         # the least of a few steps at which the predictions kept are precise enough
         steps = [i / 20 for i in range(6, 20)]
