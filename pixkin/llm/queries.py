@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licences, mixing, packing, quality, secrets, sharding, substrings, vectors, warc
+from . import jaccard, licences, mixing, packing, prefixes, quality, secrets, sharding, substrings, vectors, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_archive": warc.op8_warc_archive,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_prefix_trie": prefixes.op11_prefix_trie,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_warc_archive": warc.OP8_SQL,
     "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_substring_dedup": substrings.OP10_SQL,
+    "op11_prefix_trie": prefixes.OP11_SQL,
 }
