@@ -3,12 +3,12 @@
 A window is `width` consecutive words.  Every partition counts its windows in the cells of a sketch with
 DEPTH rows; the sketches are merged by ranges of cells into one bitmap a row that tells which cells were
 counted twice or more.  They overestimate: a window in two documents is always among them.  A second pass
-groups exactly the windows that all rows estimate repeated, by 128 bits of hash, and a word is removed if
+groups exactly the windows that all rows estimate repeated, by 96 bits of hash, and a word is removed if
 such a window covers it and starts in a document with a smaller doc_id.
 
 The sketch has four cells a window, at most 2 ** MOST_CELLS in a row, so its bitmaps take at most
 DEPTH * 2 ** MOST_CELLS bits, 128 MB.  From about a thousand million windows (6 GB of text) on, the
-prefilter lets more and more through, in the end all windows: the exact pass then shuffles 36 bytes a
+prefilter lets more and more through, in the end all windows: the exact pass then shuffles 28 bytes a
 window, in proportion to the input, and the result stays the same.
 
 Defined results: a null or empty text has no words; very long texts are treated as others; a null doc_id
@@ -66,11 +66,11 @@ def repeated_cells(docs: DataFrame, width: int, log2: int, depth: int = DEPTH) -
 
 
 def _second_hash(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Another hash of the runs of words that start at `at`."""
+    """Another hash, of 32 bits, of the runs of words that start at `at`."""
     out = np.zeros(len(at), np.uint64)
     for i in range(width):
         out = out * np.uint64(0xD1342543DE82EF95) + words[at + i]
-    return mix(out, 64 + width)
+    return (mix(out, 64 + width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int, log2: int, depth: int = DEPTH) -> DataFrame:
@@ -94,13 +94,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int, log2: int, d
                     at = at[keep]
                     first = np.searchsorted(rows, rows[at])  # of the row
                     take = pa.array(rows[at] + a)
-                    columns = [pa.array(windows[keep].view(np.int64)), pa.array(_second_hash(words, at, width).view(np.int64))]
+                    columns = [pa.array(windows[keep].view(np.int64)), pa.array(_second_hash(words, at, width))]
                     columns += [batch.column("doc_id").take(take), batch.column("text_crc32").take(take), pa.array((at - first).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc_id", "text_crc32", "at"])
         vars(shared).pop("_value", None)  # a worker would hold the bitmaps until its next task of another stage
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.filter("doc_id IS NOT NULL").mapInArrow(emit, f"one long, two long, doc_id {kind}, text_crc32 long, at int")
+    found = docs.filter("doc_id IS NOT NULL").mapInArrow(emit, f"one long, two int, doc_id {kind}, text_crc32 int, at int")
     found, window = scratch.table(found, "windows"), ["one", "two"]
     shared.unpersist()
     firsts = found.groupBy(*window).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
@@ -145,7 +145,7 @@ def deduped(docs: DataFrame, width: int = WIDTH, texts: bool = True, most_cells:
     stands for the others, which lose everything that lies in a window.  Only texts that lose
     something are shuffled."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    docs = docs.select("doc_id", "text", (F.crc32(F.encode("text", "UTF-8")) - (1 << 31)).cast("int").alias("text_crc32"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
     log2 = log2_cells(size / BYTES_A_WINDOW, WINDOWS_A_CELL, LEAST_CELLS, most_cells)
     keys = docs.filter("doc_id IS NOT NULL").select("doc_id", "text_crc32", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.length("text").alias("l"))
