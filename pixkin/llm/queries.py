@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licences, mixing, packing, phrases, prefixes, quality, secrets, sharding, substrings, vectors, warc
+from . import jaccard, licences, lm, mixing, packing, phrases, prefixes, quality, secrets, sharding, substrings, vectors, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_prefix_trie": prefixes.op11_prefix_trie,
+    "op12_lm_scores": lm.op12_lm_scores,
     "op13_collocations": phrases.op13_collocations,
 }
 
