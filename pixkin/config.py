@@ -11,8 +11,8 @@ LOWEST_VERDICT = "DISTINCT"
 
 @dataclass(frozen=True)
 class Profile:
-    """What a scorer does beside the five scores: the grid veto, the OCR penalty, the short circuits
-    on the hash score, and whether the DCT score is clamped from above."""
+    """What a scorer does beside the five scores: the grid veto, the OCR penalty and the short circuits on the
+    hash score."""
 
     name: str
     veto: bool
@@ -65,5 +65,5 @@ class ScoringConfig:
         return max(self.threshold - self.coarse_margin, self.coarse_floor)
 
 
-#: For vectors that stand for images: a 4 x 4 grid of 4 bits and 16 patches of 4 components.
-VECTOR = ScoringConfig(threshold=0.50, coarse_floor=0.30, coarse_margin=0.20, grid_side=4, grid_hash_size=2, patch_side=4)
+#: For vectors of 64 components that stand for images: a 4 x 4 grid of 4 bits and 16 patches of 4 components.
+VECTOR = ScoringConfig(threshold=0.50, coarse_floor=0.30, coarse_margin=0.20, hash_size=8, grid_side=4, grid_hash_size=2, patch_side=4)

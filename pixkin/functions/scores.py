@@ -1,6 +1,6 @@
 """Stage scores, composite and verdict as column expressions.
 
-Bit arrays are arrays of 0 and 1, vectors arrays of doubles; shapes come from the configuration.
+Bits are signatures (longs), vectors arrays of doubles; shapes come from the configuration.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pixkin.config import LOWEST_VERDICT, VERDICTS, Profile, ScoringConfig
+from pixkin.functions.signatures import differing, differing_in_runs
 
 
 def total(values: Column) -> Column:
@@ -29,22 +30,20 @@ def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + epsilon)
 
 
-def bit_similarity(a: Column, b: Column) -> Column:
+def bit_similarity(a: Column, b: Column, bits: int) -> Column:
     """1 - share of differing bits."""
-    differing = F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return F.greatest(F.lit(0.0), 1 - differing / F.size(a))
+    return 1 - differing(a, b, bits) / bits
 
 
 def hash_ensemble(a: Callable[[str], Column], b: Callable[[str], Column], config: ScoringConfig) -> Column:
-    parts = [F.lit(w) * bit_similarity(a(h), b(h)) for h, w in config.hash_weights.items()]
+    parts = [F.lit(w) * bit_similarity(a(h), b(h), config.hash_size**2) for h, w in config.hash_weights.items()]
     return parts[0] + parts[1] + parts[2] + parts[3]
 
 
 def grid_cells(a: Column, b: Column, config: ScoringConfig) -> Column:
-    """The similarity of each cell, row by row, from both images' cell bits one after the other."""
+    """The similarity of each cell, row by row, from the cells' bits one after the other."""
     bits = config.grid_hash_size**2
-    cell = lambda i: bit_similarity(F.slice(a, i * bits + 1, F.lit(bits)), F.slice(b, i * bits + 1, F.lit(bits)))
-    return F.transform(F.sequence(F.lit(0), F.lit(config.grid_side**2 - 1)), cell)
+    return F.array(*[1 - d / bits for d in differing_in_runs(a, b, config.grid_side**2, bits)])
 
 
 def mean(values: Column) -> Column:

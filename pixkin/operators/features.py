@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from pixkin.config import ScoringConfig
 from pixkin.functions import imaging as I
+from pixkin.functions.signatures import pack
 
 Embedder = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 SCHEMA = (
-    "id string, emb_key string, cls array<double>, patches array<double>, phash array<int>, dhash array<int>, ahash array<int>, whash array<int>, "
-    "hash_size int, dct_bands array<double>, grid array<int>, grid_rows int, grid_cols int, grid_hash_size int, n_keypoints int, width int, height int, error string"
+    "id string, emb_key string, cls array<double>, patches array<double>, phash array<long>, dhash array<long>, ahash array<long>, whash array<long>, "
+    "hash_size int, dct_bands array<double>, grid array<long>, grid_rows int, grid_cols int, grid_hash_size int, n_keypoints int, width int, height int, error string"
 )
 
 
@@ -43,9 +44,9 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
                 try:
                     rgb = I.resized(pixels(row), *config.canonical)
                     grey, n = I.luma(rgb), config.hash_size
-                    done |= {h: getattr(I, h)(grey, n).astype(int) for h in ("phash", "dhash", "ahash", "whash")}
+                    done |= {h: pack(getattr(I, h)(grey, n)) for h in ("phash", "dhash", "ahash", "whash")}
                     done |= {"emb_key": hashlib.sha256(rgb.round().astype(np.uint8).tobytes()).hexdigest(), "hash_size": n}
-                    done |= {"dct_bands": I.band_energies(grey, config.dct_side), "grid": I.cell_hashes(grey, config.grid_side, config.grid_hash_size).astype(int)}
+                    done |= {"dct_bands": I.band_energies(grey, config.dct_side), "grid": pack(I.cell_hashes(grey, config.grid_side, config.grid_hash_size))}
                     done |= {"grid_rows": config.grid_side, "grid_cols": config.grid_side, "grid_hash_size": config.grid_hash_size, "n_keypoints": len(I.corners(grey))}
                     if embed is not None:
                         cls, patches = embed(rgb)

@@ -1,80 +1,103 @@
-"""Exact inner-product neighbours.
+"""Exact inner-product neighbours by cells: a query meets those blocks only whose ball can reach its k-th score.
 
-Vectors are dealt into blocks of bounded size by a hash; every pair of blocks is one task's matrix
-product, which returns the best k of each row only, and a window keeps the best k of those.
+Every query first meets the cells nearest to it, until they hold k rows.  The k-th score of these is the least
+that the rest has to reach, and it goes only to the cells whose bound does.  On vectors without clusters the
+bounds exclude little and the work is that of all pairs of blocks; copies of queries are then one a block.
+
+Vectors that are null, empty, hold null or non-finite components, or have another length than most vectors of the
+corpus, are missing: they find nothing and are not found.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from pixkin.operators.cells import BLOCK, Cells, matrix
 
+_FOUND = ["id_a", "id_b", "coarse"]
 
-def _blocks(rows: int, block: int = BLOCK) -> int:
-    return max(1, -(-rows // block))
 
+def _schema(corpus: DataFrame, columns: str) -> str:
+    kind = corpus.schema["id"].dataType.simpleString()
+    return columns.replace("ID", kind)
 
-def _dealt(df: DataFrame, n: int, side: str, others: int | None = None) -> DataFrame:
-    """Rows in n blocks of their own, each with every one of the other side's blocks (None: as many)."""
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit((others or n) - 1)))
-    at = df.select("id", "cls", own.alias("own")).select("id", "cls", "own", other.alias("other"))
-    pair = (F.col("own"), F.col("other")) if side == "a" else (F.col("other"), F.col("own"))
-    return at.select(pair[0].alias("i"), pair[1].alias("j"), F.lit(side == "a").alias("query"), "id", "cls")
 
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products row by row, the same whatever block the rows come from."""
+    return (x * y).sum(1)
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, drop_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """queries, corpus: (id, cls).  Per query its k nearest rows: id_a, id_b, coarse, rank.  Ties go
-    to the smaller id."""
-    # few queries are one block, which meets every block of the corpus once
-    m, n = _blocks(queries.count(), block), _blocks(corpus.count(), block)
-    kind = corpus.schema["id"].dataType.simpleString()
-    both = _dealt(queries, m, "a", n).unionByName(_dealt(corpus, n, "b", m))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("id")
-        if q.empty or c.empty:
-            return pd.DataFrame({"id_a": q["id"][:0], "id_b": c["id"][:0], "coarse": np.zeros(0)})
-        a, b, ids = np.stack(q["cls"].to_numpy()), np.stack(c["cls"].to_numpy()), c["id"].to_numpy()
-        out = []
-        for at in range(0, len(a), 512):
-            score = a[at : at + 512] @ b.T
-            mine = q["id"].to_numpy()[at : at + 512]
-            if drop_self:
-                score[mine[:, None] == ids[None, :]] = -np.inf
-            take = min(k, score.shape[1])
-            # all that reach the k-th score, so that ties are decided by id
-            cut = np.partition(score, score.shape[1] - take, axis=1)[:, score.shape[1] - take]
-            i, j = np.nonzero((score >= np.maximum(cut, -1e300)[:, None]))
-            part = pd.DataFrame({"id_a": mine[i], "id_b": ids[j], "coarse": score[i, j]})
-            out.append(part.sort_values(["id_a", "coarse", "id_b"], ascending=[True, False, True]).groupby("id_a").head(k))
-        return pd.concat(out)
-
-    found = both.groupBy("i", "j").applyInPandas(best, f"id_a {kind}, id_b {kind}, coarse double")
-    first = Window.partitionBy("id_a").orderBy(F.desc("coarse"), "id_b")
-    return found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
-
-
-def knn_self(features: DataFrame, k: int) -> DataFrame:
-    """Every row's k nearest others; the window keeps WindowGroupLimit rows a task."""
-    rows = features.select("id", "cls")
-    return knn(rows, rows, k)
 
+def _best(k: int, drop_self: bool):
+    def work(asked: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        mine = asked.column("id").to_numpy(zero_copy_only=False)
+        score = x @ y.T
+        if drop_self:
+            score[mine[:, None] == ids[None, :]] = -np.inf
+        take = min(k, len(ids))
+        # all that come near the k-th score, so that ties are decided by id
+        cut = np.partition(score, len(ids) - take, axis=1)[:, len(ids) - take]
+        i, j = np.nonzero((score >= cut[:, None] - 1e-9) & np.isfinite(score))
+        coarse = _exact(x[i], y[j])
+        order = np.lexsort((ids[j], -coarse, i))
+        i, j, coarse = i[order], j[order], coarse[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j, coarse = i[place < take], j[place < take], coarse[place < take]
+        return pa.RecordBatch.from_arrays([asked.column("id").take(pa.array(i)), pa.array(ids[j], asked.column("id").type), pa.array(coarse)], names=_FOUND)
 
-def restricted(query: DataFrame, corpus: DataFrame, allowed: DataFrame, k: int, mode: str = "postfilter") -> DataFrame:
-    """query: (id, cls), few rows.  postfilter ranks the corpus first, keeps max(|allowed|, 4k) and
-    then the allowed ones, so it may return fewer than k; prefilter searches the allowed ones only."""
-    if mode == "prefilter":
-        return knn(query, corpus.join(allowed, "id", "left_semi"), k, drop_self=False)
-    wide = max(allowed.count(), 4 * k)
-    hits = knn(query, corpus, min(wide, corpus.count()), drop_self=False).drop("rank")
-    hits = hits.join(allowed.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
-    first = Window.partitionBy("id_a").orderBy(F.desc("coarse"), "id_b")
-    return hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k).select("id_a", "id_b", "coarse", "rank")
+    return work
+
+
+def _first(hits: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("id_a").orderBy(F.desc("coarse"), "id_b")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, drop_self: bool = True, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """queries, corpus: (id, cls).  Per query its k nearest rows: id_a, id_b, coarse, rank.
+
+    report: gets the number of blocks, of queries, and of queries' meetings with a block, for which
+    it runs further jobs; without pruning the last is the product of the others."""
+    queries, corpus = queries.select("id", "cls"), corpus.select("id", "cls")
+    cells = Cells.fit(corpus, block)
+    kind = corpus.schema["id"].dataType.simpleString()
+    if cells is None:
+        return corpus.sparkSession.createDataFrame([], f"id_a {kind}, id_b {kind}, coarse double, rank int")
+    enough = k + int(drop_self)
+
+    def nearest(own: Cells, x: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
+        score = np.where(own.many > 0, x @ own.pivots.T, -np.inf)
+        order = np.argsort(-score, axis=1, kind="stable")
+        held = np.cumsum(own.many[order], axis=1) - own.many[order]  # before each cell
+        out = np.zeros(score.shape, bool)
+        np.put_along_axis(out, order, held < enough, axis=1)
+        return out & (own.many > 0)
+
+    schema = _schema(corpus, "id_a ID, id_b ID, coarse double")
+    routed = cells.routed(queries, nearest)
+    hits = cells.met(routed, corpus, _best(k, drop_self), schema)
+    more = None
+    if len(cells.pivots) > 1:
+        least = _first(hits, k).groupBy("id_a").agg(F.min("coarse").alias("least"), F.count("*").alias("n"))
+        least = least.select(F.col("id_a").alias("id"), F.when(F.col("n") == k, F.col("least")).otherwise(float("-inf")).alias("least"))
+
+        def reachable(own: Cells, x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+            least = batch.column("least").to_numpy(zero_copy_only=False)[:, None]
+            return (own.bounds(x)[1] >= least) & (own.many > 0) & ~nearest(own, x, batch)
+
+        asked = queries.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        more = cells.routed(asked, reachable, "least double")
+        hits = hits.unionByName(cells.met(more.drop("least"), corpus, _best(k, drop_self), schema))
+    if report is not None:
+        report |= {"blocks": int(cells.blocks[cells.many > 0].sum()), "queries": queries.count(), "met": routed.count() + (more.count() if more else 0)}
+    return _first(hits, k)
+
+
+def knn_self(features: DataFrame, k: int, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """Every row's k nearest others; the window keeps WindowGroupLimit rows a task."""
+    return knn(features, features, k, block=block, report=report)
 
 
 #: Scores this close are equal: block products of other shapes may differ in the last bits.
@@ -82,31 +105,53 @@ TIE = 1e-12
 
 
 def _ahead(hits: DataFrame, queries: DataFrame, corpus: DataFrame, block: int) -> DataFrame:
-    """Per hit (id_a, id_b, coarse) the number of corpus rows that come before it."""
-    m, n = _blocks(queries.count(), block), _blocks(corpus.count(), block)
+    """Per hit (id_a, id_b, coarse) the number of corpus rows that come before it.  Cells that lie before all
+    hits of a query as a whole are counted as such, and only those that a hit's score falls into are met."""
+    cells = Cells.fit(corpus.select("id", "cls"), block)
     kind = corpus.schema["id"].dataType.simpleString()
     mine = hits.groupBy("id_a").agg(F.collect_list(F.struct("id_b", "coarse")).alias("near"))
     mine = mine.select(F.col("id_a").alias("id"), F.col("near.id_b").alias("near"), F.col("near.coarse").alias("coarse"))
-
-    def count(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"id_a": q["q_id"][:0], "id_b": q["q_id"][:0], "ahead": np.zeros(0, np.int64)})]
-        if len(q) and len(c):
-            b, ids = np.stack(c["c_cls"].to_numpy()), c["c_id"].to_numpy()
-            for row in q.itertuples():
-                score, near, coarse = b @ np.asarray(row.q_cls), np.asarray(row.q_near)[:, None], np.asarray(row.q_coarse)[:, None]
-                before = (score > coarse + TIE) | ((np.abs(score - coarse) <= TIE) & (ids < near))
-                out.append(pd.DataFrame({"id_a": row.q_id, "id_b": near[:, 0], "ahead": (before & (ids != near)).sum(1)}))
-        return pd.concat(out)
-
-    asked = _dealt(queries, m, "a", n).join(mine, "id").select(*[F.col(x).alias(f"q_{x}") for x in ("i", "j", "id", "cls", "near", "coarse")])
-    found = asked.groupBy("q_i", "q_j").cogroup(_dealt(corpus, n, "b", m).select(*[F.col(x).alias(f"c_{x}") for x in ("i", "j", "id", "cls")]).groupBy("c_i", "c_j")).applyInPandas(count, f"id_a {kind}, id_b {kind}, ahead long")
-    return found.groupBy("id_a", "id_b").agg(F.sum("ahead").alias("ahead"))
+    if cells is None:
+        return corpus.sparkSession.createDataFrame([], f"id_a {kind}, id_b {kind}, ahead long")
+
+    def ends(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column("coarse").to_pylist()
+        return np.array([[min(x)] for x in lists]), np.array([[max(x)] for x in lists])
+
+    def touched(own: Cells, x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        (low, high), (least, most) = own.bounds(x), ends(batch)
+        return (high >= least - TIE) & ~(low > most + TIE) & (own.many > 0)
+
+    def whole(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            before = (cells.bounds(matrix(b.column("cls")))[0] > ends(b)[1] + TIE) & (cells.many > 0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("near"), pa.array((before * cells.many).sum(1).astype(np.int64))], names=["id_a", "near", "ahead"])
+
+    def count(asked: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        out = [[], [], []]
+        for q, row in zip(x, asked.to_pylist(), strict=True):
+            score = np.asarray(_exact(q[None], y))
+            near, coarse = np.asarray(row["near"])[:, None], np.asarray(row["coarse"])[:, None]
+            before = (score > coarse + TIE) | ((np.abs(score - coarse) <= TIE) & (ids < near))
+            for values, own in zip(out, ([row["id"]] * len(near), near[:, 0].tolist(), (before & (ids != near)).sum(1).tolist()), strict=True):
+                values += own
+        kinds = (asked.column("id").type, asked.column("id").type, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["id_a", "id_b", "ahead"])
+
+    asked = queries.select("id", F.col("cls").cast("array<double>").alias("cls")).join(mine, "id")
+    met = cells.met(cells.routed(asked, touched, f"near array<{kind}>, coarse array<double>"), corpus, count, _schema(corpus, "id_a ID, id_b ID, ahead long"))
+    base = asked.mapInArrow(whole, f"id_a {kind}, near array<{kind}>, ahead long").select("id_a", F.explode("near").alias("id_b"), "ahead")
+    return met.unionByName(base).groupBy("id_a", "id_b").agg(F.sum("ahead").alias("ahead"))
 
 
 def restricted_each(queries: DataFrame, corpus: DataFrame, allowed: DataFrame, k: int, mode: str = "postfilter", block: int = BLOCK) -> DataFrame:
-    """`restricted` for any number of queries, each of which may find all allowed rows but itself.
-    What postfilter keeps are the first of prefilter's hits, as far as their places in the whole
-    corpus are within max(|allowed|, 4k); the places are counted."""
+    """queries, corpus: (id, cls); allowed: (id).  Each query may find all allowed rows but itself.  prefilter
+    searches the allowed ones only.  postfilter ranks the corpus first, keeps max(|allowed|, 4k) and then
+    the allowed ones, so it may return fewer: these are the first of prefilter's hits, as far as their places
+    in the whole corpus, which are counted, are low enough."""
+    corpus = corpus.select("id", "cls")
     hits = knn(queries, corpus.join(allowed, "id", "left_semi"), k, block=block)
     if mode == "prefilter":
         return hits
@@ -122,25 +167,29 @@ def candidate_pairs(neighbours: DataFrame, coarse: float) -> DataFrame:
     return pair.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "coarse").groupBy("id_a", "id_b").agg(F.max("coarse").alias("coarse"))
 
 
-def pairs_above(features: DataFrame, coarse: float, block: int = BLOCK) -> DataFrame:
-    """All pairs id_a < id_b at least `coarse` alike, block by block."""
+def pairs_above(features: DataFrame, coarse: float, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """All pairs id_a < id_b at least `coarse` alike: a row meets its own cell and the later ones that its
+    bound allows.  report: as of `knn`."""
     rows = features.select("id", "cls")
-    n = _blocks(rows.count(), block)
-    kind = rows.schema["id"].dataType.simpleString()
-    both = _dealt(rows, n, "a").unionByName(_dealt(rows, n, "b")).filter("i <= j OR NOT query")
-
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["query"]], pdf[~pdf["query"]]
-        if q.empty or c.empty:
-            return pd.DataFrame({"id_a": q["id"][:0], "id_b": c["id"][:0], "coarse": np.zeros(0)})
-        a, b = np.stack(q["cls"].to_numpy()), np.stack(c["cls"].to_numpy())
-        ia, ib, out = q["id"].to_numpy(), c["id"].to_numpy(), []
-        for at in range(0, len(a), 512):
-            score = a[at : at + 512] @ b.T
-            i, j = np.nonzero(score >= coarse)
-            x, y = ia[at + i], ib[j]
-            keep = x < y if pdf["i"].iloc[0] == pdf["j"].iloc[0] else x != y
-            out.append(pd.DataFrame({"id_a": np.minimum(x, y)[keep], "id_b": np.maximum(x, y)[keep], "coarse": score[i, j][keep]}))
-        return pd.concat(out)
-
-    return both.groupBy("i", "j").applyInPandas(close, f"id_a {kind}, id_b {kind}, coarse double")
+    cells = Cells.fit(rows, block)
+    schema = _schema(rows, "id_a ID, id_b ID, coarse double")
+    if cells is None:
+        return rows.sparkSession.createDataFrame([], schema)
+
+    def reachable(own: Cells, x: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
+        mine = np.argmax(x @ own.pivots.T - 0.5 * (own.pivots**2).sum(1), axis=1)[:, None]
+        return (own.bounds(x)[1] >= coarse) & (own.many > 0) & (np.arange(len(own.many)) >= mine)
+
+    def close(asked: pa.RecordBatch, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(x @ y.T >= coarse - 1e-9)
+        a, b, score = asked.column("id").to_numpy(zero_copy_only=False)[i], ids[j], _exact(x[i], y[j])
+        other = (asked.column("cell").to_numpy() != asked.column("own").to_numpy())[i]
+        keep = (score >= coarse) & np.where(other, a != b, a < b)
+        a, b, score = a[keep], b[keep], score[keep]
+        kind = asked.column("id").type
+        return pa.RecordBatch.from_arrays([pa.array(np.where(a < b, a, b), kind), pa.array(np.where(a < b, b, a), kind), pa.array(score)], names=_FOUND)
+
+    routed = cells.routed(rows, reachable)
+    if report is not None:
+        report |= {"blocks": int(cells.blocks[cells.many > 0].sum()), "queries": rows.count(), "met": routed.count()}
+    return cells.met(routed, rows, close, schema)

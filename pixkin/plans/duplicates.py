@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixkin.config import VECTOR, ScoringConfig
 from pixkin.functions.ids import label
-from pixkin.operators.knn import candidate_pairs, knn_self, restricted
+from pixkin.operators.knn import candidate_pairs, knn_self, restricted_each
 from pixkin.operators.pairs import score_pairs
 
 
@@ -33,10 +31,10 @@ def with_metadata(matches: DataFrame, songs: DataFrame) -> DataFrame:
     return out
 
 
-def query_level(query: DataFrame, features: DataFrame, allowed: DataFrame, config: ScoringConfig = VECTOR, k: int | None = None, mode: str = "postfilter", threshold: float | None = None, search: Callable = restricted) -> DataFrame:
-    """The allowed neighbours of a query, scored with the query as first image.  query's row has to
-    be among the features.  search: restricted_each for many queries."""
-    hits = search(query.select("id", "cls"), features.select("id", "cls"), allowed, k or config.neighbours, mode)
+def query_level(query: DataFrame, features: DataFrame, allowed: DataFrame, config: ScoringConfig = VECTOR, k: int | None = None, mode: str = "postfilter", threshold: float | None = None) -> DataFrame:
+    """The allowed neighbours of each query, scored with the query as first image.  The queries' rows have
+    to be among the features."""
+    hits = restricted_each(query.select("id", "cls"), features.select("id", "cls"), allowed, k or config.neighbours, mode)
     return score_pairs(hits, features, config, "query", config.threshold if threshold is None else threshold)
 
 
@@ -46,8 +44,8 @@ def best_match(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def check_duplicate(query: DataFrame, features: DataFrame, allowed: DataFrame, config: ScoringConfig = VECTOR, search: Callable = restricted) -> DataFrame:
+def check_duplicate(query: DataFrame, features: DataFrame, allowed: DataFrame, config: ScoringConfig = VECTOR) -> DataFrame:
     """Per query no row or one: the best match with rounded scores."""
-    best = best_match(query_level(query, features, allowed, config, search=search))
+    best = best_match(query_level(query, features, allowed, config))
     scores = ["composite", "hash_ensemble", "dct_spectrum", "sector_grid", "global_semantic", "patch_spatial", "grid_min_cell", "grid_variance"]
     return best.select("id_a", "id_b", "verdict", *[F.round(c, 4).alias(c) for c in scores])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pixkin.config import PROFILES, ScoringConfig
 from pixkin.functions import scores as S
+from pixkin.functions.signatures import unpacked
 from pixkin.operators.features import Embedder, align_pairs, extract_features
 from pixkin.operators.knn import pairs_above
 from pixkin.operators.pairs import NARROW, patch_score, with_features
@@ -22,7 +23,7 @@ SCORES = ("hash_ensemble", "dct_spectrum", "sector_grid", "global_semantic", "pa
 
 def hash_vector(config: ScoringConfig) -> Column:
     """The four hashes as one vector of which the inner product is 2 * hash_ensemble - 1."""
-    part = lambda h, w: F.transform(h, lambda b: (2 * b - 1) * F.sqrt(F.lit(w) / F.size(h)))
+    part = lambda h, w: F.transform(F.slice(unpacked(F.col(h)), 1, config.hash_size**2), lambda b: (2 * b - 1) * F.lit((w / config.hash_size**2) ** 0.5))
     return F.concat(*[part(h, w) for h, w in config.hash_weights.items()])
 
 

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pixkin.config import VECTOR, ScoringConfig
 from pixkin.functions import ids, imaging
 from pixkin.functions import scores as S
+from pixkin.functions.signatures import unpacked
 from pixkin.operators import features as image_features
-from pixkin.operators import knn, pairs
+from pixkin.operators import knn, matching, pairs, radius
 from pixkin.operators.vector_proxy import vector_features
 from pixkin.plans import duplicates, ingest, live
-from pixkin.service import ERRORS
 from pixkin.sources.feature_table import FeatureTable, ImageCache
 from pixkin.sources.store import IndexStore
 from pixkin.streaming.feed import follow, latest_changes
@@ -57,7 +57,9 @@ def places(df: DataFrame, *columns: str, n: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c in columns})
 
 
-V = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings)"
+#: Vectors that can be searched: as long as most, without null or non-finite components.
+V = """v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: isfinite(y))) = 64)"""
 KNN = f"""{V}, n AS (SELECT a.id AS id_a, b.id AS id_b, list_inner_product(a.x, b.x) AS coarse,
   row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.x, b.x) DESC, b.id) AS rank
   FROM v a JOIN v b ON a.id <> b.id QUALIFY rank <= 20)"""
@@ -131,28 +133,6 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(knn.knn_self(vectors(spark, sf_dir), 20), "coarse")
 
 
-_ALLOWED = "label IN (0, 1, 2) AND vec_id <> 0"
-
-
-def _restricted(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    allowed = rows.filter("label IN (0, 1, 2) AND id <> 0").select("id")
-    return places(knn.restricted(rows.filter("id = 0"), rows, allowed, 20, mode), "coarse").select("id_b", "coarse", "rank")
-
-
-@query(f"""WITH {V}, q AS (SELECT x FROM v WHERE id = 0), r AS (SELECT id, label, list_inner_product(v.x, q.x) AS c FROM v, q),
-w AS (SELECT * FROM r ORDER BY c DESC, id LIMIT (SELECT greatest(count(*), 80) FROM embeddings WHERE {_ALLOWED}))
-SELECT id AS id_b, round(c, 9) AS coarse, row_number() OVER (ORDER BY c DESC, id) AS rank FROM w WHERE label IN (0, 1, 2) AND id <> 0 ORDER BY c DESC, id LIMIT 20""")
-def knn_restricted_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _restricted(spark, sf_dir, "postfilter")
-
-
-@query(f"""WITH {V}, q AS (SELECT x FROM v WHERE id = 0), r AS (SELECT id, label, list_inner_product(v.x, q.x) AS c FROM v, q)
-SELECT id AS id_b, round(c, 9) AS coarse, row_number() OVER (ORDER BY c DESC, id) AS rank FROM r WHERE label IN (0, 1, 2) AND id <> 0 ORDER BY c DESC, id LIMIT 20""")
-def knn_restricted_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _restricted(spark, sf_dir, "prefilter")
-
-
 def _restricted_each(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return places(knn.restricted_each(rows.filter("id % 20 = 0"), rows, rows.filter("label IN (0, 1, 2)").select("id"), 20, mode), "coarse")
@@ -301,17 +281,6 @@ def ocr_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(df, "composite")
 
 
-@query()
-def levenshtein_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with the next, ASCII or not; a null text counts as empty."""
-    return levenshtein_ratio(spark, sf_dir)
-
-
-@query()
-def ocr_penalty_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr_penalty(spark, sf_dir)
-
-
 @query(f"""{SCORED}, k AS (SELECT id_a, id_b, hash_ensemble FROM s UNION ALL SELECT id, id, 1.0 FROM f)
 SELECT id_a, id_b, CASE WHEN hash_ensemble >= 0.99 THEN 'high' WHEN hash_ensemble <= 0.05 THEN 'low' ELSE 'full' END AS branch FROM k""")
 def short_circuit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,11 +314,33 @@ SELECT id_a, id_b, d1::BIGINT AS d1, d2::BIGINT AS d2, d1 < 0.75 * d2 AS good FR
 def ratio_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each descriptor's two nearest others by differing bits.  As vectors of 1 and -1, fewer
     differing bits are a larger inner product, so this is a nearest-neighbour search for two."""
-    rows = features(spark, sf_dir).select("id", F.transform("phash", lambda b: (2 * b - 1).cast("double")).alias("cls"))
+    rows = features(spark, sf_dir).select("id", F.transform(unpacked(F.col("phash")), lambda b: (2 * b - 1).cast("double")).alias("cls"))
     near = knn.knn_self(rows, 2).withColumn("d", ((64 - F.col("coarse")) / 2).cast("long"))
     return near.groupBy("id_a").agg(F.min_by("id_b", "rank").alias("id_b"), F.min_by("d", "rank").alias("d1"), F.max_by("d", "rank").alias("d2")).withColumn("good", F.col("d1") < VECTOR.ratio * F.col("d2"))
 
 
+@query(f"""WITH {V}, {FEATURES}, c AS (SELECT phash, min(id) AS id FROM f GROUP BY phash),
+d AS (SELECT a.id AS id_a, b.id AS id_b, list_sum(list_transform(range(64), lambda i: (a.phash[i + 1] <> b.phash[i + 1])::INT))::BIGINT AS apart FROM c a JOIN c b ON a.id < b.id)
+SELECT * FROM d WHERE apart <= 5""")
+def hash_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct hashes that differ in at most five bits, each by the first row that has it."""
+    classes = radius.signature_classes(features(spark, sf_dir).select("id", F.col("phash").alias("signature")))
+    return radius.within_radius(classes, 64, 5)
+
+
+@query(f"""WITH {V}, {FEATURES}, k AS (SELECT id // 8 AS image, id % 8 AS point, phash FROM f), n AS (SELECT DISTINCT image FROM k),
+d AS (SELECT x.image AS id_a, y.image AS id_b, x.point AS point_a, y.point AS point_b, list_sum(list_transform(range(64), lambda i: (x.phash[i + 1] <> y.phash[i + 1])::INT))::BIGINT AS d
+  FROM k x JOIN k y ON y.image BETWEEN x.image + 1 AND x.image + 3),
+w AS (SELECT *, lead(d) OVER p AS d2, row_number() OVER p AS n FROM d WINDOW p AS (PARTITION BY id_a, id_b, point_b ORDER BY d, point_a))
+SELECT id_a, id_b, point_a, point_b, d AS d1, d2, d < 0.75 * d2 AS good FROM w WHERE n = 1 AND d2 IS NOT NULL""")
+def descriptor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight vectors in turn are an image's descriptors; each image is matched with the next three."""
+    own = features(spark, sf_dir).select(F.expr("id div 8").alias("id"), (F.col("id") % 8).alias("point"), F.col("phash").alias("descriptor"))
+    image = own.select("id").distinct()
+    pair = image.select(F.col("id").alias("id_a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 3)).alias("id_b")).join(image.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
+    return matching.descriptor_matches(pair, own, 64, VECTOR.ratio)
+
+
 @query(f"{SCORED} SELECT row_number() OVER (ORDER BY batch DESC, id_a, id_b) AS place, id_a, id_b, round(batch, 9) AS composite FROM s WHERE batch >= 0.5 ORDER BY place LIMIT 20")
 def report_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 of the report, which is what it shows."""
@@ -396,31 +387,12 @@ def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{code}', {status}, '{message}')" for code, (status, message) in ERRORS.items()) + ") AS e(code, status, message)")
-def error_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(code, status, message) for code, (status, message) in ERRORS.items()], "code string, status int, message string")
-
-
-@query(f"""WITH {V}, q AS (SELECT id, x FROM v WHERE id = 0), r AS (SELECT v.id, label, list_inner_product(v.x, q.x) AS coarse FROM v, q),
-w AS (SELECT * FROM r ORDER BY coarse DESC, id LIMIT (SELECT greatest(count(*), 80) FROM embeddings WHERE {_ALLOWED})),
-c AS (SELECT 0::BIGINT AS id_a, id AS id_b, coarse FROM w WHERE label IN (0, 1, 2) AND id <> 0 ORDER BY coarse DESC, id LIMIT 20), {FEATURES}, {STAGES},
-z AS (SELECT *, {_VETO} AS composite FROM s)
-SELECT id_a, id_b, {VERDICT.format('composite')} AS verdict, round(composite, 4) AS composite, round(hash_ensemble, 4) AS hash_ensemble, round(dct_spectrum, 4) AS dct_spectrum,
-round(sector_grid, 4) AS sector_grid, round(global_semantic, 4) AS global_semantic, round(patch_spatial, 4) AS patch_spatial, round(grid_min_cell, 4) AS grid_min_cell, round(grid_variance, 4) AS grid_variance
-FROM z WHERE composite >= 0.45 ORDER BY z.composite DESC, coarse DESC, id_b LIMIT 1""")
-def check_duplicate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The duplicate check for vector 0 among the levels 0 to 2, as the columns of the response."""
-    own = features(spark, sf_dir)
-    allowed = own.filter("label IN (0, 1, 2) AND id <> 0").select("id")
-    return duplicates.check_duplicate(own.filter("id = 0"), own, allowed, ScoringConfig(**{**VECTOR.__dict__, "threshold": 0.45}))
-
-
 @query()
 def check_duplicate_json_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The duplicate check for every vector whose id is divisible by 20."""
     own = features(spark, sf_dir)
     config = ScoringConfig(**{**VECTOR.__dict__, "threshold": 0.45})
-    return duplicates.check_duplicate(own.filter("id % 20 = 0"), own, own.filter("label IN (0, 1, 2)").select("id"), config, knn.restricted_each)
+    return duplicates.check_duplicate(own.filter("id % 20 = 0"), own, own.filter("label IN (0, 1, 2)").select("id"), config)
 
 
 @query(f"WITH {PAIRS} SELECT id_a AS id FROM c UNION SELECT id_b FROM c")

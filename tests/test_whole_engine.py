@@ -56,7 +56,7 @@ def test_texts_beyond_ascii_are_compared(spark, tmp_path):
     for (i, a), (_, b) in zip(rows, rows[1:], strict=False):
         a, b = (a or "").strip(), (b or "").strip()
         want[i] = 1.0 if not a and not b else 0.0 if not a or not b else 1 - distance(a, b) / max(len(a), len(b))
-    got = {r.item_id: r.ratio for r in queries.QUERIES["levenshtein_ratio_all"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: r.ratio for r in queries.QUERIES["levenshtein_ratio"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-9) and len(got) == len(texts) - 1
-    got = {r.item_id: r.composite for r in queries.QUERIES["ocr_penalty_all"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: r.composite for r in queries.QUERIES["ocr_penalty"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx({i: max(0, 0.9 - 0.15 * (1 - r)) if 1 - r > 0.3 else 0.9 for i, r in want.items()}, abs=1e-9)
