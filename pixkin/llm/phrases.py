@@ -6,9 +6,11 @@ Texts are lower-cased, split into pieces at punctuation and line ends, and piece
    runs of three and four words, of which all pairs reach the least count in the first.  Tasks send the cells they have
    counted, which are merged by ranges of cells to a bit a cell: whether it reaches the least count.
    Sketches only overestimate, so no phrase is lost.
-2. Texts are dealt into shards of a bounded size, of one language each.  The words and phrases of a shard that
-   the sketches let through are its candidates; they are compiled into an automaton with a guard of one space before and after each, so that they match whole words only, also
-   where matches overlap.  The automaton counts them in the shard.
+2. Texts are dealt into shards of a bounded size, of one language each.  The phrases of a shard that the
+   sketches let through are its candidates; they are compiled into an automaton with a guard of one space before and after each, so that they match whole words only, also
+   where matches overlap.  The automaton counts them in the shard, in those stretches of text where all
+   pairs may reach the least count: candidates lie in no others.  Words, which the scores need, are counted
+   beside it.
 3. The counts of all shards are summed, and only then come the least count, the scores and the ranks.
 
 An automaton holds what occurs in its shard, so it doesn't grow with the corpus.  The sketches have twelve
@@ -46,10 +48,11 @@ LEAST_CELLS, MOST_CELLS = 16, 28
 BYTES_A_WORD, RUNS_A_CELL = 6, 4
 #: Bytes of text that are hashed together, and that one automaton is for.
 HASHED_BYTES, SHARD_BYTES = 1 << 18, 4 << 20
+#: Bytes of text that one task counts, if there is as much, and cells that a task gathers at a time.
+COUNT_BYTES, FLUSH = 64 << 20, 1 << 21
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-_AROUND, _SPACES = re.compile(rb"[ \n]*\n[ \n]*"), re.compile(rb" +")
 
 
 def _parts(text: bytes, most: int) -> Iterator[bytes]:
@@ -62,9 +65,8 @@ def _parts(text: bytes, most: int) -> Iterator[bytes]:
 
 
 def _plain(texts: list[bytes]) -> bytes:
-    """Pieces between line ends and words between single spaces, with a space at either end of a piece."""
-    lines = _SPACES.sub(b" ", b"\n".join(texts).translate(_TABLE))
-    return b" " + _AROUND.sub(b" \n ", lines.strip(b" \n")) + b" "
+    """Texts in lower case, with line ends between pieces and spaces between words."""
+    return b"\n".join(texts).translate(_TABLE)
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, bytes]]:
@@ -95,7 +97,7 @@ class Words:
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         lines = np.flatnonzero(data == 10)
-        self.piece = np.searchsorted(lines, self.start)
+        self.data, self.piece = data, np.searchsorted(lines, self.start)
         self.seed = np.array([zlib.crc32(lang.encode()) + (len(lang) << 32)], np.uint64)
         bounds = np.append(np.flatnonzero(np.diff(self.piece)) + 1, len(self.start))  # between pieces
         hashes, i = [], 0
@@ -153,7 +155,7 @@ def sketched(docs: DataFrame, least: int, log2: int, short: Sketch | None = None
     shared = docs.sparkSession.sparkContext.broadcast(short)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names = Gathered(DEPTH, log2), [c.split()[0] for c in PARTS.split(", ")]
+        held, names = Gathered(DEPTH, log2, FLUSH, zipped=True), [c.split()[0] for c in PARTS.split(", ")]
         for lang, plain in shards(batches, HASHED_BYTES):
             words = Words(lang, plain)
             runs = [v for k, v, _ in _passing(words, shared.value, None) if k > 2] if shared.value else [words.runs(k)[0] for k in (1, 2)]
@@ -164,44 +166,77 @@ def sketched(docs: DataFrame, least: int, log2: int, short: Sketch | None = None
         if held.many:
             yield pa.RecordBatch.from_arrays(held.flush(), names=names)
 
-    rows = merged(docs.mapInArrow(gather, PARTS), DEPTH, log2, lambda counts: np.packbits(counts >= least))
+    rows = merged(docs.mapInArrow(gather, PARTS), DEPTH, log2, lambda counts: np.packbits(counts >= least), zipped=True)
     shared.unpersist()
     return Sketch(rows, log2)
 
 
-def _candidates(words: Words, plain: bytes, short: Sketch, longer: Sketch) -> list[str]:
-    """The words and phrases of a shard that may reach the least count."""
-    found = set()
-    for width, _, at in _passing(words, short, longer):
-        found.update(plain[a:b] for a, b in zip(words.start[at].tolist(), words.end[at + width - 1].tolist(), strict=True))
-    return [x.decode() for x in found]
-
-
-def counted(docs: DataFrame, short: Sketch, longer: Sketch, scratch: Scratch) -> DataFrame:
-    """Per language and candidate its count, and with an empty phrase the number of words."""
+def _guarded(words: Words, whole: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The stretches of words in which each pair, by its first word, is `whole`: a space before each word and after
+    each stretch, line ends between stretches.  Also where each word starts and ends; others are empty."""
+    taken = np.zeros(len(words.start), bool)
+    taken[:-1] |= whole[: len(taken) - 1]
+    taken[1:] |= whole[: len(taken) - 1]
+    length = np.where(taken, words.end - words.start, 0)
+    cut = taken & ~whole[: len(taken)]  # the last word of a stretch
+    after = np.cumsum(length + taken + 2 * cut)
+    start = after - length - 2 * cut
+    out = np.full(after[-1] if len(after) else 0, 32, np.uint8)
+    at = np.repeat(words.start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    out[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())] = words.data[at]
+    out[after[cut] - 1] = 10
+    return out.tobytes(), start, start + length
+
+
+def _counts(words: Words, plain: bytes, short: Sketch, longer: Sketch, exact: bool = False) -> tuple[list[str], list[int]]:
+    """The words and phrases of a shard that may reach the least count, with their counts in it.
+
+    Phrases are found by hashes, which also count them.  Two with one hash would make these differ from the
+    automaton's counts: then all is done again by strings."""
+    import ahocorasick
+
+    found = list(_passing(words, short, longer))
+    each = Counter(plain.split())
+    one = found[0][2][np.unique(found[0][1], return_index=True)[1]] if not exact else found[0][2]
+    single = {plain[a:b] for a, b in zip(words.start[one].tolist(), words.end[one].tolist(), strict=True)}
+    out, many = [x.decode() for x in single], [each[x] for x in single]
+    pair = np.zeros(len(words.hash), bool)
+    pair[found[1][2]] = True
+    text, start, end = _guarded(words, pair)
+    phrases, hashed = [], []
+    for width, value, at in found[1:]:
+        first, n = (at, np.ones(len(at), np.int64)) if exact else (at[(u := np.unique(value, return_index=True, return_counts=True))[1]], u[2])
+        phrases += [text[a:b] for a, b in zip(start[first].tolist(), end[first + width - 1].tolist(), strict=True)]
+        hashed += n.tolist()
+    if exact:
+        phrases = list(set(phrases))
+    if phrases:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, phrase in enumerate(phrases):
+            automaton.add_word(f" {phrase.decode()} ", i)
+        automaton.make_automaton()
+        seen = Counter(map(itemgetter(1), automaton.iter(text.decode())))
+        counts = [seen[i] for i in range(len(phrases))]
+        if not exact and counts != hashed:
+            return _counts(words, plain, short, longer, exact=True)
+        out, many = out + [x.decode() for x in phrases], many + counts
+    return out, many
+
+
+def counted(docs: DataFrame, short: Sketch, longer: Sketch, tasks: int, scratch: Scratch) -> DataFrame:
+    """In so many tasks at most, per language and candidate its count, and with an empty phrase the number of words."""
     shared = docs.sparkSession.sparkContext.broadcast((short, longer))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
         for lang, plain in shards(batches, SHARD_BYTES):
             words = Words(lang, plain)
-            phrases = _candidates(words, plain, *shared.value)
-            many = [len(words.hash)]
-            if phrases:
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                for i, phrase in enumerate(phrases):
-                    automaton.add_word(f" {phrase} ", i)
-                automaton.make_automaton()
-                seen = Counter(map(itemgetter(1), automaton.iter(plain.decode())))
-                many += [seen[i] for i in range(len(phrases))]
-                del automaton
-            phrases = ["", *phrases]
+            phrases, many = _counts(words, plain, *shared.value)
+            phrases, many = ["", *phrases], [len(words.hash), *many]
             for at in range(0, len(phrases), 10_000):
                 part = phrases[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(many[at : at + 10_000], pa.int64())], names=["lang", "phrase", "f"])
 
-    found = docs.mapInArrow(scan, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    found = docs.coalesce(tasks).mapInArrow(scan, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     found = scratch.table(found, "phrases")
     shared.unpersist()
     return found
@@ -245,7 +280,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, most: int = 2000, sh
     log2 = log2_cells(2 * size / BYTES_A_WORD, RUNS_A_CELL, LEAST_CELLS, MOST_CELLS)
     short = sketched(docs, least, log2)
     longer = sketched(docs, least, log2, short)
-    counts = counted(docs, short, longer, scratch)
+    counts = counted(docs, short, longer, max(1, -(-size // COUNT_BYTES)), scratch)
     out = written(ranked(counts, least, most, share, scratch), "collocations")
     scratch.drop("phrases", "candidates", "cuts")
     return out

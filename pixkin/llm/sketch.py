@@ -39,11 +39,16 @@ def _unplaned(data: bytes | pa.Buffer, kind: str) -> np.ndarray:
     return np.ascontiguousarray(x.T).view(kind).ravel().astype(np.int64)
 
 
+def _zip(data: bytes) -> bytes:
+    return zlib.compress(data, 1)
+
+
 class Gathered:
-    """Cells of each row that a task has seen since its last flush."""
+    """Cells of each row that a task has seen since its last flush, which comes after `flush` of them.
+    zipped: parts are handed on in fewer bytes, for more work."""
 
-    def __init__(self, rows: int, log2: int):
-        self.size = (1 << log2) // SHARDS
+    def __init__(self, rows: int, log2: int, flush: int = FLUSH, zipped: bool = False):
+        self.size, self.most, self.zipped = (1 << log2) // SHARDS, flush, zipped
         self.held: list[list[np.ndarray]] = [[] for _ in range(rows)]
         self.many = 0
 
@@ -52,7 +57,7 @@ class Gathered:
         self.many += len(cells) if row == 0 else 0
 
     def full(self) -> bool:
-        return self.many >= FLUSH
+        return self.many >= self.most
 
     def flush(self) -> list[pa.Array]:
         """The columns of PARTS."""
@@ -63,15 +68,17 @@ class Gathered:
             for s in range(SHARDS):
                 own, n = cells[bounds[s] : bounds[s + 1]].astype(np.int64), counts[bounds[s] : bounds[s + 1]]
                 if len(own):
-                    out.append((row * SHARDS + s, _planes(np.diff(own, prepend=s * self.size), "<u4"), _planes(np.minimum(n, 65_535), "<u2")))
+                    part = _planes(np.diff(own, prepend=s * self.size), "<u4"), _planes(np.minimum(n, 65_535), "<u2")
+                    out.append((row * SHARDS + s, *(map(_zip, part) if self.zipped else part)))
             held.clear()
         self.many = 0
         return [pa.array([x[i] for x in out], t) for i, t in enumerate(_TYPES)]
 
 
-def merged(parts: DataFrame, rows: int, log2: int, pack: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+def merged(parts: DataFrame, rows: int, log2: int, pack: Callable[[np.ndarray], np.ndarray], zipped: bool = False) -> list[np.ndarray]:
     """parts: PARTS.  Per row the packed counts of all cells.  pack: from the counts of a range to bytes."""
     size = (1 << log2) // SHARDS
+    read = (lambda x: zlib.decompress(x.as_buffer())) if zipped else (lambda x: x.as_buffer())
 
     def merged_shard(shard: int, total: np.ndarray) -> pa.RecordBatch:
         packed = zlib.compress(pack(total).tobytes(), 1)
@@ -86,8 +93,8 @@ def merged(parts: DataFrame, rows: int, log2: int, pack: Callable[[np.ndarray],
                     if shard is not None:
                         yield merged_shard(shard, total)
                     shard, total = own, np.zeros(size, np.uint32)
-                at = np.cumsum(_unplaned(cells.as_buffer(), "<u4"))
-                total[at] = np.minimum(total[at] + _unplaned(counts.as_buffer(), "<u2"), 1 << 31)
+                at = np.cumsum(_unplaned(read(cells), "<u4"))
+                total[at] = np.minimum(total[at] + _unplaned(read(counts), "<u2"), 1 << 31)
         if shard is not None:
             yield merged_shard(shard, total)
 
