@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pixkin.config import LOWEST_VERDICT, VERDICTS, Profile, ScoringConfig
 from pixkin.functions.signatures import differing, differing_in_runs
+from pixkin.functions.transform import let
 
 
 def total(values: Column) -> Column:
@@ -52,8 +53,7 @@ def mean(values: Column) -> Column:
 
 def variance(values: Column) -> Column:
     """Population variance."""
-    m = mean(values)
-    return total(F.transform(values, lambda x: x * x)) / F.size(values) - m * m
+    return let(mean(values), lambda m: total(F.transform(values, lambda x: x * x)) / F.size(values) - m * m)
 
 
 def dct_spectrum(a: Column, b: Column) -> Column:

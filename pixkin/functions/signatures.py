@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pixkin.functions.transform import let
+
 WORD = 64
 
 
@@ -26,8 +28,8 @@ def pack(bits: np.ndarray) -> np.ndarray:
 def packed(bits: Column) -> Column:
     """The words of an array of 0 and 1."""
     one = lambda b, i: F.call_function("shiftleft", b.cast("long"), i)
-    word = lambda w: F.aggregate(F.transform(F.slice(bits, w * WORD + 1, F.lit(WORD)), one), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / WORD).cast("int")), word)
+    word = lambda b, w: F.aggregate(F.transform(F.slice(b, w * WORD + 1, F.lit(WORD)), one), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    return let(bits, lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / WORD).cast("int")), lambda w: word(b, w)))
 
 
 def unpacked(signature: Column) -> Column:

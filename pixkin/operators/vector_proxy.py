@@ -7,38 +7,35 @@ from pyspark.sql import functions as F
 
 from pixkin.functions.scores import dot, mean, total
 from pixkin.functions.signatures import packed
+from pixkin.functions.transform import let
 from pixkin.operators.cells import usable
 
 
 def median(values: Column) -> Column:
-    s = F.array_sort(values)
-    n = F.size(values)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return let(F.array_sort(values), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)
 
 
 def vector_features(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", patch: int = 4, size: int = 64) -> DataFrame:
     """id, cls and the features: median, neighbour, mean and block-mean bits, energies of three bands,
     and blocks of `patch` components as unit vectors one after the other.  Bits are signatures.  A vector
     that is null, has null or non-finite components or not `size` of them has no row."""
-    x = F.col("cls")
-    df = rows.filter(usable(vector, size)).select(F.col(id_column).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("cls"), *[c for c in ("label",) if c in rows.columns])
-    df = df.withColumn("_median", median(x)).withColumn("_mean", mean(x)).withColumn("_n", F.size(x))
-    blocks = F.transform(F.sequence(F.lit(0), (F.col("_n") / patch).cast("int") - 1), lambda i: F.slice(x, i * patch + 1, F.lit(patch)))
-    df = df.withColumn("_blocks", blocks)
-    df = df.withColumn("_means", F.transform("_blocks", mean)).withColumn("_block_median", median(F.col("_means")))
-    energy = lambda a, b: dot(F.slice(x, a, b), F.slice(x, a, b))
-    quarter, half = (F.col("_n") / 4).cast("int"), (F.col("_n") / 2).cast("int")
-    df = df.withColumn("_energy", F.array(energy(F.lit(1), quarter), energy(quarter + 1, quarter), energy(half + 1, half)))
-    unit = lambda b: F.transform(b, lambda v: v / F.sqrt(dot(b, b)))
-    bits = lambda threshold: packed(F.transform(x, lambda v: (v > threshold).cast("int")))
-    whash = F.flatten(F.transform("_means", lambda m: F.array_repeat((m > F.col("_block_median")).cast("int"), patch)))
-    return df.select(
-        *[c for c in ("id", "label", "cls") if c in df.columns],
-        bits(F.col("_median")).alias("phash"),
-        packed(F.transform(x, lambda v, i: (F.get(x, F.pmod(i + 1, F.col("_n"))) > v).cast("int"))).alias("dhash"),
-        bits(F.col("_mean")).alias("ahash"),
-        packed(whash).alias("whash"),
-        F.transform("_energy", lambda e: e / (total(F.col("_energy")) + 1e-9)).alias("dct_bands"),
-        bits(F.col("_median")).alias("grid"),
-        F.flatten(F.transform("_blocks", unit)).alias("patches"),
-    )
+
+    def of(x: Column) -> Column:
+        above = lambda threshold: let(threshold, lambda t: packed(F.transform(x, lambda v: (v > t).cast("int"))))
+        energy = lambda a, b: let(F.slice(x, a, b), lambda part: dot(part, part))
+        energies = F.array(energy(1, size // 4), energy(size // 4 + 1, size // 4), energy(size // 2 + 1, size // 2))
+        blocks = F.transform(F.sequence(F.lit(0), F.lit(size // patch - 1)), lambda i: F.slice(x, i * patch + 1, F.lit(patch)))
+        repeated = lambda means: let(median(means), lambda t: F.flatten(F.transform(means, lambda m: F.array_repeat((m > t).cast("int"), patch))))
+        unit = lambda b: let(F.sqrt(dot(b, b)), lambda n: F.transform(b, lambda v: v / n))
+        middle = above(median(x))
+        return F.struct(
+            x.alias("cls"), middle.alias("phash"),
+            packed(F.transform(x, lambda v, i: (F.get(x, F.pmod(i + 1, F.lit(size))) > v).cast("int"))).alias("dhash"),
+            above(mean(x)).alias("ahash"), let(F.transform(blocks, mean), lambda means: packed(repeated(means))).alias("whash"),
+            let(energies, lambda e: let(total(e) + 1e-9, lambda n: F.transform(e, lambda y: y / n))).alias("dct_bands"),
+            middle.alias("grid"), F.flatten(F.transform(blocks, unit)).alias("patches"),
+        )
+
+    label = [c for c in ("label",) if c in rows.columns]
+    df = rows.filter(usable(vector, size)).select(F.col(id_column).alias("id"), *label, let(F.transform(vector, lambda v: v.cast("double")), of).alias("own"))
+    return df.select("id", *label, "own.*")

@@ -17,11 +17,6 @@ def find_duplicates(features: DataFrame, config: ScoringConfig = VECTOR) -> Data
     return score_pairs(pairs, features, config, "batch", config.threshold)
 
 
-def ranked(matches: DataFrame) -> DataFrame:
-    """Adds the place by composite; a report's rows are few."""
-    return matches.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("composite"), "id_a", "id_b")))
-
-
 def with_metadata(matches: DataFrame, songs: DataFrame) -> DataFrame:
     """songs: (song_id, song_name, name, video_id).  Labels of both sides; an unknown id is its own."""
     out = matches

@@ -6,7 +6,6 @@ and the change feed.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,14 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixkin.config import VECTOR, ScoringConfig
-from pixkin.functions import ids, imaging
+from pixkin.functions import ids, imaging, records, transform
 from pixkin.functions import scores as S
-from pixkin.functions.signatures import unpacked
+from pixkin.functions.signatures import packed, unpacked
 from pixkin.operators import features as image_features
 from pixkin.operators import knn, matching, pairs, radius
+from pixkin.operators.cells import usable
 from pixkin.operators.vector_proxy import vector_features
-from pixkin.plans import duplicates, ingest, live
+from pixkin.plans import batch, duplicates, ingest, live
+from pixkin.service import DESCRIPTIONS
 from pixkin.sources.feature_table import FeatureTable, ImageCache
+from pixkin.sources.scratch import shared_folder
 from pixkin.sources.store import IndexStore
 from pixkin.streaming.feed import follow, latest_changes
 
@@ -292,19 +294,19 @@ def short_circuit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.cheap_scores(pair, own, VECTOR).select("id_a", "id_b", branch.alias("branch"))
 
 
-_H = """h AS (SELECT vec_id, 1 + 3 * embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, 2 * embedding[3]::DOUBLE AS c, 1 + 3 * embedding[4]::DOUBLE AS d FROM embeddings),
-p AS (SELECT vec_id, (sqrt(a * a + c * c) + sqrt(b * b + d * d)) / 2 AS scale, degrees(atan2(c, a)) AS rotation FROM h)"""
+_H = """h AS (SELECT vec_id, 1 + 3 * embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, 2 * embedding[3]::DOUBLE AS c, 1 + 3 * embedding[4]::DOUBLE AS d, vec_id % 40 AS inliers FROM embeddings),
+p AS (SELECT vec_id, inliers, (sqrt(a * a + c * c) + sqrt(b * b + d * d)) / 2 AS scale, degrees(atan2(c, a)) AS rotation FROM h)"""
 
 
 @query(f"""WITH {_H} SELECT vec_id, round(scale, 9) AS scale, round(rotation, 9) AS rotation,
-CASE WHEN scale < 0.4 OR scale > 2.5 THEN 'scale' WHEN abs(rotation) > 30 THEN 'rotation' ELSE 'applied' END AS reason,
+CASE WHEN inliers < 12 THEN 'few_inliers' WHEN scale < 0.4 OR scale > 2.5 THEN 'scale' WHEN abs(rotation) > 30 THEN 'rotation' ELSE 'applied' END AS reason,
 CASE WHEN scale > 1.005 THEN 'zoomed in' WHEN scale < 0.995 THEN 'zoomed out' ELSE 'identical' END AS zoom FROM p""")
 def homography_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.transform("embedding", lambda v: v.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"))
     scale, rotation = S.homography_parts(1 + 3 * F.get("e", F.lit(0)), F.get("e", F.lit(1)), 2 * F.get("e", F.lit(2)), 1 + 3 * F.get("e", F.lit(3)))
     rows = rows.withColumn("scale", scale).withColumn("rotation", rotation)
-    reason = S.alignment_reason(F.lit(99), F.col("scale"), F.col("rotation"), VECTOR)
+    reason = S.alignment_reason(F.col("vec_id") % 40, F.col("scale"), F.col("rotation"), VECTOR)
     return places(rows.select("vec_id", "scale", "rotation", reason.alias("reason"), S.zoom_label(F.col("scale")).alias("zoom")), "scale", "rotation")
 
 
@@ -319,13 +321,14 @@ def ratio_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("id_a").agg(F.min_by("id_b", "rank").alias("id_b"), F.min_by("d", "rank").alias("d1"), F.max_by("d", "rank").alias("d2")).withColumn("good", F.col("d1") < VECTOR.ratio * F.col("d2"))
 
 
-@query(f"""WITH {V}, {FEATURES}, c AS (SELECT phash, min(id) AS id FROM f GROUP BY phash),
-d AS (SELECT a.id AS id_a, b.id AS id_b, list_sum(list_transform(range(64), lambda i: (a.phash[i + 1] <> b.phash[i + 1])::INT))::BIGINT AS apart FROM c a JOIN c b ON a.id < b.id)
-SELECT * FROM d WHERE apart <= 5""")
+@query(f"""WITH {V}, {FEATURES}, h AS (SELECT id, list_transform(range(16), lambda i: whash[i * 4 + 1]) AS h FROM f), c AS (SELECT h, min(id) AS id FROM h GROUP BY h),
+d AS (SELECT a.id AS id_a, b.id AS id_b, list_sum(list_transform(range(16), lambda i: (a.h[i + 1] <> b.h[i + 1])::INT))::BIGINT AS apart FROM c a JOIN c b ON a.id < b.id)
+SELECT * FROM d WHERE apart <= 2""")
 def hash_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct hashes that differ in at most five bits, each by the first row that has it."""
-    classes = radius.signature_classes(features(spark, sf_dir).select("id", F.col("phash").alias("signature")))
-    return radius.within_radius(classes, 64, 5)
+    """Pairs of distinct block hashes (16 bits) that differ in at most two, each by the first row that has it."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.getbit(F.get("whash", F.lit(0)), i * 4))
+    classes = radius.signature_classes(features(spark, sf_dir).select("id", packed(blocks).alias("signature")))
+    return radius.within_radius(classes, 16, 2)
 
 
 @query(f"""WITH {V}, {FEATURES}, k AS (SELECT id // 8 AS image, id % 8 AS point, phash FROM f), n AS (SELECT DISTINCT image FROM k),
@@ -344,8 +347,64 @@ def descriptor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{SCORED} SELECT row_number() OVER (ORDER BY batch DESC, id_a, id_b) AS place, id_a, id_b, round(batch, 9) AS composite FROM s WHERE batch >= 0.5 ORDER BY place LIMIT 20")
 def report_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 of the report, which is what it shows."""
-    found = duplicates.find_duplicates(features(spark, sf_dir)).orderBy(F.desc("composite"), "id_a", "id_b").limit(20)
-    return places(duplicates.ranked(found).select("place", "id_a", "id_b", "composite"), "composite")
+    placed = batch.best_first(duplicates.find_duplicates(features(spark, sf_dir)))
+    return places(placed.filter("place <= 20").select("place", "id_a", "id_b", "composite"), "composite")
+
+
+@query(f"""{SCORED}, r AS (SELECT row_number() OVER (ORDER BY batch DESC, id_a, id_b) AS place, batch FROM s WHERE batch >= 0.5)
+SELECT ((place - 1) // 100 + 1)::BIGINT AS page, count(*) AS rows, round(max(batch), 9) AS best, round(min(batch), 9) AS worst FROM r GROUP BY 1""")
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report, written by tasks a hundred rows a page."""
+    found = duplicates.find_duplicates(features(spark, sf_dir))
+    return places(batch.write_report(found, f"{shared_folder(spark)}/report-{uuid.uuid4().hex}", page_rows=100), "best", "worst")
+
+
+@query(f"""{SCORED.replace("WHERE coarse >= 0.30 GROUP", "WHERE coarse >= 0.30 AND id_a % 50 <> 3 AND id_b % 50 <> 3 GROUP")},
+miss AS (SELECT DISTINCT least(id_a, id_b) AS a, greatest(id_a, id_b) AS b FROM n WHERE coarse >= 0.30)
+SELECT (SELECT count(*) FROM n WHERE coarse < 0.30) AS skipped_coarse, (SELECT count(*) FROM miss WHERE a % 50 = 3 OR b % 50 = 3) AS skipped_missing,
+(SELECT count(*) FROM s) AS checked, (SELECT count(*) FROM s WHERE batch >= 0.5) AS matches""")
+def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the batch run leaves out and finds, counted in its own pass; every fiftieth song lacks features."""
+    own = features(spark, sf_dir)
+    _, counts = batch.run_batch(vectors(spark, sf_dir), own.filter("id % 50 <> 3"))
+    return spark.createDataFrame([tuple(counts[c] for c in batch.COUNTS)], ", ".join(f"{c} long" for c in batch.COUNTS))
+
+
+_M = [[float(x) for x in row] for row in imaging.dct_matrix(8)]
+
+
+@query(f"""WITH {V}, m AS (SELECT {_M}::DOUBLE[][] AS m), r AS (SELECT id, m, list_transform(range(8), lambda i: x[i * 8 + 1 : i * 8 + 8]) AS r FROM v, m),
+a AS (SELECT id, m, list_transform(r, lambda y: list_transform(m, lambda w: list_inner_product(y, w))) AS a FROM r),
+c AS (SELECT id, list_transform(range(8), lambda u: list_transform(range(8), lambda k: list_sum(list_transform(range(8), lambda i: m[u + 1][i + 1] * a[i + 1][k + 1])))) AS c FROM a),
+p AS (SELECT id, list_sum(list_transform(flatten(c), lambda y: y * y)) + 1e-9 AS whole, list_sum(list_transform(flatten(list_transform(c[1:2], lambda y: y[1:2])), lambda y: y * y)) AS low,
+  list_sum(list_transform(flatten(list_transform(c[5:8], lambda y: y[5:8])), lambda y: y * y)) AS high FROM c)
+SELECT id, round(low / whole, 9) AS low, round((whole - low - high) / whole, 9) AS middle, round(high / whole, 9) AS high FROM p""")
+def dct_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectrum's bands of every vector as a picture of 8 x 8, from the transform in column expressions."""
+    rows = vectors(spark, sf_dir).filter(usable("cls", 64))
+    bands = transform.band_energies(transform.dct2(transform.split_rows(F.col("cls"), 8, 8), 8, 8), 8)
+    rows = rows.select("id", bands.alias("bands"))
+    return places(rows.select("id", *[F.get("bands", F.lit(i)).alias(c) for i, c in enumerate(("low", "middle", "high"))]), "low", "middle", "high")
+
+
+_LINES = """CASE doc_id % 5 WHEN 1 THEN left(line, length(line) - 1) WHEN 2 THEN '[' || line || ']' WHEN 3 THEN '' ELSE line END"""
+
+
+@query("""SELECT doc_id AS line, CASE WHEN doc_id % 5 IN (0, 4) THEN doc_id END AS id, CASE WHEN doc_id % 5 IN (0, 4) THEN lang END AS lang, CASE WHEN doc_id % 5 IN (0, 4) THEN n_chars END AS n_chars,
+doc_id % 5 NOT IN (0, 4) AS corrupt FROM documents""")
+def sidecar_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as JSON lines, of which some are cut off, some no objects and some empty, read leniently."""
+    docs = table(spark, sf_dir, "documents").withColumn("line", F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "n_chars")))
+    lines = docs.select(F.col("doc_id").alias("number"), F.expr(_LINES).alias("line"))
+    rows = records.parsed(lines, "line", "id long, lang string, n_chars long")
+    return rows.select(F.col("number").alias("line"), "id", "lang", "n_chars", F.col(records.CORRUPT).isNotNull().alias("corrupt"))
+
+
+@query("SELECT doc_id AS id, lang, n_chars FROM documents")
+def sidecar_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to JSON lines and back, where a bad line would fail the job."""
+    lines = table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "n_chars")).alias("line"))
+    return records.parsed(lines, "line", "id long, lang string, n_chars long", strict=True)
 
 
 def _case(c: str, steps: tuple, rest) -> str:
@@ -387,36 +446,44 @@ def index_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query()
+#: Scores to four places; halves are rounded up, so SQL rounds decimals.
+_PLACES = ", ".join(f"round({c}::DECIMAL(22, 17), 4)::DOUBLE AS {c}" for c in ("composite", "hash_ensemble", "dct_spectrum", "sector_grid", "global_semantic", "patch_spatial", "grid_min_cell", "grid_variance"))
+_CHECKED = f"""WITH {_EACH}, c AS (SELECT id_a, id_b, coarse FROM n), {FEATURES}, {STAGES}, z AS (SELECT *, {_VETO} AS composite FROM s)
+SELECT id_a, id_b, {VERDICT.format('z.composite')} AS verdict, {_PLACES} FROM z WHERE composite >= 0.45 QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY z.composite DESC, coarse DESC, id_b) = 1"""
+
+
+@query(_CHECKED)
 def check_duplicate_json_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The duplicate check for every vector whose id is divisible by 20."""
+    """The duplicate check for every vector whose id is divisible by 20, among the levels 0 to 2."""
     own = features(spark, sf_dir)
     config = ScoringConfig(**{**VECTOR.__dict__, "threshold": 0.45})
     return duplicates.check_duplicate(own.filter("id % 20 = 0"), own, own.filter("label IN (0, 1, 2)").select("id"), config)
 
 
+_SAYS = "CASE verdict " + " ".join(f"WHEN '{code}' THEN '{text}'" for code, text in DESCRIPTIONS.items()) + " END"
+
+
+@query(f"""WITH r AS ({_CHECKED}) SELECT id_a, true AS duplicate, id_b::VARCHAR AS mongo_id, composite, verdict, {_SAYS} AS verdict_description, hash_ensemble, dct_spectrum, sector_grid,
+global_semantic, patch_spatial, grid_min_cell AS min_cell, grid_variance AS variance FROM r""")
+def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each check's response as JSON, read again strictly: its fields as columns."""
+    found = check_duplicate_json_each(spark, sf_dir)
+    said = found.select("id_a", records.response_json(F.expr(_SAYS)).alias("json"))
+    scores = "hash_ensemble double, dct_spectrum double, sector_grid double, global_semantic double, patch_spatial double"
+    rows = records.parsed(said, "json", f"duplicate boolean, mongo_id string, composite double, verdict string, verdict_description string, scores struct<{scores.replace(' double', ':double')}>, grid struct<min_cell:double,variance:double>", strict=True)
+    return rows.select("id_a", "duplicate", "mongo_id", "composite", "verdict", "verdict_description", "scores.*", "grid.*")
+
+
 @query(f"WITH {PAIRS} SELECT id_a AS id FROM c UNION SELECT id_b FROM c")
 def path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = _pairs(spark, sf_dir)
     return pair.select(F.col("id_a").alias("id")).union(pair.select(F.col("id_b").alias("id"))).distinct()
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 @query(f"{_LATEST} SELECT user_id::VARCHAR AS song_id, (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id FROM l WHERE op <> 'delete'")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a change feed into a new store."""
-    path = f"{_shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     song = F.col("user_id").cast("string")
     changes = stream.select(song.alias("song_id"), F.expr(_OPS).alias("op"), F.struct("ts", "event_id").alias("number"), ids.stable_vec_id(song).alias("vec_id"), F.sha2(song, 256).alias("emb_key"), F.array(F.lit(0.0)).alias("cls"))
@@ -468,7 +535,7 @@ def _embed(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @query()
 def live_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each drawn image and its vector's nearest neighbour, aligned and scored from pixels."""
-    work = f"{_shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
     images = _rasters(rows).select("id", F.sha2("data", 256).alias("file_key"), *live.IMAGE, F.lit(None).cast("string").alias("text"))
     images.write.parquet(f"{work}/images")
@@ -490,7 +557,7 @@ def _drawn(url: str) -> tuple[int, bytes]:
 def ingest_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors' ids as songs with a video each, fetched, decoded and added to a new index in two
     batches; joined with the stored features, so that a song without them would be missing."""
-    path = f"{_shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     song = F.col("vec_id").cast("string")
     songs = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").select(song.alias("song_id"), song.alias("video_id"))
     store, features_, cache = IndexStore(spark, f"{path}/store"), FeatureTable(spark, f"{path}/features"), ImageCache(spark, f"{path}/images")
