@@ -36,7 +36,7 @@ from .shared import Scratch, small_batches, written
 from .wordhash import mix, row_chunks, word_hashes
 
 CLASSES, WORDS = 32, 64
-#: Rows of the class and of the word weights, as powers of two.
+#: Rows of the class and of the word weights, as powers of two, 16 at most.
 CLASS_ROWS, WORD_ROWS = 13, 13
 FEATURES, ROUNDS = 3, 6
 #: Added to what was seen and expected; and the step as a share of the one that can't overshoot.
@@ -110,7 +110,7 @@ class Model:
             which, own = which[own < CLASSES - 1], own[own < CLASSES - 1]
             at = (mix(context[:, which] ^ mix(own.astype(np.uint64), 41), 42) >> np.uint64(64 - WORD_ROWS)).astype(np.int64)
             inside = place[which] % WORDS
-            yield which, 1, at, inside, *_softmax(self.word_bias[own], self.word_weights, at, inside)
+            yield which, 1, at, inside, *_softmax(np.take(self.word_bias, own, axis=0), self.word_weights, at, inside)
 
     def counts(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each token its count, and whether it is among the top words."""
@@ -127,9 +127,10 @@ class Model:
 
 
 def _softmax(bias: np.ndarray, weights: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    logits = weights[at[0]] + bias
+    logits = np.take(weights, at[0], axis=0)
+    logits += bias
     for k in range(1, len(at)):
-        logits += weights[at[k]]
+        logits += np.take(weights, at[k], axis=0)
     logits -= logits.max(axis=1, keepdims=True) if len(logits) else 0
     own = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
@@ -137,6 +138,20 @@ def _softmax(bias: np.ndarray, weights: np.ndarray, at: np.ndarray, target: np.n
     return logits, total, own - np.log(total)
 
 
+def _group_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the groups of rows that start at `begin`: most are small, so rows are added place by place in all
+    groups at once, and only what is left of large groups one by one."""
+    many, out = np.diff(np.append(begin, len(rows))), np.take(rows, begin, axis=0)
+    place, open_ = 1, np.flatnonzero(many > 1)
+    while len(open_) and place < 16:
+        out[open_] += np.take(rows, begin[open_] + place, axis=0)
+        place += 1
+        open_ = open_[many[open_] > place]
+    for g in open_:
+        out[g] += rows[begin[g] + place : begin[g] + many[g]].sum(axis=0)
+    return out
+
+
 #: Sums over rows of weights: weights' number and range, rows, what was expected in them, places seen and how often.
 SUMS = "range int, rows binary, expected binary, at binary, seen binary"
 
@@ -145,17 +160,26 @@ def sums(model: Model, texts: Iterator[pa.Array]) -> pa.RecordBatch:
     """What the model expected and what was seen in the texts."""
     shapes = model.class_weights.shape, model.word_weights.shape
     expected, seen = [np.zeros(s) for s in shapes], [np.zeros(s[0] * s[1]) for s in shapes]
+    held: list[list[np.ndarray]] = [[], []]
+
+    def count(k: int, least: int) -> None:
+        if sum(map(len, held[k])) >= least:
+            seen[k] += np.bincount(np.concatenate(held[k]), minlength=len(seen[k]))
+            held[k].clear()
+
     for column in texts:
         for _, _, tokens, rows in tokens_of(column):
             for _, k, at, target, raised, total, _ in model.batches(tokens, rows):
                 raised /= total[:, None]
                 for own in at if len(target) else ():
-                    seen[k] += np.bincount(own * shapes[k][1] + target, minlength=len(seen[k]))
-                    order = np.argsort(own)
+                    held[k].append((own * shapes[k][1] + target).astype(np.int32))
+                    count(k, COUNTED)
+                    order = np.argsort(own.astype(np.uint16), kind="stable")
                     begin = np.flatnonzero(np.append(True, np.diff(own[order])))
-                    expected[k][own[order[begin]]] += np.add.reduceat(raised[order], begin, axis=0)
+                    expected[k][own[order[begin]]] += _group_sums(np.take(raised, order, axis=0), begin)
     out = []
     for k, (rows, width) in enumerate(shapes):
+        count(k, 1)
         step = rows // RANGES
         for r in range(RANGES):
             part, own = expected[k][r * step : (r + 1) * step], seen[k][r * step * width : (r + 1) * step * width]
