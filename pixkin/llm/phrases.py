@@ -13,7 +13,7 @@ Texts are lower-cased, split into pieces at punctuation and line ends, and piece
    beside it.
 3. The counts of all shards are summed, and only then come the least count, the scores and the ranks.
 
-An automaton holds what occurs in its shard, so it doesn't grow with the corpus.  The sketches have twelve
+An automaton holds what occurs in its shard, so it doesn't grow with the corpus.  The sketches have 24
 bytes of text a cell up to 2 ** MOST_CELLS cells a row; from about 20 GB of text on they let through more
 than they should, and with far more text nearly every run: the shards then count phrases that are dropped
 after summing, in proportion to the input, and the result stays the same.
@@ -45,7 +45,7 @@ LEAST_COUNT = 30
 DEPTH = 2
 LEAST_CELLS, MOST_CELLS = 16, 28
 #: Bytes of text to a word, and words and pairs to a cell.
-BYTES_A_WORD, RUNS_A_CELL = 6, 4
+BYTES_A_WORD, RUNS_A_CELL = 6, 8
 #: Bytes of text that are hashed together, and that one automaton is for.
 HASHED_BYTES, SHARD_BYTES = 1 << 18, 4 << 20
 #: Bytes of text that one task counts, if there is as much, and cells that a task gathers at a time.
@@ -223,8 +223,9 @@ def _counts(words: Words, plain: bytes, short: Sketch, longer: Sketch, exact: bo
     return out, many
 
 
-def counted(docs: DataFrame, short: Sketch, longer: Sketch, tasks: int, scratch: Scratch) -> DataFrame:
-    """In so many tasks at most, per language and candidate its count, and with an empty phrase the number of words."""
+def counted(docs: DataFrame, short: Sketch, longer: Sketch, least: int, tasks: int, scratch: Scratch) -> DataFrame:
+    """In so many tasks at most, per language and candidate that reaches the least count this count, and with an empty
+    phrase the number of words."""
     shared = docs.sparkSession.sparkContext.broadcast((short, longer))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,22 +238,20 @@ def counted(docs: DataFrame, short: Sketch, longer: Sketch, tasks: int, scratch:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(many[at : at + 10_000], pa.int64())], names=["lang", "phrase", "f"])
 
     found = docs.coalesce(tasks).mapInArrow(scan, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    found = scratch.table(found, "phrases")
+    found = scratch.table(found.filter((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
     shared.unpersist()
     return found
 
 
-def ranked(counts: DataFrame, least: int, most: int, share: int, scratch: Scratch) -> DataFrame:
+def ranked(counts: DataFrame, most: int, share: int, scratch: Scratch) -> DataFrame:
     """counts: a written table (lang, phrase, f).  Per language the first `most` phrases by score."""
-    enough = counts.filter((F.col("f") >= least) & (F.col("phrase") != ""))
+    enough = counts.filter("phrase <> ''")
     words = F.split("phrase", " ")
     phrases = scratch.table(enough.withColumn("k", F.size(words)).filter("k > 1").withColumnRenamed("f", "a"), "candidates")
 
     joined = lambda a, b: F.array_join(F.slice(words, a, b), " ")
     cut = F.explode(F.sequence(F.lit(1), F.col("k") - 1))
     cuts = phrases.withColumn("cut", cut).withColumns({"head": joined(F.lit(1), F.col("cut")), "tail": joined(F.col("cut") + 1, F.col("k") - F.col("cut"))})
-    # written, so that Spark splits a word that very many phrases start or end with
-    cuts = scratch.table(cuts, "cuts")
     heads = enough.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
     tails = enough.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r"))
     big = lambda c: F.col(c).cast("decimal(38,0)")
@@ -280,9 +279,9 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, most: int = 2000, sh
     log2 = log2_cells(2 * size / BYTES_A_WORD, RUNS_A_CELL, LEAST_CELLS, MOST_CELLS)
     short = sketched(docs, least, log2)
     longer = sketched(docs, least, log2, short)
-    counts = counted(docs, short, longer, max(1, -(-size // COUNT_BYTES)), scratch)
-    out = written(ranked(counts, least, most, share, scratch), "collocations")
-    scratch.drop("phrases", "candidates", "cuts")
+    counts = counted(docs, short, longer, least, max(1, -(-size // COUNT_BYTES)), scratch)
+    out = written(ranked(counts, most, share, scratch), "collocations")
+    scratch.drop("phrases", "candidates")
     return out
 
 
