@@ -48,6 +48,7 @@ class ScoringConfig:
     max_scale: float = 2.5
     max_rotation: float = 30.0
     ratio: float = 0.75
+    embed_batch: int = 16
     # shapes
     canonical: tuple[int, int] = (480, 360)
     hash_size: int = 16

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pixkin.config import ScoringConfig
 from pixkin.functions import imaging as I
 from pixkin.functions.signatures import pack
+from pixkin.operators.embedding import Provider, with_embeddings
 
 Embedder = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -28,15 +29,17 @@ def pixels(row) -> np.ndarray:
     return np.repeat(raw, 3, 2) if row.nChannels == 1 else raw[:, :, 2::-1]
 
 
-def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(), embed: Embedder | None = None) -> DataFrame:
+def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(), embed: Embedder | Provider | None = None) -> DataFrame:
     """images: (id, data, width, height, nChannels).  One feature row an image, from its canonical
-    size; embed gives the global and the patch vectors, without it they are null.  A row that can't
-    be worked on keeps its id and says why."""
+    size; embed gives the global and the patch vectors, image by image or, as a provider, in batches;
+    without it they are null.  A row that can't be worked on keeps its id and says why."""
+    provider = embed if isinstance(embed, Provider) else None
+    embed, schema = (None, f"{SCHEMA}, pixels binary") if provider else (embed, SCHEMA)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
             out = []
             for row in pdf.itertuples():
@@ -48,6 +51,8 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
                     done |= {"emb_key": hashlib.sha256(rgb.round().astype(np.uint8).tobytes()).hexdigest(), "hash_size": n}
                     done |= {"dct_bands": I.band_energies(grey, config.dct_side), "grid": pack(I.cell_hashes(grey, config.grid_side, config.grid_hash_size))}
                     done |= {"grid_rows": config.grid_side, "grid_cols": config.grid_side, "grid_hash_size": config.grid_hash_size, "n_keypoints": len(I.corners(grey))}
+                    if provider is not None:
+                        done["pixels"] = rgb.round().astype(np.uint8).tobytes()
                     if embed is not None:
                         cls, patches = embed(rgb)
                         done |= {"cls": cls / np.linalg.norm(cls), "patches": (patches / np.linalg.norm(patches, axis=1, keepdims=True)).ravel()}
@@ -56,7 +61,8 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
                 out.append(done)
             yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
 
-    return images.select("id", "data", "width", "height", "nChannels").mapInPandas(work, SCHEMA)
+    rows = images.select("id", "data", "width", "height", "nChannels").mapInPandas(work, schema)
+    return with_embeddings(rows, provider, *config.canonical) if provider else rows
 
 
 def _aligned(a: np.ndarray, b: np.ndarray, config: ScoringConfig) -> tuple[dict, np.ndarray | None]:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from pixkin.config import ScoringConfig
 from pixkin.functions.ids import eligible, stable_vec_id, thumbnail_url
+from pixkin.operators.embedding import Provider
 from pixkin.operators.features import Embedder, extract_features
 from pixkin.sources.feature_table import FeatureTable, ImageCache
 from pixkin.sources.images import usable
 from pixkin.sources.store import IndexStore
 
 
-def build_index(songs: DataFrame, store: IndexStore, table: FeatureTable, cache: ImageCache, get: Callable, decode: Callable, embed: Embedder, config: ScoringConfig = ScoringConfig(), batches: int = 1, retry_failed: bool = False, report: Callable[[dict], None] | None = None) -> dict:
+def build_index(songs: DataFrame, store: IndexStore, table: FeatureTable, cache: ImageCache, get: Callable, decode: Callable, embed: Embedder | Provider, config: ScoringConfig = ScoringConfig(), batches: int = 1, retry_failed: bool = False, report: Callable[[dict], None] | None = None) -> dict:
     """songs: (song_id, video_id).  Adds every song with a video that the store hasn't seen, in batches
     by a hash of the song, each committed by itself: an interrupted build goes on with what is left.
     What can't be fetched, decoded or embedded counts as failed and is tried again only on request.

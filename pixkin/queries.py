@@ -21,6 +21,7 @@ from pixkin.functions.signatures import packed, unpacked
 from pixkin.operators import features as image_features
 from pixkin.operators import knn, matching, pairs, radius
 from pixkin.operators.cells import usable
+from pixkin.operators.embedding import Provider
 from pixkin.operators.vector_proxy import vector_features
 from pixkin.plans import batch, duplicates, ingest, live
 from pixkin.service import DESCRIPTIONS
@@ -28,6 +29,7 @@ from pixkin.sources.feature_table import FeatureTable, ImageCache
 from pixkin.sources.scratch import shared_folder
 from pixkin.sources.store import IndexStore
 from pixkin.streaming.feed import follow, latest_changes
+from pixkin.streaming.progress import Progress
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -480,16 +482,21 @@ def path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.select(F.col("id_a").alias("id")).union(pair.select(F.col("id_b").alias("id"))).distinct()
 
 
-@query(f"{_LATEST} SELECT user_id::VARCHAR AS song_id, (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id FROM l WHERE op <> 'delete'")
+@query(f"""{_LATEST} SELECT user_id::VARCHAR AS song_id, (('0x' || substr(sha256(user_id::VARCHAR), 1, 16))::UBIGINT & 9223372036854775807)::BIGINT AS vec_id,
+len(embedding)::INT AS size, round(embedding[1]::DOUBLE, 9) AS first FROM l LEFT JOIN embeddings e ON e.vec_id = user_id WHERE op <> 'delete'""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a change feed into a new store."""
+    """The events as a change feed into a new store, with the users' vectors where there are any."""
     path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     song = F.col("user_id").cast("string")
-    changes = stream.select(song.alias("song_id"), F.expr(_OPS).alias("op"), F.struct("ts", "event_id").alias("number"), ids.stable_vec_id(song).alias("vec_id"), F.sha2(song, 256).alias("emb_key"), F.array(F.lit(0.0)).alias("cls"))
-    store = IndexStore(spark, path)
-    follow(changes, store, f"{path}-progress").awaitTermination()
-    return store.entries().select("song_id", "vec_id")
+    known = vectors(spark, sf_dir).select(F.col("id").alias("user_id"), "cls")
+    changes = stream.join(known, "user_id", "left").select(song.alias("song_id"), F.expr(_OPS).alias("op"), F.struct("ts", "event_id").alias("number"), ids.stable_vec_id(song).alias("vec_id"), F.sha2(song, 256).alias("emb_key"), "cls")
+    store, name = IndexStore(spark, path), f"ingest-{uuid.uuid4().hex}"
+    state = Progress(name, events.count()).watch(lambda: follow(changes, store, f"{path}-progress", name), spark)
+    if state["error"]:
+        raise RuntimeError(state["error"])
+    return store.entries().select("song_id", "vec_id", F.when(F.col("cls").isNotNull(), F.size("cls")).alias("size"), F.round(F.get("cls", F.lit(0)), 9).alias("first"))
 
 
 def _rasters(rows: DataFrame, turn: float = 0.0) -> DataFrame:
@@ -546,6 +553,11 @@ def live_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.analyze_pairs(near, images, spark.read.parquet(f"{work}/features"), embed=_embed, work=work)
 
 
+def _embed_batch(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = [_embed(x) for x in images]
+    return np.stack([c for c, _ in both]), np.stack([p for _, p in both])
+
+
 def _drawn(url: str) -> tuple[int, bytes]:
     """An image that depends on nothing but its address, in place of a server's."""
     small = np.random.default_rng(list(url.encode())).uniform(0, 255, (9, 12))
@@ -561,5 +573,5 @@ def ingest_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     song = F.col("vec_id").cast("string")
     songs = table(spark, sf_dir, "embeddings").filter("vec_id IS NOT NULL").select(song.alias("song_id"), song.alias("video_id"))
     store, features_, cache = IndexStore(spark, f"{path}/store"), FeatureTable(spark, f"{path}/features"), ImageCache(spark, f"{path}/images")
-    ingest.build_index(songs, store, features_, cache, _drawn, image_features.ppm, _embed, batches=2)
+    ingest.build_index(songs, store, features_, cache, _drawn, image_features.ppm, Provider(lambda: _embed_batch, VECTOR.embed_batch), batches=2)
     return store.entries().join(features_.read(["phash"]).filter("phash IS NOT NULL"), "emb_key").select("song_id", "vec_id")

@@ -15,7 +15,7 @@ def latest_changes(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     return changes.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
-def follow(changes: DataFrame, store: IndexStore, checkpoint: str) -> StreamingQuery:
+def follow(changes: DataFrame, store: IndexStore, checkpoint: str, name: str | None = None) -> StreamingQuery:
     """changes: a stream of (song_id, op, number, vec_id, emb_key, cls), op being add, edit or delete.
     What the last change of a batch leaves is upserted or removed, in one change of the index;
     running a batch again changes nothing."""
@@ -26,4 +26,5 @@ def follow(changes: DataFrame, store: IndexStore, checkpoint: str) -> StreamingQ
             store.apply(last.filter("op <> 'delete'"), deleted=last.filter("op = 'delete'"))
         last.unpersist()
 
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = changes.writeStream.queryName(name) if name else changes.writeStream
+    return writer.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
