@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields
+
+from pyspark.sql import SparkSession
 
 #: The cuts of the verdicts, highest first, all inclusive.
 VERDICTS = ((0.97, "EXACT"), (0.88, "MICRO_VARIANT"), (0.70, "MODIFIED_VARIANT"), (0.50, "DISTANT"))
@@ -68,3 +72,25 @@ class ScoringConfig:
 
 #: For vectors of 64 components that stand for images: a 4 x 4 grid of 4 bits and 16 patches of 4 components.
 VECTOR = ScoringConfig(threshold=0.50, coarse_floor=0.30, coarse_margin=0.20, hash_size=8, grid_side=4, grid_hash_size=2, patch_side=4)
+
+
+PREFIX = "pixkin"
+
+
+def configured(spark: SparkSession | None = None, options: Mapping[str, object] | None = None, environ: Mapping[str, str] | None = None, base: ScoringConfig = ScoringConfig()) -> ScoringConfig:
+    """base with what is set elsewhere: options first, then the session's `pixkin.<field>`, then the environment's
+    PIXKIN_<FIELD>.  Only single numbers can be set; an unknown option or a value that is no number is an error."""
+    environ, options = os.environ if environ is None else environ, dict(options or {})
+    kinds = {f.name: type(getattr(base, f.name)) for f in fields(base) if isinstance(getattr(base, f.name), int | float)}
+    if unknown := set(options) - set(kinds):
+        raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
+    found = {}
+    for name, kind in kinds.items():
+        conf = spark.conf.get(f"{PREFIX}.{name}", None) if spark else None
+        value = next((v for v in (options.get(name), conf, environ.get(f"{PREFIX}_{name}".upper())) if v is not None), None)
+        if value is not None:
+            try:
+                found[name] = kind(value)
+            except (TypeError, ValueError):
+                raise ValueError(f"{name} has to be a number, not {value!r}") from None
+    return ScoringConfig(**{**base.__dict__, **found})

@@ -75,7 +75,7 @@ def analyze_pairs(pairs: DataFrame, images: DataFrame, features: DataFrame, conf
     row = row.withColumns({f"b_{c}": F.when(F.col("applied"), F.col(f"w_{c}")).otherwise(F.col(f"b_{c}")) for c in wide}).drop(*[f"w_{c}" for c in wide])
     row = row.withColumn("cells", S.grid_cells(a("grid"), b("grid"), config))
     skipped = (F.lit(not full) & (F.col("hash_ensemble") <= config.short_low)) | F.lit(embed is None)
-    patch = F.lit(0.0) if embed is None else F.when(skipped, 0.0).otherwise(patch_score(a("patches"), b("patches"), config.patch_side))
+    patch = F.lit(0.0) if embed is None else patch_score(F.when(~skipped, a("patches")), F.when(~skipped, b("patches")), config.patch_side)
     cells = F.col("cells")
     row = row.withColumns({
         "dct_spectrum": S.dct_spectrum(a("dct_bands"), b("dct_bands")),

@@ -500,7 +500,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rasters(rows: DataFrame, turn: float = 0.0) -> DataFrame:
-    """An image from each vector: smooth shades between its components, BGR."""
+    """An image from each vector that can be searched: smooth shades between its components, BGR."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -515,7 +515,7 @@ def _rasters(rows: DataFrame, turn: float = 0.0) -> DataFrame:
                 out.append((str(row.vec_id), data, 160, 120, 3))
             yield pd.DataFrame(out, columns=["id", "data", "width", "height", "nChannels"])
 
-    return rows.select("vec_id", "embedding").mapInPandas(draw, "id string, data binary, width int, height int, nChannels int")
+    return rows.filter(usable("embedding", 64)).select("vec_id", "embedding").mapInPandas(draw, "id string, data binary, width int, height int, nChannels int")
 
 
 @query()

@@ -65,7 +65,7 @@ def check_request(body: str) -> tuple[str, list[str], str | None]:
     try:
         fields = json.loads(body)
     except ValueError:
-        raise ServiceError("MISSING_FIELDS", "Request body must be valid JSON") from None
+        raise ServiceError("MISSING_FIELDS", "The body is no JSON") from None
     if not isinstance(fields, dict) or not fields.get("image_url") or fields.get("level_ids") is None:
         raise ServiceError("MISSING_FIELDS")
     url, levels = _url(fields["image_url"]), fields["level_ids"]
@@ -80,10 +80,10 @@ def change_request(body: str, needs_image: bool = True) -> tuple[str | None, str
     try:
         fields = json.loads(body)
     except ValueError:
-        raise ServiceError("MISSING_FIELDS", "Request body must be valid JSON") from None
+        raise ServiceError("MISSING_FIELDS", "The body is no JSON") from None
     doc_id = str(fields.get("doc_id") or "").strip()
     if not doc_id or (needs_image and not fields.get("image_url")):
-        raise ServiceError("MISSING_FIELDS", "Required fields missing: " + ("image_url, doc_id" if needs_image else "doc_id"))
+        raise ServiceError("MISSING_FIELDS", "The request lacks " + ("image_url or doc_id" if needs_image else "doc_id"))
     return (_url(fields["image_url"]) if needs_image else None), doc_id
 
 

@@ -1,7 +1,9 @@
 """Feature rows and fetched images as append-only tables, so that no change rewrites what is there.
 
 Every append has a number that grows with time.  Features are written once a key; a removal is a row
-of its own, which hides what was written before it, until `compact` drops what is hidden.
+of its own, which hides what was written before it.  `compact` writes what is live to a folder of its own,
+with the names of the appended files that it has read: readers take that folder and all other appended
+files, so that what another writer appends meanwhile is never lost.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixkin.operators.features import SCHEMA, decoded
@@ -38,17 +40,31 @@ class FeatureTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _folder(self) -> str:
+    def _compacted(self) -> str | None:
         row = _table(self.spark, f"{self.path}/compacted", "folder string, number long").orderBy(F.desc("number")).first()
-        return row["folder"] if row else "rows"
+        return row["folder"] if row else None
+
+    def _parts(self) -> tuple[DataFrame, DataFrame | None]:
+        """The appended rows that no compaction has taken in, with their file, and the last compaction's rows."""
+        schema, folder = f"{SCHEMA}, number long", self._compacted()
+        rows = _table(self.spark, f"{self.path}/rows", schema)
+        rows = rows.select("*", F.col("_metadata.file_name").alias("file")) if rows.inputFiles() else rows.withColumn("file", F.lit(""))
+        if folder is None:
+            return rows, None
+        taken = _table(self.spark, f"{self.path}/{folder}-files", "file string")
+        return rows.join(F.broadcast(taken), "file", "left_anti"), _table(self.spark, f"{self.path}/{folder}", schema)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        gone = _table(self.spark, f"{self.path}/removed", REMOVED).groupBy("emb_key").agg(F.max("removed_at").alias("removed_at"))
+        return rows.join(gone, "emb_key", "left").filter("removed_at IS NULL OR removed_at < number").drop("removed_at")
 
     def read(self, columns: list[str] | None = None) -> DataFrame:
         """emb_key and the columns asked for; the scan reads no others."""
         columns = [c for c in columns or self.COLUMNS if c != "emb_key"]
-        rows = _table(self.spark, f"{self.path}/{self._folder()}", f"{SCHEMA}, number long").select("emb_key", *columns, "number")
-        gone = _table(self.spark, f"{self.path}/removed", REMOVED).groupBy("emb_key").agg(F.max("removed_at").alias("removed_at"))
-        live = rows.join(gone, "emb_key", "left").filter("removed_at IS NULL OR removed_at < number")
-        return live.select("emb_key", *columns)
+        new, old = self._parts()
+        rows = new.select("emb_key", *columns, "number")
+        rows = rows if old is None else rows.unionByName(old.select("emb_key", *columns, "number"))
+        return self._live(rows).select("emb_key", *columns)
 
     def add(self, features: DataFrame) -> None:
         """Appends the keys that aren't there; of rows with one key, that of the smallest id.  Rows
@@ -56,7 +72,7 @@ class FeatureTable:
         good = features.filter("error IS NULL AND emb_key IS NOT NULL").select(*self.COLUMNS)
         first = good.groupBy("emb_key").agg(F.min_by(F.struct(*[c for c in self.COLUMNS if c != "emb_key"]), "id").alias("row"))
         new = first.join(self.read(["id"]).select("emb_key"), "emb_key", "left_anti").select("emb_key", "row.*")
-        new.select(*self.COLUMNS, F.lit(time.time_ns()).alias("number")).write.mode("append").parquet(f"{self.path}/{self._folder()}")
+        new.select(*self.COLUMNS, F.lit(time.time_ns()).alias("number")).write.mode("append").parquet(f"{self.path}/rows")
 
     def remove_unreferenced(self, entries: DataFrame, keys: DataFrame | None = None) -> None:
         """Hides the keys, or those of `keys` (emb_key), that no entry (emb_key) refers to."""
@@ -68,7 +84,16 @@ class FeatureTable:
     def compact(self) -> None:
         """Writes the live rows to a folder of their own, which readers take from then on."""
         folder, number = f"rows-{uuid.uuid4().hex}", time.time_ns()
-        self.read().withColumn("number", F.lit(number)).write.parquet(f"{self.path}/{folder}")
+        new, old = self._parts()
+        files = new.select("file").distinct()
+        before = self._compacted()
+        if before is not None:
+            files = files.unionByName(_table(self.spark, f"{self.path}/{before}-files", "file string"))
+        files.coalesce(1).write.parquet(f"{self.path}/{folder}-files")  # first: only what is listed is taken in
+        taken = _table(self.spark, f"{self.path}/{folder}-files", "file string")
+        rows = new.join(F.broadcast(taken), "file", "left_semi").drop("file")
+        rows = rows if old is None else rows.unionByName(old)
+        self._live(rows).withColumn("number", F.lit(number)).write.parquet(f"{self.path}/{folder}")
         self.spark.createDataFrame([(folder, number)], "folder string, number long").coalesce(1).write.mode("append").parquet(f"{self.path}/compacted")
 
 
@@ -79,15 +104,17 @@ class ImageCache:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def read(self) -> DataFrame:
-        last = Window.partitionBy("id").orderBy(F.desc("number"))
+    def read(self, ids: DataFrame | None = None) -> DataFrame:
+        """(id, content) of all or of those ids (id).  The last row of an id is found without its bytes."""
         rows = _table(self.spark, self.path, CACHE)
-        return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("id", "content")
+        rows = rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
+        last = rows.groupBy("id").agg(F.max("number").alias("number"))
+        return rows.join(last, ["id", "number"], "left_semi").dropDuplicates(["id"]).select("id", "content")
 
     def images(self, urls: DataFrame, get: Callable, decode: Callable, partitions: int = 100) -> DataFrame:
         """urls: (id, url).  Each id with its decoded image, the columns of `decoded`; data is null where
         there is none."""
-        held = decoded(self.read().join(urls.select("id"), "id", "left_semi"), decode).filter("data IS NOT NULL").select("id")
+        held = decoded(self.read(urls), decode).filter("data IS NOT NULL").select("id")
         found = fetched(urls.join(held, "id", "left_anti"), get, partitions).filter("content IS NOT NULL")
         # written first: what is fetched is fetched once
         fresh = f"{self.path}-fetched-{uuid.uuid4().hex}"
@@ -95,4 +122,4 @@ class ImageCache:
         good = decoded(self.spark.read.schema("id string, content binary").parquet(fresh), decode).filter(usable(F.col("width"), F.col("height"))).select("id")
         rows = self.spark.read.schema("id string, content binary").parquet(fresh).join(good, "id", "left_semi")
         rows.withColumn("number", F.lit(time.time_ns())).write.mode("append").parquet(self.path)
-        return decoded(urls.select("id").join(self.read(), "id", "left"), decode)
+        return decoded(urls.select("id").join(self.read(urls), "id", "left"), decode)

@@ -67,10 +67,16 @@ class IndexStore:
         order = F.struct("number", F.col("status") == "failed")
         return rows.groupBy("song_id").agg(F.max_by(F.struct("status", *columns), order).alias("row")).select("song_id", "row.*")
 
+    def ids(self) -> DataFrame:
+        """song_id of every song of the index, and the number of the change that its row is in; vectors aren't
+        read.  A later failure doesn't take a song out."""
+        rows = self._changes().filter("status <> 'failed'").select("song_id", "status", "number")
+        return self._last(rows, "number").filter("status = 'done'").select("song_id", "number")
+
     def entries(self) -> DataFrame:
-        """A row a song of the index; a later failure doesn't take it out."""
-        rows = self._changes().filter("status <> 'failed'")
-        return self._last(rows, *self.COLUMNS[1:]).filter("status = 'done'").drop("status")
+        """A row a song of the index.  Which row counts is decided on ids alone, then their rows are read."""
+        rows = self._changes().filter("status = 'done'")
+        return rows.join(self.ids(), ["song_id", "number"], "left_semi").select(*self.COLUMNS)
 
     def progress(self) -> DataFrame:
         """Songs seen, failed ones too; vectors aren't read."""
@@ -90,7 +96,12 @@ class IndexStore:
         return True
 
     def _number(self) -> int:
-        return max((n for n, _ in self._log()), default=0)
+        """The last number claimed, also by a writer that was lost before it filled its marker: readers skip
+        that one, and the next writer goes on after it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
     def _commit(self, rows: DataFrame, base: int | None = None) -> None:
         """base: the number that rows depend on, if they do."""
@@ -140,7 +151,7 @@ class IndexStore:
     def add(self, rows: DataFrame) -> None:
         for _ in range(TRIES):
             base = self._number()
-            if (found := rows.join(self.entries(), "song_id", "left_semi").select("song_id").first()) is not None:
+            if (found := rows.join(self.ids(), "song_id", "left_semi").select("song_id").first()) is not None:
                 raise SongExists(found["song_id"])
             try:
                 return self.apply(rows, base=base)
@@ -152,7 +163,7 @@ class IndexStore:
         """ids: (song_id).  How many were removed and how many were unknown; nothing is written if none
         was removed.  Features are kept by content elsewhere and go only when nothing refers to them."""
         ids = self.scratch(ids.select("song_id").distinct())
-        known = self.scratch(ids.join(self.entries(), "song_id", "left_semi"))
+        known = self.scratch(ids.join(self.ids(), "song_id", "left_semi"))
         removed = known.count()
         if removed:
             self._commit(self._named(known, "deleted"))
@@ -167,5 +178,5 @@ class IndexStore:
         return features.select("emb_key").join(self.entries().select("emb_key"), "emb_key", "left_anti")
 
     def info(self) -> DataFrame:
-        entries, progress = self.entries(), self.progress()
+        entries, progress = self.ids(), self.progress()
         return entries.agg(F.count("*").alias("vectors")).join(progress.agg(F.count("*").alias("processed"))).withColumn("path", F.lit(self.path))
