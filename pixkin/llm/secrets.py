@@ -3,14 +3,16 @@
 Every version of a document is addressed by the SHA-256 of its text.  The ledger holds which blob
 was scanned with which version of the rules, and what was found.  An update scans only unseen pairs
 of blob and rule version, once a blob however many paths hold it, and findings are joined back to
-all paths.  Texts that one path holds are scanned where they are read; only those of several paths, or
-of blobs seen before, are shuffled, and so are only paths whose blob has findings.  Only DataFrame
-functions are used.
+all paths.  What is new is decided on digests alone.  New texts that one path holds are scanned where they
+are read; only new ones of several paths are shuffled, and so are only paths whose blob has findings.
+Texts seen before aren't moved, but for the few that bitmaps of the digests can't tell from new ones (from
+about 100 million digests on these get many).  Only DataFrame functions are used.
 
 Defined results: a null text counts as empty and has no findings; a null path is reported like any
 other; repeated rows are reported once each; an empty table gives no rows; very long texts are scanned
 whole; other columns are ignored by `reports`, and kept as they are, whatever their names, by
-`without_secrets`.  Spans count code points and exclude their end.  A private key's span is the whole key; OP3_SQL gives its first line only.
+`without_secrets`.  Spans count code points and exclude their end.  A private key's
+span is the whole key.
 """
 
 from __future__ import annotations
@@ -103,15 +105,17 @@ class BlobLedger:
     def update(self, versions: DataFrame) -> None:
         """versions: text, any other columns.  Scans the blobs that these rules haven't seen."""
         blobs, seen = versions.select(digest().alias("sha256"), "text"), self.scanned().select("sha256")
-        counts = written(blobs.groupBy("sha256").agg(F.count("*").alias("paths")), "blobs")
-        known = counts.filter("paths > 1").select("sha256").unionByName(seen)
+        counts = blobs.groupBy("sha256").agg(F.count("*").alias("paths"))
+        new = written(counts.join(seen, "sha256", "left_anti"), "new-blobs")
+        known = new.filter("paths > 1").select("sha256").unionByName(seen)
         marked = maybe_among(blobs.filter("text <> ''"), F.col("sha256"), known, "known")
         # first() of equal texts; a text that is copied a lot is summed up in each task first
-        several = marked.filter("known").groupBy("sha256").agg(F.first("text").alias("text")).join(seen, "sha256", "left_anti")
+        several = maybe_among(marked.filter("known"), F.col("sha256"), new.select("sha256"), "new").filter("new")
+        several = several.groupBy("sha256").agg(F.first("text").alias("text")).join(new, "sha256", "left_semi")
         mark = F.lit(self.version).alias("rules")
         hits = scan(marked.filter("NOT known").drop("known").unionByName(several), self.rules)
         hits.select("sha256", mark, "kind", "start", "end").write.mode("append").parquet(f"{self.path}/found")
-        counts.select("sha256").join(seen, "sha256", "left_anti").select("sha256", mark).write.mode("append").parquet(f"{self.path}/scanned")
+        new.select("sha256", mark).write.mode("append").parquet(f"{self.path}/scanned")
 
 
 def span_text(spans: Column, kinds: list[str]) -> Column:
@@ -182,17 +186,32 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 k AS (SELECT * FROM (VALUES
   (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
   (1, 'access', '(AKIA[A-Z0-9]+)', 20), (2, 'hex', '([0-9a-f]{24,})', 24),
-  (3, 'private_key', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', 1), (4, 'github', '(gh[pousr]_[A-Za-z0-9]{36,})', 40),
+  (3, 'private_key', '@KEY@', 1), (4, 'github', '(gh[pousr]_[A-Za-z0-9]{36,})', 40),
   (5, 'slack', '(xox[abprs]-[A-Za-z0-9-]{10,})', 15)) AS k(kind, name, pattern, least)),
 m AS (
   SELECT r, 0 AS kind, unnest(regexp_extract_all(text, p0)) AS hit, unnest(regexp_extract_all(text, p0, 1)) AS val, unnest(string_split_regex(text, p0)) AS gap, generate_subscripts(string_split_regex(text, p0), 1) AS i FROM t, (SELECT pattern AS p0 FROM k WHERE kind = 0) WHERE regexp_matches(text, p0)
 @MORE@),
 s AS (SELECT r, m.kind, name, least, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY r, m.kind ORDER BY i) AS stop FROM m JOIN k USING (kind) WHERE hit IS NOT NULL),
-f AS (SELECT r, kind, name, stop - length(hit) AS start, stop, name || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span FROM s WHERE length(val) >= least),
+f AS (SELECT r, kind, stop - length(hit) AS start, name || ':' || (stop - length(hit))::BIGINT || ':' || (CASE WHEN kind = 3 THEN stop - length(hit) + length(val) ELSE stop END)::BIGINT AS span FROM s WHERE length(val) >= least),
 g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
    sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256, string_agg(span, ',' ORDER BY start, kind) AS spans FROM f GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN g USING (r)
 """
-OP3_SQL = OP3_SQL.replace("@MORE@", "".join(OP3_SQL.split("m AS (\n")[1].split("\n@MORE@")[0].replace("SELECT r, 0 AS", f"  UNION ALL SELECT r, {i} AS").replace("kind = 0)", f"kind = {i})") + "\n" for i in range(1, len(RULES))))
+
+
+def _sql_of_kind(kind: int) -> str:
+    """The matches of a kind, made from those of the first.  A private key is one of four groups."""
+    out = OP3_SQL.split("m AS (\n")[1].split("\n@MORE@")[0].replace("SELECT r, 0 AS", f"  UNION ALL SELECT r, {kind} AS").replace("kind = 0)", f"kind = {kind})")
+    one = "unnest(regexp_extract_all(text, p0, 1)) AS val"
+    groups = ", ".join(f"regexp_extract_all(text, p0, {i})" for i in range(1, 5))
+    return out.replace(one, f"unnest(list_transform(list_zip({groups}), lambda g: concat(g[1], g[2], g[3], g[4]))) AS val" if kind == 3 else one)
+
+
+#: The same keys for engines without possessive repeats and lookahead: what follows a last short line is matched
+#: outside the group.
+_HEAD, _B, _GAP = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "[A-Za-z0-9+/]", r"""(?:[\x09-\x0d >#*"'',]|\\[nr])*"""
+_LONG = rf"(?:{_GAP}(?:{_B}{{16,}}={{0,2}}|(?:Proc-Type|DEK-Info):[^\n]*))+"
+_KEY = rf"""({_HEAD}[^-]*(?:-{{1,4}}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----)|({_HEAD}{_LONG}{_GAP}{_B}{{1,15}}={{0,2}})[ \t\r]*(?:\n|\z|\\|["''])|({_HEAD}{_LONG})|({_HEAD})"""
+OP3_SQL = OP3_SQL.replace("@MORE@", "\n".join(_sql_of_kind(i) for i in range(1, len(RULES)))).replace("@KEY@", _KEY)

@@ -49,6 +49,15 @@ def test_private_keys(spark):
     clean = {r.doc_id: r.text for r in secrets.without_secrets(docs, ledger).collect()}
     assert clean == {i: want for i, (_, want) in enumerate(texts)}
     first = texts[0][0]
+    # and the SQL finds the same
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame([(i, t) for i, (t, _) in enumerate(texts)], columns=["doc_id", "text"])
+    sql = duckdb.connect()
+    sql.register("documents", documents)
+    found = secrets.reports(docs, ledger)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(sql.sql(secrets.OP3_SQL).project(", ".join(found.columns)).fetchall())
     spans = {r.doc_id: r.spans for r in secrets.reports(docs, ledger).collect()}
     assert spans[0] == f"private_key:{first.index(begin)}:{first.index(end) + len(end)}"
 
@@ -100,3 +109,33 @@ def test_literals_of_added_tokens(spark):
     plain = Tokenizer.from_file(packing.default_tokenizer())
     assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, packing.END_TOKEN] for i, t in enumerate(texts)}
     assert 50256 in got[0]
+
+
+def test_ledger_moves_only_what_is_new(spark):
+    texts = [f"text {i} token: {'ab12' * 3}{i % 40}" for i in range(120)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    ledger = secrets.new_ledger(spark)
+    want = None
+    for more in (docs, docs, docs.unionByName(spark.createDataFrame([(900, "new AKIA" + "Z9" * 10), (901, texts[0])], docs.schema))):
+        ledger.update(more)
+        rows = sorted((tuple(r) for r in secrets.reports(more, ledger).collect()), key=str)
+        want = rows if want is None else want
+        assert [r for r in rows if r[0] < 900] == want
+    assert ledger.scanned().count() == len({t or "" for t in texts}) + 1 and ledger.findings().count() == 121
+    # other rules scan all blobs anew, and only they are reported
+    other = secrets.BlobLedger(spark, ledger.path, {**secrets.RULES, "access": ("NONE", 0, 1)}, version="3")
+    assert other.scanned().count() == 0
+    other.update(docs)
+    assert other.scanned().count() == len({t or "" for t in texts}) and ledger.findings().count() == 121
+
+
+def test_assign_keeps_a_column_of_its_name(spark):
+    import pytest
+
+    from pixkin.llm import sharding
+
+    rows = spark.createDataFrame([(1, 9)], "doc_id long, Shard int")
+    with pytest.raises(ValueError, match="shard"):
+        sharding.assign(rows, sharding.layout(4))
+    got = sharding.assign(rows, sharding.layout(4), name="own").first()
+    assert got["Shard"] == 9 and 0 <= got["own"] < 4
