@@ -70,7 +70,9 @@ def descend(node: Node, key: Column) -> Column:
 
 
 def assign(df: DataFrame, tree: Node, key: str = "doc_id", name: str = "shard") -> DataFrame:
-    """Adds the shard of each row."""
+    """Adds the shard of each row; all other columns are kept, so `name` must not be one of them."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name} already: give another name")
     return df.withColumn(name, descend(tree, F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("int"))
 
 
