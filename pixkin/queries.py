@@ -26,7 +26,7 @@ from pixkin.operators.vector_proxy import vector_features
 from pixkin.plans import batch, duplicates, ingest, live
 from pixkin.service import DESCRIPTIONS
 from pixkin.sources.feature_table import FeatureTable, ImageCache
-from pixkin.sources.scratch import shared_folder
+from pixkin.sources.scratch import shared_folder, written
 from pixkin.sources.store import IndexStore
 from pixkin.streaming.feed import follow, latest_changes
 from pixkin.streaming.progress import Progress
@@ -50,7 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_features(table(spark, sf_dir, "embeddings"))
+    """A table, as the joins of a pair's sides read it several times."""
+    return written(vector_features(table(spark, sf_dir, "embeddings")), "features")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +329,7 @@ d AS (SELECT a.id AS id_a, b.id AS id_b, list_sum(list_transform(range(16), lamb
 SELECT * FROM d WHERE apart <= 2""")
 def hash_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct block hashes (16 bits) that differ in at most two, each by the first row that has it."""
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.getbit(F.get("whash", F.lit(0)), i * 4))
+    blocks = transform.let(F.get("whash", F.lit(0)), lambda w: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.getbit(w, i * 4)))
     classes = radius.signature_classes(features(spark, sf_dir).select("id", packed(blocks).alias("signature")))
     return radius.within_radius(classes, 16, 2)
 
