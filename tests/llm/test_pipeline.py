@@ -143,3 +143,10 @@ def test_planted_accuracies(spark):
     judged = patterns.select("n", "good", quality._posterior(prior, table).alias("p")).collect()
     right = sum(r.good if r.p >= 0.5 else r.n - r.good for r in judged)
     assert abs(prior - 0.7) < 0.05 and right / 6000 > 0.95
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], KIND)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, ""), "stage")
+        assert docs.count() == 0, name
