@@ -12,12 +12,12 @@ repeated rows are packed once each; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from struct import pack
 
 import numpy as np
@@ -33,58 +33,74 @@ END_TOKEN = 2
 #: Groups that the pieces of one length are numbered in, and pieces a group from which there are more.
 SALTS, PIECES_A_SALT = 256, 200_000
 #: Entries of a worker's table of parts, after which it starts anew, keeping what the new one asks for.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 
 
 @cache
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """Parts of a text whose ends are ends of pre-tokens, and what makes a text too odd for that:
+def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Runs of letters, parts of a text whose ends are ends of pre-tokens, and what makes a text too odd for that:
     apostrophes (contractions), and characters that Python's classes and Unicode's L and N, or
-    white space, disagree about.  Both know the first 65,536 characters, which makes them fast."""
+    white space, disagree about.  All know the first 65,536 characters, which makes them fast."""
     all_ = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
-    letter = "[" + "".join(re.escape(c) for c in all_ if c.isalpha()) + "]"
+    letters = "".join(re.escape(c) for c in all_ if c.isalpha())
+    letter, other = f"[{letters}]", rf"[^\s{letters}]"
     odd = "".join(re.escape(c) for c in all_ if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    part = re.compile(rf" ?{letter}+|\s(?={letter})|(?:(?! ?{letter}|\s{letter}).)+", re.DOTALL)
-    return part, re.compile("['\x1c-\x1f" + odd + "]")
+    part = re.compile(rf" ?{letter}+|\s(?={letter})|{other}+(?=\s?{letter})|(?:(?! ?{letter}|\s{letter}).)+", re.DOTALL)
+    return re.compile(f" ?{letter}+"), part, re.compile("['\x1c-\x1f" + odd + "]")
 
 
-class PartIds:
+@cache
+def _byte_letters() -> dict[int, int]:
+    """The character that byte-level models write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class PartIds(dict):
     """Token ids of texts, as the bytes of little-endian unsigned 32-bit numbers.  Texts are cut into
     runs of letters (with a space before) and what lies between, which is where pre-tokens end; the
-    ids of each part are looked up, and new parts go to the tokenizer in batches.  Texts that hold an
-    added token's literal go there whole."""
+    ids of each part are looked up here.  New runs of letters, which are one pre-token each, go straight to the
+    tokenizer's model, other new parts to the tokenizer.  Texts that hold an added token's literal go there whole,
+    and so do all texts if it isn't a plain byte-level one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.part, self.odd = _patterns()
+        self.run, self.part, self.odd = _patterns()
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+        self.plain = plain and not spec["normalizer"] and not spec["truncation"] and all(re.search(r"[^\w\s]", x) for x in self.added)
 
     def parts(self, text: str) -> list[str]:
         beyond = len(text.encode("utf-16-le")) > 2 * len(text)  # the first 65,536 characters
-        whole = beyond or self.odd.search(text) or any(x in text for x in self.added)
+        whole = not self.plain or beyond or self.odd.search(text) or any(x in text for x in self.added)
         return [text] if whole else self.part.findall(text)
 
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            if self.plain and self.run.fullmatch(part):
+                shown = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(_byte_letters())
+                found = [x.id for x in self.model.tokenize(shown)]
+            else:
+                found = self.tokenizer.encode(part, add_special_tokens=False).ids
+            ids = pack(f"<{len(found)}I", *found)
+        if len(part) <= 64:  # whole texts aren't worth keeping
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [self.parts(t) if t else [] for t in texts]
-        every = set(chain.from_iterable(parts))
-        if len(self.known) + len(every) > CACHE_ENTRIES:
-            self.known, self.old = {}, self.known
-        new = every - self.known.keys()
-        again = new & self.old.keys()
-        self.known.update((x, self.old[x]) for x in again)
-        new = list(new - again)
-        for x, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = pack(f"<{len(got.ids)}I", *got.ids)
-        get = self.known.__getitem__
-        for x in parts:
-            yield b"".join(map(get, x))
-        for x in new:  # whole texts aren't worth keeping
-            if len(x) > 64:
-                del self.known[x]
+        for text in texts:
+            yield b"".join(map(self.__getitem__, self.parts(text))) if text else b""
 
 
 @cache
