@@ -11,7 +11,8 @@ Texts are lower-cased, split into pieces at punctuation and line ends, and piece
    where matches overlap.  The automaton counts them in the shard, in those stretches of text where all
    pairs may reach the least count: candidates lie in no others.  Words, which the scores need, are counted
    beside it.
-3. The counts of all shards are summed, and only then come the least count, the scores and the ranks.
+3. The counts of all shards are summed, first within a task, and only then come the least count, the scores and
+   the ranks.
 
 An automaton holds what occurs in its shard, so it doesn't grow with the corpus.  The sketches have 24
 bytes of text a cell up to 2 ** MOST_CELLS cells a row; from about 20 GB of text on they let through more
@@ -50,6 +51,8 @@ BYTES_A_WORD, RUNS_A_CELL = 6, 8
 HASHED_BYTES, SHARD_BYTES = 1 << 18, 4 << 20
 #: Bytes of text that one task counts, if there is as much, and cells that a task gathers at a time.
 COUNT_BYTES, FLUSH = 64 << 20, 1 << 21
+#: Bytes of counts that a task holds to sum those of its shards.
+HELD_BYTES = 32 << 20
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -223,19 +226,44 @@ def _counts(words: Words, plain: bytes, short: Sketch, longer: Sketch, exact: bo
     return out, many
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """phrase, f: a row a phrase."""
+    return pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("f", "sum")]).select(["phrase", "f_sum"]).rename_columns(["phrase", "f"])
+
+
+def partial_counts(batches: Iterator[pa.RecordBatch], short: Sketch, longer: Sketch) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, f: the counts of a task's shards, summed as long as they fit in HELD_BYTES, as most phrases
+    come again in every shard."""
+    held: dict[str, list[pa.Table]] = {}
+    size = 0
+
+    def handed() -> Iterator[pa.RecordBatch]:
+        for lang, tables in held.items():
+            for part in _summed(tables).to_batches(10_000):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * part.num_rows), *part.columns], names=["lang", "phrase", "f"])
+
+    for lang, plain in shards(batches, SHARD_BYTES):
+        words = Words(lang, plain)
+        phrases, many = _counts(words, plain, short, longer)
+        own = pa.table({"phrase": pa.array(["", *phrases]), "f": pa.array([len(words.hash), *many], pa.int64())})
+        held.setdefault(lang, []).append(own)
+        size += own.nbytes
+        if size >= HELD_BYTES:
+            held = {k: [_summed(v)] for k, v in held.items()}
+            size = sum(v[0].nbytes for v in held.values())
+            if size > HELD_BYTES // 2:
+                yield from handed()
+                held, size = {}, 0
+    yield from handed()
+
+
 def counted(docs: DataFrame, short: Sketch, longer: Sketch, least: int, tasks: int, scratch: Scratch) -> DataFrame:
     """In so many tasks at most, per language and candidate that reaches the least count this count, and with an empty
     phrase the number of words."""
     shared = docs.sparkSession.sparkContext.broadcast((short, longer))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, plain in shards(batches, SHARD_BYTES):
-            words = Words(lang, plain)
-            phrases, many = _counts(words, plain, *shared.value)
-            phrases, many = ["", *phrases], [len(words.hash), *many]
-            for at in range(0, len(phrases), 10_000):
-                part = phrases[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(many[at : at + 10_000], pa.int64())], names=["lang", "phrase", "f"])
+        yield from partial_counts(batches, *shared.value)
 
     found = docs.coalesce(tasks).mapInArrow(scan, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     found = scratch.table(found.filter((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
