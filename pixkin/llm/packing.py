@@ -32,7 +32,7 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: Groups that the pieces of one length are numbered in, and pieces a group from which there are more.
 SALTS, PIECES_A_SALT = 256, 200_000
-#: Entries of a worker's table of parts, after which it starts anew, keeping what the new one asks for.
+#: Entries of a task's table of parts, after which it starts anew, keeping what the new one asks for.
 CACHE_ENTRIES = 500_000
 
 
@@ -102,10 +102,17 @@ class PartIds(dict):
         for text in texts:
             yield b"".join(map(self.__getitem__, self.parts(text))) if text else b""
 
+    def forget(self) -> None:
+        """Gives the memory of the table and of Arrow's batches back: a worker lives on after its task, beside those of
+        other operators."""
+        self.clear()
+        self.old = {}
+        pa.default_memory_pool().release_unused()
+
 
 @cache
 def _part_ids(path: str) -> PartIds:
-    """One table a worker, for all its tasks; the tokenizer starts no threads beside them."""
+    """One tokenizer a worker, for all its tasks, which leave its table empty; it starts no threads beside them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return PartIds(path)
 
@@ -119,21 +126,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = _part_ids(tokenizer), np.array([end_token], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys, rows = part.column("doc_id"), ([], [], [], [], [])
-                for i, ids in enumerate(ids_of([t or "" for t in part.column("text").to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        own = ids[4 * a : 4 * b]
-                        for column, value in zip(rows, (i, k, a, b - a, zlib.crc32(own) if digest else np.frombuffer(own, "<i4")), strict=True):
-                            column.append(value)
-                take, piece, start, length, tail = rows
-                tail = pa.array(tail, pa.int64()) if digest else pa.array(tail, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), tail], names=["doc_id", "piece", "start", "length", last.name])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    keys, rows = part.column("doc_id"), ([], [], [], [], [])
+                    for i, ids in enumerate(ids_of([t or "" for t in part.column("text").to_pylist()])):
+                        ids += end
+                        n = len(ids) // 4
+                        bounds = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                            own = ids[4 * a : 4 * b]
+                            for column, value in zip(rows, (i, k, a, b - a, zlib.crc32(own) if digest else np.frombuffer(own, "<i4")), strict=True):
+                                column.append(value)
+                    take, piece, start, length, tail = rows
+                    tail = pa.array(tail, pa.int64()) if digest else pa.array(tail, pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), tail], names=["doc_id", "piece", "start", "length", last.name])
+        finally:
+            ids_of.forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

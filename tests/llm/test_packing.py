@@ -54,3 +54,20 @@ def test_other_tokenizers(texts, tmp_path):
         json.dump(spec | change, open(path, "w", encoding="utf-8"))
         some = [*texts[:100], "The same, the Same."]
         assert ids_of(packing.PartIds(path), some) == plain(path, some)
+
+
+def test_a_task_leaves_no_table_behind(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:200])], "doc_id long, text string").repartition(3)
+    pieces = packing.token_pieces(docs, PATH).sort("doc_id", "piece").collect()
+    assert [r["ids"][:-1] for r in pieces if r["piece"] == 0] == plain(PATH, texts[:200])
+    path = PATH
+
+    def held(batches):
+        import pyarrow as pa
+
+        table = packing._part_ids(path)
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"held": [len(table) + len(table.old)]})
+
+    after = spark.range(8, numPartitions=8).mapInArrow(held, "held long").collect()
+    assert len(after) == 8 and not any(r["held"] for r in after)
