@@ -12,7 +12,8 @@ Texts are lower-cased, split into pieces at punctuation and line ends, and piece
    pairs may reach the least count: candidates lie in no others.  Words, which the scores need, are counted
    beside it.
 3. The counts of all shards are summed, first within a task, and only then come the least count, the scores and
-   the ranks.
+   the ranks.  A task hands on a row for each phrase, so there are as many tasks as cores, not more with more text:
+   the rows grow as the phrases do, until a task can't hold the counts of all of them, and from there on as the text.
 
 An automaton holds what occurs in its shard, so it doesn't grow with the corpus.  The sketches have 24
 bytes of text a cell up to 2 ** MOST_CELLS cells a row; from about 20 GB of text on they let through more
@@ -49,10 +50,10 @@ LEAST_CELLS, MOST_CELLS = 16, 28
 BYTES_A_WORD, RUNS_A_CELL = 6, 8
 #: Bytes of text that are hashed together, and that one automaton is for.
 HASHED_BYTES, SHARD_BYTES = 1 << 18, 4 << 20
-#: Bytes of text that one task counts, if there is as much, and cells that a task gathers at a time.
-COUNT_BYTES, FLUSH = 64 << 20, 1 << 21
+#: Bytes of text that one task counts at most, and cells that a task gathers at a time.
+COUNT_BYTES, FLUSH = 512 << 20, 1 << 21
 #: Bytes of counts that a task holds to sum those of its shards.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 64 << 20
 
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -257,6 +258,11 @@ def partial_counts(batches: Iterator[pa.RecordBatch], short: Sketch, longer: Ske
     yield from handed()
 
 
+def counting_tasks(size: int, cores: int) -> int:
+    """For so many bytes of text: one a core, but none for less than a shard, and more where they would get too long."""
+    return max(1, min(cores, -(-size // SHARD_BYTES)), -(-size // COUNT_BYTES))
+
+
 def counted(docs: DataFrame, short: Sketch, longer: Sketch, least: int, tasks: int, scratch: Scratch) -> DataFrame:
     """In so many tasks at most, per language and candidate that reaches the least count this count, and with an empty
     phrase the number of words."""
@@ -307,7 +313,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, most: int = 2000, sh
     log2 = log2_cells(2 * size / BYTES_A_WORD, RUNS_A_CELL, LEAST_CELLS, MOST_CELLS)
     short = sketched(docs, least, log2)
     longer = sketched(docs, least, log2, short)
-    counts = counted(docs, short, longer, least, max(1, -(-size // COUNT_BYTES)), scratch)
+    counts = counted(docs, short, longer, least, counting_tasks(size, docs.sparkSession.sparkContext.defaultParallelism), scratch)
     out = written(ranked(counts, most, share, scratch), "collocations")
     scratch.drop("phrases", "candidates")
     return out

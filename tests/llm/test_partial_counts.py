@@ -34,3 +34,11 @@ def test_one_row_a_phrase(monkeypatch):
         total[lang, phrase] += f
     assert len(few) > len(want) and total == {k: 2 * f for k, f in want.items()}
     assert list(phrases.partial_counts(iter([]), every, every)) == []
+
+
+def test_tasks_follow_cores_not_the_text():
+    few, many = (phrases.counting_tasks(x << 20, 6) for x in (160, 800))
+    assert few == many == 6  # five times the text, and no more rows a phrase
+    assert [phrases.counting_tasks(x, 6) for x in (0, 1, phrases.SHARD_BYTES, phrases.SHARD_BYTES + 1)] == [1, 1, 1, 2]
+    huge = 100 * 6 * phrases.COUNT_BYTES
+    assert phrases.counting_tasks(huge, 6) == 600  # none gets longer than that

@@ -59,6 +59,15 @@ def test_collocations(spark, rows, monkeypatch):
     assert phrases.collocations(docs.limit(0)).count() == 0
 
 
+def test_counts_of_several_tasks(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 1000)
+    tasks, counted = [], phrases.counted
+    monkeypatch.setattr(phrases, "counted", lambda *a: tasks.append(a[4]) or counted(*a))
+    assert sorted(tuple(r) for r in phrases.collocations(docs, 3).collect()) == brute(rows, 3, 2000)
+    assert tasks == [spark.sparkContext.defaultParallelism]
+
+
 def test_small_shards(spark, rows):
     texts = [t.encode() for t, _ in rows if t]
     for size in (10, 1000):
