@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,23 @@ SCHEMA = (
 )
 
 
+#: Bytes and rows that a task hands on at a time: a batch of small rows can stand for large images.
+HANDED_BYTES, HANDED_ROWS = 8 << 20, 1000
+
+
+def framed(rows: Iterable[dict], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows a bounded few at a time, as soon as they are made."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += sum(len(x) for x in row.values() if isinstance(x, bytes))
+        if held >= HANDED_BYTES or len(out) >= HANDED_ROWS:
+            yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
+            out, held = [], 0
+    if out:
+        yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
+
+
 def pixels(row) -> np.ndarray:
     """RGB of a row of Spark's image source, which stores BGR (or grey, or BGRA)."""
     raw = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
@@ -36,30 +53,33 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
     provider = embed if isinstance(embed, Provider) else None
     embed, schema = (None, f"{SCHEMA}, pixels binary") if provider else (embed, SCHEMA)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         import hashlib
 
-        names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
-            out = []
             for row in pdf.itertuples():
                 done = dict.fromkeys(names) | {"id": row.id, "width": row.width, "height": row.height}
                 try:
                     rgb = I.resized(pixels(row), *config.canonical)
                     grey, n = I.luma(rgb), config.hash_size
                     done |= {h: pack(getattr(I, h)(grey, n)) for h in ("phash", "dhash", "ahash", "whash")}
-                    done |= {"emb_key": hashlib.sha256(rgb.round().astype(np.uint8).tobytes()).hexdigest(), "hash_size": n}
+                    data = rgb.round().astype(np.uint8).tobytes()
+                    done |= {"emb_key": hashlib.sha256(data).hexdigest(), "hash_size": n}
                     done |= {"dct_bands": I.band_energies(grey, config.dct_side), "grid": pack(I.cell_hashes(grey, config.grid_side, config.grid_hash_size))}
                     done |= {"grid_rows": config.grid_side, "grid_cols": config.grid_side, "grid_hash_size": config.grid_hash_size, "n_keypoints": len(I.corners(grey))}
                     if provider is not None:
-                        done["pixels"] = rgb.round().astype(np.uint8).tobytes()
+                        done["pixels"] = data
                     if embed is not None:
                         cls, patches = embed(rgb)
                         done |= {"cls": cls / np.linalg.norm(cls), "patches": (patches / np.linalg.norm(patches, axis=1, keepdims=True)).ravel()}
                 except Exception as e:  # one bad row must not stop the others; it is reported
                     done["error"] = f"{type(e).__name__}: {e}"
-                out.append(done)
-            yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
+                yield done
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return framed(made(batches), names)
 
     rows = images.select("id", "data", "width", "height", "nChannels").mapInPandas(work, schema)
     return with_embeddings(rows, provider, *config.canonical) if provider else rows
@@ -96,9 +116,8 @@ def align_pairs(pairs: DataFrame, config: ScoringConfig = ScoringConfig(), warp:
     was as its reason.  warp: adds b as seen from a, as columns of an image."""
     names = [c.split()[0] for c in ALIGNED.split(", ")] + (["data", "width", "height", "nChannels"] if warp else [])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
-            out = []
             for row in pdf.itertuples():
                 done = dict.fromkeys(names) | {"pair_id": row.pair_id, "applied": False}
                 try:
@@ -111,8 +130,10 @@ def align_pairs(pairs: DataFrame, config: ScoringConfig = ScoringConfig(), warp:
                         done |= {"data": seen[:, :, ::-1].tobytes(), "width": width, "height": height, "nChannels": 3}
                 except Exception as e:  # one bad pair must not stop the others; it is reported
                     done |= {"applied": False, "reason": f"error: {type(e).__name__}: {e}"}
-                out.append(done)
-            yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
+                yield done
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return framed(made(batches), names)
 
     return pairs.select("pair_id", "a", "b").mapInPandas(work, ALIGNED + (", data binary, width int, height int, nChannels int" if warp else ""))
 
@@ -133,9 +154,8 @@ def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
     where there is no content or it can't be decoded."""
     names = ["id", "data", "width", "height", "nChannels"]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
-            out = []
             for row in pdf.itertuples():
                 done = dict.fromkeys(names) | {"id": row.id}
                 try:
@@ -143,8 +163,10 @@ def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
                     done |= {"data": np.ascontiguousarray(rgb[:, :, ::-1]).tobytes(), "width": rgb.shape[1], "height": rgb.shape[0], "nChannels": 3}
                 except Exception:  # what can't be decoded counts as failed
                     pass
-                out.append(done)
-            yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
+                yield done
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return framed(made(batches), names)
 
     kind = files.schema["id"].dataType.simpleString()
     return files.select("id", "content").mapInPandas(work, f"id {kind}, data binary, width int, height int, nChannels int")

@@ -503,9 +503,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rasters(rows: DataFrame, turn: float = 0.0) -> DataFrame:
     """An image from each vector that can be searched: smooth shades between its components, BGR."""
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
-            out = []
             for row in pdf.itertuples():
                 small = np.asarray(row.embedding, float).reshape(8, -1)
                 grey = imaging.resized((small - small.min()) / np.ptp(small) * 255, 160, 120)
@@ -513,8 +512,10 @@ def _rasters(rows: DataFrame, turn: float = 0.0) -> DataFrame:
                     c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
                     grey = imaging.warped(grey, np.array([[c, -s, 20], [s, c, -10], [0, 0, 1]]), 160, 120)
                 data = np.repeat(grey.round().astype(np.uint8)[:, :, None], 3, 2).tobytes()
-                out.append((str(row.vec_id), data, 160, 120, 3))
-            yield pd.DataFrame(out, columns=["id", "data", "width", "height", "nChannels"])
+                yield {"id": str(row.vec_id), "data": data, "width": 160, "height": 120, "nChannels": 3}
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return image_features.framed(drawn(batches), ["id", "data", "width", "height", "nChannels"])
 
     return rows.filter(usable("embedding", 64)).select("vec_id", "embedding").mapInPandas(draw, "id string, data binary, width int, height int, nChannels int")
 

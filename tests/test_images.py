@@ -206,3 +206,52 @@ def test_request_image():
     match = {"id_b": "b", "composite": 0.91234, "verdict": "MICRO_VARIANT", "grid_matrix": [[1.0]], "stages_run": ["metadata"], "elapsed_ms": 1.26}
     body = response(match)
     assert body["grid"]["matrix"] == [[1.0]] and body["stages_run"] == ["metadata"] and body["elapsed_ms"] == 1.3 and body["verdict_description"]
+
+
+def test_image_functions_against_plain_ones():
+    """Resizing, cell hashes and corners as their definitions say, sample by sample, on several sizes."""
+
+    def weights(n_in: int, n_out: int) -> np.ndarray:
+        stretch = max(n_in / n_out, 1.0)
+        x = (np.arange(n_in)[None] + 0.5 - (np.arange(n_out)[:, None] + 0.5) * n_in / n_out) / stretch
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        return w / w.sum(1, keepdims=True)
+
+    def resized(x: np.ndarray, width: int, height: int) -> np.ndarray:
+        return np.einsum("hi,wj,ijc->hwc", weights(x.shape[0], height), weights(x.shape[1], width), x.astype(float), optimize=True).clip(0, 255)
+
+    def corners(grey: np.ndarray) -> set:
+        gy, gx = np.gradient(grey)
+        near = lambda a, y, x: a[y - 2 : y + 3, x - 2 : x + 3].mean()
+        strength = np.zeros(grey.shape)
+        for y in range(16, grey.shape[0] - 16):
+            for x in range(16, grey.shape[1] - 16):
+                m = np.array([[near(gx * gx, y, x), near(gx * gy, y, x)], [0, near(gy * gy, y, x)]])
+                strength[y, x] = np.linalg.eigvalsh(m, UPLO="U")[0]
+        least = max(strength.max() * 0.01, 1e-6)
+        return {(x, y) for y, x in zip(*np.nonzero(strength > least), strict=True) if strength[y, x] >= strength[y - 1 : y + 2, x - 1 : x + 2].max()}
+
+    for seed, (width, height) in enumerate(((70, 90), (97, 61), (32, 40), (20, 90))):
+        rgb = picture(seed, width, height)
+        grey = imaging.luma(rgb)
+        for x in (rgb, np.repeat(rgb[:, :, :1], 3, 2)):
+            assert np.allclose(imaging.resized(x, 111, 45), resized(x, 111, 45)) and imaging.resized(x, 111, 45).shape == (45, 111, 3)
+        assert np.allclose(imaging.resized(grey, 33, 200), resized(grey[:, :, None], 33, 200)[:, :, 0])
+        assert {tuple(p) for p in imaging.corners(grey).astype(int)} == corners(grey)
+        h, w = height // 4, width // 4
+        each = [imaging.phash(grey[i * h : (i + 1) * h, j * w : (j + 1) * w], 4) for i in range(4) for j in range(4)]
+        assert (imaging.cell_hashes(grey, 4, 4) == np.concatenate(each)).all()
+
+
+def test_images_are_handed_on_a_few_at_a_time():
+    from pixkin.operators.features import HANDED_BYTES, framed
+
+    made = []
+    rows = ({"id": i, "data": made.append(i) or b"x" * (HANDED_BYTES // 4), "note": None} for i in range(10))
+    first = next(frames := framed(rows, ["id", "data", "note"]))
+    assert len(made) == len(first) == 4  # the others aren't made yet
+    assert [*first.id, *(i for f in frames for i in f.id)] == list(range(10))
+
+
+def test_weights_are_made_once_a_size():
+    assert imaging._lanczos(45, 32) is imaging._lanczos(45, 32) and imaging.dct_matrix(32) is imaging.dct_matrix(32)
