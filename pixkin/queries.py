@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixkin.config import VECTOR, ScoringConfig
@@ -501,23 +501,27 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rasters(rows: DataFrame, turn: float = 0.0) -> DataFrame:
-    """An image from each vector that can be searched: smooth shades between its components, BGR."""
+    """An image from each vector that can be searched: smooth shades between its components, BGR.  turn: adds its
+    pixels as turned by so many degrees."""
+    names = ["id", "data", "width", "height", "nChannels"] + (["turned"] if turn else [])
+    inked = lambda grey: np.repeat(grey.round().astype(np.uint8)[:, :, None], 3, 2).tobytes()
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
             for row in pdf.itertuples():
                 small = np.asarray(row.embedding, float).reshape(8, -1)
                 grey = imaging.resized((small - small.min()) / np.ptp(small) * 255, 160, 120)
+                done = {"id": row.id, "data": inked(grey), "width": 160, "height": 120, "nChannels": 3}
                 if turn:
                     c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
-                    grey = imaging.warped(grey, np.array([[c, -s, 20], [s, c, -10], [0, 0, 1]]), 160, 120)
-                data = np.repeat(grey.round().astype(np.uint8)[:, :, None], 3, 2).tobytes()
-                yield {"id": str(row.vec_id), "data": data, "width": 160, "height": 120, "nChannels": 3}
+                    done["turned"] = inked(imaging.warped(grey, np.array([[c, -s, 20], [s, c, -10], [0, 0, 1]]), 160, 120))
+                yield done
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return image_features.framed(drawn(batches), ["id", "data", "width", "height", "nChannels"])
+        return image_features.framed(drawn(batches), names)
 
-    return rows.filter(usable("embedding", 64)).select("vec_id", "embedding").mapInPandas(draw, "id string, data binary, width int, height int, nChannels int")
+    rows = rows.filter(usable("embedding", 64)).select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    return rows.mapInPandas(draw, "id string, data binary, width int, height int, nChannels int" + (", turned binary" if turn else ""))
 
 
 @query()
@@ -528,11 +532,10 @@ def image_features_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def warp_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each drawn image against itself turned by 8 degrees."""
-    rows = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
-    image: Column = F.struct("data", "width", "height", "nChannels")
-    one, two = _rasters(rows).select("id", image.alias("a")), _rasters(rows, 8.0).select("id", image.alias("b"))
-    return image_features.align_pairs(one.join(two, "id").select(F.col("id").alias("pair_id"), "a", "b"))
+    """Each drawn image against itself turned by 8 degrees; both are drawn in one place, so pixels aren't joined."""
+    rows = _rasters(table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism), 8.0)
+    image = lambda data: F.struct(F.col(data).alias("data"), "width", "height", "nChannels")
+    return image_features.align_pairs(rows.select(F.col("id").alias("pair_id"), image("data").alias("a"), image("turned").alias("b")))
 
 
 def _embed(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -255,3 +255,29 @@ def test_images_are_handed_on_a_few_at_a_time():
 
 def test_weights_are_made_once_a_size():
     assert imaging._lanczos(45, 32) is imaging._lanczos(45, 32) and imaging.dct_matrix(32) is imaging.dct_matrix(32)
+
+
+def test_warp_align_takes_each_row_once(spark, tmp_path):
+    """Rows of one id aren't crossed, and an unknown id doesn't change how the others are written."""
+    from pixkin.queries import QUERIES
+
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.normal(size=64)]) for i in (1, 2, 2, None)] + [(3, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["warp_align"](spark, str(tmp_path)).collect()
+    assert sorted(str(r.pair_id) for r in got) == ["1", "2", "2", "None"]
+    assert not any(r.reason.startswith("error") for r in got) and any(r.applied and abs(abs(r.rotation) - 8) < 1 for r in got)
+
+
+def test_maps_of_fours_are_those_of_least_squares():
+    draw = np.random.default_rng(3)
+    src = draw.integers(0, 120, (200, 4, 2)).astype(float)
+    dst = src + draw.integers(-9, 10, src.shape)
+    src[::10, 1] = src[::10, 0]  # two in one place
+    for h, a, b in zip(imaging._of_fours(src, dst), src, dst, strict=True):
+        plain = imaging.homography(a, b)
+        assert (plain is None) == (not np.isfinite(h).all()) and (plain is None or np.allclose(h, plain, rtol=1e-5, atol=1e-8))
+    # a shift that most points agree with
+    far = np.where(np.arange(60)[:, None] % 5, src[1:16].reshape(60, 2) + [7, -4], 300.0)
+    h, good = imaging.ransac(src[1:16].reshape(60, 2), far)
+    assert (good == (np.arange(60) % 5 > 0)).all() and np.allclose(h, [[1, 0, 7], [0, 1, -4], [0, 0, 1]], atol=1e-8)
