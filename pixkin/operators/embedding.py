@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.ml.model_cache import ModelCache
 
 Predict = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -28,42 +26,31 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
-def embedding_udf(provider: Provider, width: int, height: int) -> Callable[[Column], Column]:
-    """From a column of RGB bytes to a struct of cls and patches, unit vectors; both are empty for a null image and for
-    one that the model fails on, which is found by trying a failed batch one by one."""
-    load = provider.load
-
-    def make() -> Callable[[np.ndarray], dict]:
-        model = load()
-
-        def one_call(data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-            cls, patches = model(np.stack([np.frombuffer(x, np.uint8).reshape(height, width, 3) for x in data]))
-            return [(_units(np.asarray(c, float)), _units(np.asarray(p, float)).ravel()) for c, p in zip(cls, patches, strict=True)]
-
-        def predict(data: np.ndarray) -> list[dict]:
-            some = [i for i, x in enumerate(data) if x is not None]
-            found: dict[int, tuple] = {}
+def predictor(provider: Provider, key: uuid.UUID) -> Callable[[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray] | None]]:
+    """From images of one size, provider.batch of them at most, to the unit vectors of each; None for one that the model
+    fails on, which is found by trying a failed batch one by one.  The model stays in the worker under the key, where
+    `predict_batch_udf` would keep it; that one isn't used as its pixels would pass through the JVM once more."""
+    model = ModelCache.get(key)
+    if model is None:
+        ModelCache.add(key, model := provider.load())
+
+    def one_call(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        cls, patches = model(np.stack(images))
+        return [(_units(np.asarray(c, float)), _units(np.asarray(p, float)).ravel()) for c, p in zip(cls, patches, strict=True)]
+
+    def predict(images: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        try:
+            found = one_call(images)
+            if len(found) == len(images):
+                return found
+        except Exception:  # one bad image must not stop the others
+            pass
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for x in images:
             try:
-                found = dict(zip(some, one_call([data[i] for i in some]), strict=True)) if some else {}
-            except Exception:  # one bad image must not stop the others
-                for i in some:
-                    try:
-                        found[i] = one_call([data[i]])[0]
-                    except Exception:  # it has no vectors, as its row says
-                        continue
-            none = (np.zeros(0), np.zeros(0))  # predictions are arrays, never null
-            return [dict(zip(("cls", "patches"), found.get(i, none), strict=True)) for i in range(len(data))]
-
-        return predict
-
-    return predict_batch_udf(make, return_type=StructType.fromDDL("cls array<double>, patches array<double>"), batch_size=provider.batch)
-
+                out.append(one_call([x])[0])
+            except Exception:  # it has no vectors, as its row says
+                out.append(None)
+        return out
 
-def with_embeddings(features: DataFrame, provider: Provider, width: int, height: int) -> DataFrame:
-    """features: with pixels (RGB bytes), cls, patches and error.  Fills cls and patches and drops pixels; an image
-    that got no vectors has an error."""
-    own = features.withColumn("_own", embedding_udf(provider, width, height)(F.col("pixels")))
-    none = F.size("_own.cls") == 0
-    lost = F.col("error").isNull() & none
-    out = own.withColumns({**{c: F.when(~none, F.col(f"_own.{c}")) for c in ("cls", "patches")}, "error": F.when(lost, "no embedding").otherwise(F.col("error"))})
-    return out.drop("_own", "pixels")
+    return predict

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pixkin.config import ScoringConfig
 from pixkin.functions import imaging as I
 from pixkin.functions.signatures import pack
-from pixkin.operators.embedding import Provider, with_embeddings
+from pixkin.operators.embedding import Provider, predictor
 
 Embedder = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -50,10 +52,9 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
     """images: (id, data, width, height, nChannels).  One feature row an image, from its canonical
     size; embed gives the global and the patch vectors, image by image or, as a provider, in batches;
     without it they are null.  A row that can't be worked on keeps its id and says why."""
-    provider = embed if isinstance(embed, Provider) else None
-    embed, schema = (None, f"{SCHEMA}, pixels binary") if provider else (embed, SCHEMA)
-
-    names = [c.split()[0] for c in schema.split(", ")]
+    provider, key = embed if isinstance(embed, Provider) else None, uuid.uuid4()
+    embed = None if provider else embed
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         import hashlib
@@ -70,7 +71,7 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
                     done |= {"dct_bands": I.band_energies(grey, config.dct_side), "grid": pack(I.cell_hashes(grey, config.grid_side, config.grid_hash_size))}
                     done |= {"grid_rows": config.grid_side, "grid_cols": config.grid_side, "grid_hash_size": config.grid_hash_size, "n_keypoints": len(I.corners(grey))}
                     if provider is not None:
-                        done["pixels"] = data
+                        done["pixels"] = data  # until the vectors are there
                     if embed is not None:
                         cls, patches = embed(rgb)
                         done |= {"cls": cls / np.linalg.norm(cls), "patches": (patches / np.linalg.norm(patches, axis=1, keepdims=True)).ravel()}
@@ -78,11 +79,20 @@ def extract_features(images: DataFrame, config: ScoringConfig = ScoringConfig(),
                     done["error"] = f"{type(e).__name__}: {e}"
                 yield done
 
+    def embedded(rows: Iterator[dict]) -> Iterator[dict]:
+        predict, (width, height) = predictor(provider, key), config.canonical
+        while some := list(islice(rows, provider.batch)):
+            sound = [x for x in some if x.get("pixels") is not None]
+            found = predict([np.frombuffer(x["pixels"], np.uint8).reshape(height, width, 3) for x in sound]) if sound else []
+            for x, vectors in zip(sound, found, strict=True):
+                x |= {"error": "no embedding"} if vectors is None or not len(vectors[0]) else dict(zip(("cls", "patches"), vectors, strict=True))
+            yield from ({c: x[c] for c in names} for x in some)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return framed(made(batches), names)
+        rows = made(batches)
+        return framed(rows if provider is None else embedded(rows), names)
 
-    rows = images.select("id", "data", "width", "height", "nChannels").mapInPandas(work, schema)
-    return with_embeddings(rows, provider, *config.canonical) if provider else rows
+    return images.select("id", "data", "width", "height", "nChannels").mapInPandas(work, SCHEMA)
 
 
 def _aligned(a: np.ndarray, b: np.ndarray, config: ScoringConfig) -> tuple[dict, np.ndarray | None]:
@@ -149,10 +159,10 @@ def ppm(content: bytes) -> np.ndarray:
     return np.frombuffer(content, np.uint8, offset=head.end()).reshape(int(head[2]), int(head[1]), 3)
 
 
-def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
+def decoded(files: DataFrame, decode: Decoder, keep: bool = False) -> DataFrame:
     """files: (id, content).  (id, data, width, height, nChannels) as of Spark's image source, all null
-    where there is no content or it can't be decoded."""
-    names = ["id", "data", "width", "height", "nChannels"]
+    where there is no content or it can't be decoded.  keep: content in place of data."""
+    names = ["id", "content" if keep else "data", "width", "height", "nChannels"]
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
@@ -160,7 +170,8 @@ def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
                 done = dict.fromkeys(names) | {"id": row.id}
                 try:
                     rgb = decode(bytes(row.content))
-                    done |= {"data": np.ascontiguousarray(rgb[:, :, ::-1]).tobytes(), "width": rgb.shape[1], "height": rgb.shape[0], "nChannels": 3}
+                    done |= {"width": rgb.shape[1], "height": rgb.shape[0], "nChannels": 3}
+                    done |= {"content": bytes(row.content)} if keep else {"data": np.ascontiguousarray(rgb[:, :, ::-1]).tobytes()}
                 except Exception:  # what can't be decoded counts as failed
                     pass
                 yield done
@@ -169,7 +180,7 @@ def decoded(files: DataFrame, decode: Decoder) -> DataFrame:
         return framed(made(batches), names)
 
     kind = files.schema["id"].dataType.simpleString()
-    return files.select("id", "content").mapInPandas(work, f"id {kind}, data binary, width int, height int, nChannels int")
+    return files.select("id", "content").mapInPandas(work, f"id {kind}, {names[1]} binary, width int, height int, nChannels int")
 
 
 def equal_files(files: DataFrame) -> DataFrame:

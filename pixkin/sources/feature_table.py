@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixkin.operators.features import SCHEMA, decoded
-from pixkin.sources.images import fetched, usable
+from pixkin.sources.images import deflated, fetched, inflated, usable
 
 REMOVED = "emb_key string, removed_at long"
 CACHE = "id string, content binary, number long"
@@ -105,21 +105,25 @@ class ImageCache:
         self.spark, self.path = spark, path
 
     def read(self, ids: DataFrame | None = None) -> DataFrame:
-        """(id, content) of all or of those ids (id).  The last row of an id is found without its bytes."""
+        """(id, content) of all or of those ids (id)."""
+        return self._last(ids).withColumn("content", inflated("content"))
+
+    def _last(self, ids: DataFrame | None) -> DataFrame:
+        """The same, deflated.  The last row of an id is found without its bytes, which then are dealt by id alone,
+        and once: no number is above the last, and an equality would be a key of the join."""
         rows = _table(self.spark, self.path, CACHE)
-        rows = rows if ids is None else rows.join(ids.select("id"), "id", "left_semi")
-        last = rows.groupBy("id").agg(F.max("number").alias("number"))
-        return rows.join(last, ["id", "number"], "left_semi").dropDuplicates(["id"]).select("id", "content")
+        last = rows.select("id", "number")
+        last = last if ids is None else last.join(ids.select("id"), "id", "left_semi")
+        last = last.groupBy("id").agg(F.max("number").alias("last"))
+        rows = rows.select("id", deflated("content").alias("content"), "number")
+        return rows.join(last, "id").filter("number >= last").dropDuplicates(["id"]).select("id", "content")
 
     def images(self, urls: DataFrame, get: Callable, decode: Callable, partitions: int = 100) -> DataFrame:
         """urls: (id, url).  Each id with its decoded image, the columns of `decoded`; data is null where
         there is none."""
         held = decoded(self.read(urls), decode).filter("data IS NOT NULL").select("id")
         found = fetched(urls.join(held, "id", "left_anti"), get, partitions).filter("content IS NOT NULL")
-        # written first: what is fetched is fetched once
-        fresh = f"{self.path}-fetched-{uuid.uuid4().hex}"
-        found.write.parquet(fresh)
-        good = decoded(self.spark.read.schema("id string, content binary").parquet(fresh), decode).filter(usable(F.col("width"), F.col("height"))).select("id")
-        rows = self.spark.read.schema("id string, content binary").parquet(fresh).join(good, "id", "left_semi")
-        rows.withColumn("number", F.lit(time.time_ns())).write.mode("append").parquet(self.path)
-        return decoded(urls.select("id").join(self.read(urls), "id", "left"), decode)
+        # fetched, tried and written in one go: what is fetched is fetched once
+        rows = decoded(found, decode, keep=True).filter(usable(F.col("width"), F.col("height"))).select(F.col("id").cast("string").alias("id"), "content")
+        rows.withColumn("number", F.lit(time.time_ns())).write.mode("append").option("compression", "zstd").parquet(self.path)
+        return decoded(urls.select("id").join(self._last(urls), "id", "left").withColumn("content", inflated("content")), decode)

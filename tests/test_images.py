@@ -281,3 +281,41 @@ def test_maps_of_fours_are_those_of_least_squares():
     far = np.where(np.arange(60)[:, None] % 5, src[1:16].reshape(60, 2) + [7, -4], 300.0)
     h, good = imaging.ransac(src[1:16].reshape(60, 2), far)
     assert (good == (np.arange(60) % 5 > 0)).all() and np.allclose(h, [[1, 0, 7], [0, 1, -4], [0, 0, 1]], atol=1e-8)
+
+
+def test_fetched_images_are_kept_once(spark, tmp_path):
+    """The last row of an id counts, and no second copy of what was fetched stays beside the cache."""
+    cache = ImageCache(spark, str(tmp_path / "c"))
+    urls = spark.createDataFrame([(i, f"http://x/v{i}") for i in "1234"], "id string, url string")
+    small, odd = pixmap(picture(9, 120, 90)), b"no image"
+    get = lambda u: (200, {"3": small, "4": odd}.get(u[-1], pixmap(picture(int(u[-1])))))
+    for _ in range(2):
+        got = {r.id: r.data for r in cache.images(urls, get, ppm, 2).collect()}
+        assert {i for i in got if got[i] is not None} == {"1", "2"} and bytes(got["1"]) == picture(1)[:, :, ::-1].tobytes()
+        assert sorted(r.id for r in spark.read.parquet(cache.path).collect()) == ["1", "2"]
+    newer = spark.createDataFrame([("1", pixmap(picture(7)), 2**62), ("1", pixmap(picture(7)), 2**62)], "id string, content binary, number long")
+    newer.write.mode("append").parquet(cache.path)
+    assert sorted((r.id, bytes(r.content)) for r in cache.read().collect()) == [("1", pixmap(picture(7))), ("2", pixmap(picture(2)))]
+    assert [p.name for p in tmp_path.iterdir()] == ["c"]
+
+
+def test_pixels_go_deflated_through_joins(spark):
+    from pixkin.sources.images import deflated, inflated
+
+    data = picture(1).tobytes()
+    rows = spark.createDataFrame([(1, data), (2, None), (3, b"")], "id int, data binary").select("id", deflated("data").alias("z")).orderBy("id")
+    got = [(r.n, None if r.data is None else bytes(r.data)) for r in rows.selectExpr("z", "length(z) AS n").select("n", inflated("z").alias("data")).collect()]
+    assert [d for _, d in got] == [data, None, b""] and got[0][0] < len(data)
+
+
+def test_canonical_pixels_stay_where_they_are_embedded(spark):
+    from pixkin.operators.embedding import Provider
+
+    def load():
+        return lambda images: (images.mean(axis=(1, 2)), images[:, :2, :3].reshape(len(images), 2, 9) + 1.0)
+
+    df = spark.createDataFrame([("a", picture(1)[:, :, ::-1].tobytes(), 240, 180, 3), ("b", b"1", 240, 180, 3)], "id string, data binary, width int, height int, nChannels int")
+    out = extract_features(df, embed=Provider(load, 3))
+    assert "pixels" not in out._jdf.queryExecution().toString() and "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    got = {r.id: r for r in out.collect()}
+    assert len(got["a"].cls) == 3 and len(got["a"].patches) == 18 and got["a"].error is None and got["b"].error.startswith("ValueError") and got["b"].cls is None
