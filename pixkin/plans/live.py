@@ -14,7 +14,7 @@ from pixkin.functions.signatures import unpacked
 from pixkin.operators.features import Embedder, align_pairs, extract_features
 from pixkin.operators.knn import pairs_above
 from pixkin.operators.pairs import NARROW, patch_score, with_features
-from pixkin.sources.images import image_files, images
+from pixkin.sources.images import deflated, image_files, images, inflated
 
 IMAGE = ("data", "width", "height", "nChannels")
 HASHES = ("phash", "dhash", "ahash", "whash")
@@ -60,11 +60,12 @@ def analyze_pairs(pairs: DataFrame, images: DataFrame, features: DataFrame, conf
 
     # the rest: b as seen from a; features of b alone are used where it couldn't be aligned
     rest = df.filter(~decided)
-    pixels = images.select("id", F.struct(*IMAGE).alias("image"))
+    pixels = images.select("id", F.struct(deflated("data").alias("data"), *IMAGE[1:]).alias("image"))
     both = with_features(rest.select("id_a", "id_b", "pair_id"), pixels, ["image"])
-    aligned = align_pairs(both.select("pair_id", F.col("a_image").alias("a"), F.col("b_image").alias("b")), config, warp=True)
+    image = lambda side: F.struct(inflated(f"{side}_image.data").alias("data"), *[f"{side}_image.{c}" for c in IMAGE[1:]]).alias(side)
+    aligned = align_pairs(both.select("pair_id", image("a"), image("b")), config, warp=True)
     if work is not None:
-        aligned.write.parquet(path := f"{work}/aligned-{uuid.uuid4().hex}")
+        aligned.write.option("compression", "zstd").parquet(path := f"{work}/aligned-{uuid.uuid4().hex}")
         aligned = aligned.sparkSession.read.schema(aligned.schema).parquet(path)
     seen = extract_features(aligned.filter("applied").select(F.col("pair_id").alias("id"), *IMAGE), config, embed)
     wide = [*NARROW, "patches"]
@@ -127,7 +128,7 @@ def scan_directory(spark: SparkSession, folder: str, work: str, config: ScoringC
     found = folder_images(spark, folder)
     if texts is not None:
         found = found.drop("text").join(texts.select("id", "text"), "id", "left").select("id", "file_key", *IMAGE, "text")
-    found.write.parquet(f"{at}/images")
+    found.write.option("compression", "zstd").parquet(f"{at}/images")
     found = spark.read.parquet(f"{at}/images")
     extract_features(found, config, embed).write.parquet(f"{at}/features")
     own = spark.read.parquet(f"{at}/features")

@@ -550,9 +550,9 @@ def live_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
     images = _rasters(rows).select("id", F.sha2("data", 256).alias("file_key"), *live.IMAGE, F.lit(None).cast("string").alias("text"))
-    images.write.parquet(f"{work}/images")
+    images.write.option("compression", "zstd").parquet(f"{work}/images")
     images = spark.read.parquet(f"{work}/images")
-    image_features.extract_features(images.repartition(spark.sparkContext.defaultParallelism), embed=_embed).write.parquet(f"{work}/features")
+    image_features.extract_features(images, embed=_embed).write.option("compression", "zstd").parquet(f"{work}/features")
     near = knn.candidate_pairs(knn.knn_self(vectors(spark, sf_dir), 1), -1.0)
     near = near.select(F.col("id_a").cast("string").alias("id_a"), F.col("id_b").cast("string").alias("id_b"))
     return live.analyze_pairs(near, images, spark.read.parquet(f"{work}/features"), embed=_embed, work=work)
