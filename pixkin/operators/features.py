@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def framed(rows: Iterable[dict], names: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({c: pd.Series([x[c] for x in out], dtype=object) for c in names})
 
 
+def deflated(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the bytes of a column as they go through a join: those of smooth pixels take a small part."""
+    at = rows.columns.index(column)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):
+                b = whole.slice(first, 64)
+                small = pa.array([None if x is None else zlib.compress(x, 1) for x in b.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([small if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def pixels(row) -> np.ndarray:
     """RGB of a row of Spark's image source, which stores BGR (or grey, or BGRA)."""
     raw = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
@@ -120,10 +136,10 @@ def _aligned(a: np.ndarray, b: np.ndarray, config: ScoringConfig) -> tuple[dict,
 ALIGNED = "pair_id string, applied boolean, reason string, scale double, rotation double, inliers int"
 
 
-def align_pairs(pairs: DataFrame, config: ScoringConfig = ScoringConfig(), warp: bool = False) -> DataFrame:
+def align_pairs(pairs: DataFrame, config: ScoringConfig = ScoringConfig(), warp: bool = False, inflate: bool = False) -> DataFrame:
     """pairs: (pair_id, a and b as structs of an image).  Scale, rotation, inliers and whether b can be
     warped onto a, with the reason if not.  A pair that can't be worked on has `error` and what it
-    was as its reason.  warp: adds b as seen from a, as columns of an image."""
+    was as its reason.  warp: adds b as seen from a, as columns of an image.  inflate: data is `deflated`."""
     names = [c.split()[0] for c in ALIGNED.split(", ")] + (["data", "width", "height", "nChannels"] if warp else [])
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
@@ -131,7 +147,10 @@ def align_pairs(pairs: DataFrame, config: ScoringConfig = ScoringConfig(), warp:
             for row in pdf.itertuples():
                 done = dict.fromkeys(names) | {"pair_id": row.pair_id, "applied": False}
                 try:
-                    a, b = (pixels(pd.Series(x) if isinstance(x, dict) else x) for x in (row.a, row.b))
+                    both = [pd.Series(x if isinstance(x, dict) else x.asDict(), dtype=object) for x in (row.a, row.b)]
+                    for x in both if inflate else ():
+                        x["data"] = zlib.decompress(x["data"])
+                    a, b = map(pixels, both)
                     found, h = _aligned(a, b, config)
                     done |= found | {"applied": h is not None}
                     if warp and h is not None:

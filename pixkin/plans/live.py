@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pixkin.config import PROFILES, ScoringConfig
 from pixkin.functions import scores as S
 from pixkin.functions.signatures import unpacked
-from pixkin.operators.features import Embedder, align_pairs, extract_features
+from pixkin.operators.features import Embedder, align_pairs, deflated, extract_features
 from pixkin.operators.knn import pairs_above
 from pixkin.operators.pairs import NARROW, patch_score, with_features
-from pixkin.sources.images import deflated, image_files, images, inflated
+from pixkin.sources.images import image_files, images
 
 IMAGE = ("data", "width", "height", "nChannels")
 HASHES = ("phash", "dhash", "ahash", "whash")
@@ -60,10 +60,9 @@ def analyze_pairs(pairs: DataFrame, images: DataFrame, features: DataFrame, conf
 
     # the rest: b as seen from a; features of b alone are used where it couldn't be aligned
     rest = df.filter(~decided)
-    pixels = images.select("id", F.struct(deflated("data").alias("data"), *IMAGE[1:]).alias("image"))
+    pixels = deflated(images.select("id", *IMAGE), "data").select("id", F.struct(*IMAGE).alias("image"))
     both = with_features(rest.select("id_a", "id_b", "pair_id"), pixels, ["image"])
-    image = lambda side: F.struct(inflated(f"{side}_image.data").alias("data"), *[f"{side}_image.{c}" for c in IMAGE[1:]]).alias(side)
-    aligned = align_pairs(both.select("pair_id", image("a"), image("b")), config, warp=True)
+    aligned = align_pairs(both.select("pair_id", F.col("a_image").alias("a"), F.col("b_image").alias("b")), config, warp=True, inflate=True)
     if work is not None:
         aligned.write.option("compression", "zstd").parquet(path := f"{work}/aligned-{uuid.uuid4().hex}")
         aligned = aligned.sparkSession.read.schema(aligned.schema).parquet(path)

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import time
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixkin.operators.features import SCHEMA, decoded
-from pixkin.sources.images import deflated, fetched, inflated, usable
+from pixkin.operators.features import SCHEMA, decoded, deflated
+from pixkin.sources.images import fetched, usable
 
 REMOVED = "emb_key string, removed_at long"
 CACHE = "id string, content binary, number long"
@@ -106,16 +107,14 @@ class ImageCache:
 
     def read(self, ids: DataFrame | None = None) -> DataFrame:
         """(id, content) of all or of those ids (id)."""
-        return self._last(ids).withColumn("content", inflated("content"))
+        return self._last(_table(self.spark, self.path, CACHE), ids)
 
-    def _last(self, ids: DataFrame | None) -> DataFrame:
-        """The same, deflated.  The last row of an id is found without its bytes, which then are dealt by id alone,
-        and once: no number is above the last, and an equality would be a key of the join."""
-        rows = _table(self.spark, self.path, CACHE)
-        last = rows.select("id", "number")
+    def _last(self, rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+        """The last row of an id is found without its bytes, which then are dealt by id alone, and once: no number
+        is above the last, and an equality would be a key of the join."""
+        last = _table(self.spark, self.path, CACHE).select("id", "number")
         last = last if ids is None else last.join(ids.select("id"), "id", "left_semi")
         last = last.groupBy("id").agg(F.max("number").alias("last"))
-        rows = rows.select("id", deflated("content").alias("content"), "number")
         return rows.join(last, "id").filter("number >= last").dropDuplicates(["id"]).select("id", "content")
 
     def images(self, urls: DataFrame, get: Callable, decode: Callable, partitions: int = 100) -> DataFrame:
@@ -126,4 +125,5 @@ class ImageCache:
         # fetched, tried and written in one go: what is fetched is fetched once
         rows = decoded(found, decode, keep=True).filter(usable(F.col("width"), F.col("height"))).select(F.col("id").cast("string").alias("id"), "content")
         rows.withColumn("number", F.lit(time.time_ns())).write.mode("append").option("compression", "zstd").parquet(self.path)
-        return decoded(urls.select("id").join(self._last(urls), "id", "left").withColumn("content", inflated("content")), decode)
+        small = self._last(deflated(_table(self.spark, self.path, CACHE), "content"), urls)
+        return decoded(urls.select("id").join(small, "id", "left"), lambda x: decode(zlib.decompress(x)))

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 SUFFIXES = r"(?i)\.(jpg|jpeg|png|webp)$"
 ATTEMPTS = 3
@@ -20,17 +18,6 @@ LEAST_SIDE = 64
 FETCHED = 64
 
 
-@F.pandas_udf(BinaryType())
-def deflated(data: pd.Series) -> pd.Series:
-    """Bytes as they go through a join: those of smooth pixels take a small part."""
-    return data.map(lambda x: zlib.compress(x, 1), na_action="ignore")
-
-
-@F.pandas_udf(BinaryType())
-def inflated(data: pd.Series) -> pd.Series:
-    return data.map(zlib.decompress, na_action="ignore")
-
-
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the image files below a folder, in the order of their paths."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

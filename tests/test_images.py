@@ -300,12 +300,12 @@ def test_fetched_images_are_kept_once(spark, tmp_path):
 
 
 def test_pixels_go_deflated_through_joins(spark):
-    from pixkin.sources.images import deflated, inflated
+    from pixkin.operators.features import deflated
 
     data = picture(1).tobytes()
-    rows = spark.createDataFrame([(1, data), (2, None), (3, b"")], "id int, data binary").select("id", deflated("data").alias("z")).orderBy("id")
-    got = [(r.n, None if r.data is None else bytes(r.data)) for r in rows.selectExpr("z", "length(z) AS n").select("n", inflated("z").alias("data")).collect()]
-    assert [d for _, d in got] == [data, None, b""] and got[0][0] < len(data)
+    rows = spark.createDataFrame([(1, data), (2, None), (3, b"")], "id int, data binary")
+    got = {r.id: r.data for r in deflated(rows, "data").collect()}
+    assert got[2] is None and {i: zlib.decompress(got[i]) for i in (1, 3)} == {1: data, 3: b""} and len(got[1]) < len(data)
 
 
 def test_canonical_pixels_stay_where_they_are_embedded(spark):
